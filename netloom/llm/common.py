@@ -64,6 +64,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_MADE: dict = {}
+
+
+def once(key, make: Callable):
+    """make()'s result, kept for the later tasks of this Python worker."""
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+class Generations(dict):
+    """A bounded table: when it is full it becomes the old generation, from which what is asked for again comes back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def lacking(self, keys) -> list:
+        """The keys that neither generation has; those of the old one come back."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        old, out = self.old, []
+        for k in keys:
+            if k not in self:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self[k] = v
+        return out
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The column's texts in UTF-8; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

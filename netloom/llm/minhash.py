@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
-from .common import as_bytes, batches, columns, discard, stored, tuned
+from .common import as_bytes, batches, columns, discard, once, partitions, stored, tuned
 from .components import components
 
-COORDINATES, WORDS, SKETCH_BITS, SHORT, BLOCK = 128, 5, 17, 24, 256
+COORDINATES, WORDS, SKETCH_BITS, SHORT, BLOCK = 128, 5, 17, 24, 64
 _R = np.random.default_rng(20_240_607)
 _XOR = _R.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _MUL = _R.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -50,6 +50,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes() -> Remembered:
+    return Remembered(xxhash.xxh3_64_intdigest, 500_000)
+
+
 def shingles(text: bytes, of, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of `words` words."""
     ws = text.lower().split()
@@ -81,7 +85,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     schema = columns("doc_id long, n_shingles long, set binary, sig binary")
 
     def run(it):
-        of = Remembered(xxhash.xxh3_64_intdigest, 500_000)
+        of = once("word hashes", word_hashes)
         for b in it:
             out: list[list] = [[], [], []]
             for text in as_bytes(b, text_col):
@@ -177,7 +181,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, words: int,
     percent = round(similarity * 100)
 
     def run(it):
-        of, last = Remembered(xxhash.xxh3_64_intdigest, 500_000), (None, None, None)
+        of, last = once("word hashes", word_hashes), (None, None, None)
         for x in it:
             out: list[list] = [[], []]
             for a, b, ta, tb in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), as_bytes(x, "ta"), as_bytes(x, "tb"), strict=True):
@@ -195,8 +199,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, words: int,
     return links
 
 
-def open_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different labels that share a list and agree in at least `least` coordinates."""
+def open_links(
+    lists: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, least: int, similarity: float, words: int, id_col: str, text_col: str
+) -> DataFrame:
+    """Links (a, b) between different labels, enough to join all labels that have one: of documents that share a list,
+    agree in at least `least` coordinates and are confirmed on the full sets."""
     marked = lists.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     marked = stored(marked.join(open_keys, "key"), "open")
@@ -218,31 +225,56 @@ def open_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, least: int,
     short = marked.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("rep", "label")).alias("members"))  # SHORT rows at most
     short = agreeing(short.select("members").mapInArrow(cross, pair).distinct(), reps, least, similarity)
 
+    short = confirmed(short, docs, similarity, words, id_col, text_col)
+
     # Long lists: by hub; those outside the hub's most frequent label against all of the hub's lists, block by block.
+    # Blocks hold the full sets, so that only confirmed links leave them, one for a document and label at most.
     members = stored(marked.where(F.col("n") > SHORT).select("hub", "rep", "label").distinct(), "members")
     sizes = members.groupBy("hub", "label").agg(F.count("*").alias("n")).groupBy("hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).getField("label").alias("main"))
-    placed = members.join(sizes, "hub").join(reps.select("rep", "sig"), "rep")
+    texts = texts_of(docs, members.select(F.col("rep").alias("a"), F.col("rep").alias("b")), id_col, text_col)
+    id_set = columns("id long, full binary")
+
+    def full_sets(it):
+        of = once("word hashes", word_hashes)
+        for x in it:
+            yield batches(id_set, [x.column("id").to_pylist(), [shingles(t, of, words).tobytes() for t in as_bytes(x, "text")]])
+
+    full = members.select(F.col("rep").alias("id")).distinct().join(texts, "id").mapInArrow(full_sets, id_set)
+    full = full.groupBy("id").agg(F.max("full").alias("full")).withColumnRenamed("id", "rep")
+    placed = members.join(sizes, "hub").join(reps.select("rep", "sig"), "rep").join(full, "rep")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-    block = F.collect_list(F.struct("rep", "label", "sig")).alias("rows")  # about BLOCK rows
+    block = F.collect_list(F.struct("rep", "label", "sig", "full")).alias("rows")  # about BLOCK rows
     every = placed.groupBy("hub", "part").agg(block)
     outside = placed.where("label <> main").groupBy("hub", "part").agg(block.alias("others")).withColumnRenamed("part", "other_part")
+    percent = round(similarity * 100)
 
     def compare(it):
         def opened(rows):
-            return np.array([r["rep"] for r in rows]), np.array([r["label"] for r in rows]), np.frombuffer(b"".join([r["sig"] for r in rows]), "<u4").reshape(-1, COORDINATES)
+            sigs = np.frombuffer(b"".join([r["sig"] for r in rows]), "<u4").reshape(-1, COORDINATES)
+            return np.array([r["rep"] for r in rows]), np.array([r["label"] for r in rows]), sigs, [np.frombuffer(r["full"], np.uint64) for r in rows]
 
         for x in it:
             for rows, others in zip(x.column("rows").to_pylist(), x.column("others").to_pylist(), strict=True):
-                ids, labels, sigs = opened(rows)
+                ids, labels, sigs, sets = opened(rows)
                 found: list[list] = [[], []]
-                for i, lab, sig in zip(*opened(others), strict=True):
-                    hit = ids[((sigs == sig).sum(1) >= least) & (labels != lab)]
-                    found[0] += [min(int(i), int(h)) for h in hit]
-                    found[1] += [max(int(i), int(h)) for h in hit]
+                for i, lab, sig, own in zip(*opened(others), strict=True):
+                    agree = (sigs == sig).sum(1)
+                    agree[labels == lab] = 0
+                    linked = set()
+                    for k in np.argsort(-agree, kind="stable"):
+                        if agree[k] < least:
+                            break
+                        if labels[k] in linked or 100 * min(len(own), len(sets[k])) < percent * max(len(own), len(sets[k])):
+                            continue
+                        inter = len(np.intersect1d(own, sets[k], assume_unique=True))
+                        if 100 * inter >= percent * (len(own) + len(sets[k]) - inter):
+                            linked.add(labels[k])
+                            found[0].append(int(i))
+                            found[1].append(int(ids[k]))
                 yield batches(pair, found)
 
-    long = every.join(outside, "hub").select("rows", "others").mapInArrow(compare, pair)
-    return short.union(long).distinct()
+    blocks = every.join(outside, "hub").repartition(partitions(docs.sparkSession), "hub", "part", "other_part")
+    return short.union(blocks.select("rows", "others").mapInArrow(compare, pair)).distinct()
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +293,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS, id_
     best = lists.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("hits")).groupBy("rep").agg(F.max(F.struct("hits", "hub")).getField("hub").alias("hub"))
     first = confirmed(agreeing(best.select(F.col("rep").alias("a"), F.col("hub").alias("b")), reps, least, similarity), docs, similarity, words, id_col, text_col)
     labels = components(first)
-    more = confirmed(open_pairs(lists, reps, labels, least, similarity), docs, similarity, words, id_col, text_col)
+    more = stored(open_links(lists, reps, labels, docs, least, similarity, words, id_col, text_col), "more")
     discard(lists)
     # A set may be shared by rows with different ids, and rows with one id may have different sets: both link.
     split = linked.groupBy("doc_id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x < y").select("doc_id")
