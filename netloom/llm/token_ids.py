@@ -14,22 +14,27 @@ comes first; an empty table gives a file of no blocks.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .bpe import Remembered
-from .common import as_bytes, batches, columns, discard, partitions, stored, tuned
+from .bpe import WORDS
+from .common import Generations, batches, columns, discard, gathered, once, partitions, stored, tuned, words_of
 
 #: Longest code in bits, ids between checkpoints, ids in a block (or one document, if it is longer).
-LIMIT, CHECKPOINT, BLOCK = 18, 64, 32_768
-#: Whitespace-free pieces whose ids a task remembers.
-PIECES = 400_000
+LIMIT, CHECKPOINT, BLOCK = 17, 64, 131_072
+#: Pieces and words in each of two generations of a worker's tables.
+PIECES = 280_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -66,28 +71,25 @@ class Codes:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.uint32)
         self.code = np.zeros(len(lengths), np.uint32)
-        self.symbol_at, self.length_at = np.zeros(1 << LIMIT, np.uint32), np.ones(1 << LIMIT, np.int64)
+        self.at_prefix = np.ones(1 << LIMIT, np.uint32)  # id * 32 + code length for every LIMIT bits that a code begins
         used = np.flatnonzero(lengths)
         used = used[np.argsort(lengths[used], kind="stable")]
         if len(used):
             span = np.left_shift(1, LIMIT - lengths[used].astype(np.int64))
             first = np.cumsum(span) - span
             self.code[used] = first >> (LIMIT - lengths[used].astype(np.int64))
-            self.symbol_at[: span.sum()] = np.repeat(used, span)
-            self.length_at[: span.sum()] = np.repeat(lengths[used], span)
+            self.at_prefix[: span.sum()] = np.repeat(used << 5 | lengths[used], span)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """The payload and the bit offsets of every CHECKPOINT-th id."""
         n = self.lengths[ids].astype(np.int64)
         end = np.cumsum(n)
         at = end - n
-        value = self.code[ids].astype(np.int64) << (32 - n - (at & 7))
-        size = int(end[-1] + 7 >> 3) + 4 if len(ids) else 4
-        place = at >> 3
-        out = np.zeros(size, np.int64)
-        for k in range(4):
-            out += np.bincount(place + k, weights=value >> (24 - 8 * k) & 255, minlength=size).astype(np.int64)
-        return out.astype(np.uint8).tobytes(), at[::CHECKPOINT].astype("<u4").tobytes()
+        value = self.code[ids].astype(np.int64) << (63 - n - (at & 31))  # bit 62 is the first of its 32-bit word
+        size = (int(end[-1]) >> 5) + 2 if len(ids) else 1
+        place = at >> 5
+        out = np.bincount(place, weights=value >> 31, minlength=size) + np.bincount(place + 1, weights=(value & 0x7FFFFFFF) << 1, minlength=size)[:size]
+        return out.astype(np.int64).astype(">u4").tobytes(), at[::CHECKPOINT].astype("<u4").tobytes()
 
     def decode(self, payload: bytes, offsets: bytes, n: int) -> np.ndarray:
         raw = np.frombuffer(payload + bytes(CHECKPOINT * LIMIT // 8 + 8), np.uint8).astype(np.int64)
@@ -96,51 +98,103 @@ class Codes:
         out = np.empty((CHECKPOINT, len(at)), np.uint32)
         for k in range(CHECKPOINT):
             x = (window[at >> 3] << (at & 7) & 0xFFFFFFFF) >> (32 - LIMIT)
-            out[k] = self.symbol_at[x]
-            at = at + self.length_at[x]
+            x = self.at_prefix[x]
+            out[k] = x >> 5
+            at += x & 31
         return out.T.ravel()[:n]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): the library's ids of every whole text with the end id, as little-endian unsigned 32-bit integers.
+class PieceIds:
+    """The library's ids of pieces without ASCII white space, as bytes of little-endian unsigned 32-bit integers.
 
-    The vocabulary drops white space and no token crosses it, so texts are cut at ASCII white space; pieces that the
-    task hasn't met go to the library, all of a batch at once.
+    A piece is normalised and split into words as the vocabulary's pre-tokenizer does, so that words met in other
+    pieces aren't encoded again; pieces with special strings or of unstable normal form go to the library as they are.
     """
-    schema = columns("doc_id long, ids binary")
 
-    def run(it):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.no_truncation()
-        tok.no_padding()
-        end, known = np.uint32(end_id).tobytes(), {}
-        for b in it:
-            if len(known) > PIECES:
-                known.clear()
-            cut = [t.split() for t in as_bytes(b, text_col)]
-            new = set()
-            for pieces in cut:
-                new.update(pieces)
-            new = [p for p in new if p not in known]
-            for p, e in zip(new, tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            ids = [b"".join([known[p] for p in pieces]) + end for pieces in cut]
-            for p in new:
-                if len(p) > 96:
-                    del known[p]
-            yield batches(schema, [b.column(id_col).to_pylist(), ids])
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.pieces, self.words = Generations(PIECES), Generations(PIECES)
+
+    @staticmethod
+    def split(piece: bytes) -> list[str]:
+        text = piece.decode()
+        if "<|" in text:
+            return [text]
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            low = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))  # one character at a time
+            if not unicodedata.is_normalized("NFC", low) or low.lower() != low:
+                return [piece.decode()]
+        else:
+            low = text.lower()
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return [low[:-1], low[-1]]
+        return WORDS.findall(low)
+
+    def __call__(self, texts: pa.Array, code: str) -> list[bytes]:
+        """The ids of each text, as bytes of the array type code."""
+        if not any(pc.match_substring(texts, "<|").to_pylist()):  # special strings are told by case
+            texts = pc.ascii_lower(texts)
+        pieces, place, offsets = words_of(texts)
+        parts = {p: self.split(p) for p in self.pieces.lacking(pieces)}
+        new = self.words.lacking({w for ws in parts.values() for w in ws})
+        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[w] = array(code, e.ids).tobytes()
+        known, words = self.pieces, self.words
+        for p, ws in parts.items():
+            known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        joined = pa.array(list(map(known.__getitem__, pieces)), pa.binary()).take(pa.array(place))  # one after the other in its buffer
+        if joined.offset or not len(joined):
+            joined = pa.concat_arrays([joined, pa.array([b""], pa.binary())])
+        for p in parts:
+            if len(p) > 96:
+                del known[p]
+        for w in new:
+            if len(w) > 96:
+                del words[w]
+        ends = np.frombuffer(joined.buffers()[1], np.int32)[offsets].tolist()
+        data = joined.buffers()[2]
+        data = data.to_pybytes() if data else b""
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, width: str, bounds: list[int], id_col: str, text_col: str) -> DataFrame:
+    """(part, doc_id, ids): the library's ids of every whole text with the end id, as little-endian unsigned integers of
+    `width`, and the place of the id among the bounds.
+
+    The vocabulary drops white space and no token crosses it, so texts are cut at ASCII white space.
+    """
+    schema, code = columns("part int, doc_id long, ids binary"), {"<u2": "H", "<u4": "I"}[width]
+
+    def run(it):
+        of, end = once(("piece ids", tokenizer_path, code), lambda: PieceIds(tokenizer_path)), np.array([end_id], width).tobytes()
+        for b in gathered(it, 4096):
+            if b.num_rows:
+                ids = b.column(id_col).to_pylist()
+                parts = [0 if i is None else bisect(bounds, i) for i in ids]
+                yield batches(schema, [parts, ids, [x + end for x in of(pc.fill_null(b.column(text_col), ""), code)]])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Write the ids of all texts in the format; the tables of blocks and of code lengths, as read from the shared folder."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     tuned(spark)
-    tokens = stored(tokenize(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
+    width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    size_of, n = np.dtype(width).itemsize, partitions(spark)
+    # Ranges of ids with about equal numbers of rows, from the id column alone.
+    bounds = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    tokens = tokenize(docs, tokenizer_path, end_id, width, sorted(set(bounds)), id_col, text_col)
     run_schema = columns("run int, before long, doc_id long, ids binary")
 
     def in_order(it):
@@ -150,36 +204,41 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
             at = []
             for x in ids:
                 at.append(before)
-                before += len(x) // 4
+                before += len(x) // size_of
             yield batches(run_schema, [[run] * len(ids), at, b.column("doc_id").to_pylist(), ids])
 
-    ordered = stored(tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(in_order, run_schema), "ordered")
-    discard(tokens)
+    dealt = tokens.repartitionById(n + 1, F.col("part")).drop("part").sortWithinPartitions("doc_id")
+    ordered = stored(dealt.mapInArrow(in_order, run_schema), "ordered")
 
-    count_schema = columns("id int, n long")
+    count_schema = columns("run int, id int, n long")
 
     def count(it):
-        total = np.zeros(0, np.int64)
+        total, runs = np.zeros(0, np.int64), Counter()
         for b in it:
-            x = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"))
+            ids = b.column("ids").to_pylist()
+            for run, x in zip(b.column("run").to_pylist(), ids, strict=True):
+                runs[run] += len(x) // size_of
+            x = np.bincount(np.frombuffer(b"".join(ids), width))
             if len(x) > len(total):
                 x, total = total, x.astype(np.int64)
             total[: len(x)] += x
         used = np.flatnonzero(total)
-        yield batches(count_schema, [used.tolist(), total[used].tolist()])
+        yield batches(count_schema, [[None] * len(used) + list(runs), used.tolist() + [None] * len(runs), total[used].tolist() + list(runs.values())])
 
-    counts = ordered.select("ids").mapInArrow(count, count_schema).groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
-    table = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
+    # A row for each id of the vocabulary and for each range at most.
+    counts = ordered.select("run", "ids").mapInArrow(count, count_schema).groupBy("run", "id").agg(F.sum("n").alias("n")).collect()
+    table = np.zeros(max((r.id for r in counts if r.run is None), default=0) + 1, np.int64)
+    starts, before = {}, 0
+    for r in sorted((r for r in counts if r.run is not None), key=lambda r: r.run):
+        starts[r.run] = before
+        before += r.n
     for r in counts:
-        table[r.id] = r.n
+        if r.run is None:
+            table[r.id] = r.n
     lengths = code_lengths(table)
     lengths_table = stored(
         spark.createDataFrame([Row(id=int(i), n_bits=int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, n_bits int").coalesce(1), "codes"
     )
-    starts, before = {}, 0
-    for r in sorted(ordered.groupBy("run").agg(F.max(F.col("before") + F.octet_length("ids").cast("long") / 4).cast("long").alias("n")).collect(), key=lambda r: r.run):
-        starts[r.run] = before  # a row for each range
-        before += r.n
     shared = spark.sparkContext.broadcast((lengths, starts))
     block_schema = columns("start long, doc_ids binary, lengths binary, no_id array<int>, n_ids long, payload binary, offsets binary")
 
@@ -188,10 +247,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
         codes = Codes(lengths)
 
         def made(run, before, rows):
-            ids = np.frombuffer(b"".join([x for _, x in rows]), "<u4")
+            ids = np.frombuffer(b"".join([x for _, x in rows]), width)
             payload, offsets = codes.encode(ids)
             names = np.array([d or 0 for d, _ in rows], "<i8").tobytes()
-            sizes = np.array([len(x) // 4 for _, x in rows], "<i8").tobytes()
+            sizes = np.array([len(x) // size_of for _, x in rows], "<i8").tobytes()
             return batches(block_schema, [[starts[run] + before], [names], [sizes], [[k for k, (d, _) in enumerate(rows) if d is None]], [len(ids)], [payload], [offsets]])
 
         rows, size, first = [], 0, None
@@ -203,7 +262,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
                 if not rows:
                     first = (run, before)
                 rows.append((d, ids))
-                size += len(ids) // 4
+                size += len(ids) // size_of
         if rows:
             yield made(*first, rows)
 
