@@ -19,10 +19,10 @@ from hashlib import sha256
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, columns, tuned, with_new
+from .common import as_bytes, columns, once, tuned, with_new
 
 #: Entries of a task's tables of pieces and words; longer ones than CACHED_BYTES are not kept.
-CACHED, CACHED_BYTES = 300_000, 96
+CACHED, CACHED_BYTES = 250_000, 96
 #: The vocabulary's own pre-tokenizer pattern and word end (fixed values).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 WORD_END = "</w>"
@@ -140,7 +140,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, outputs=("ids", "n_tokens")
     fields = columns(", ".join(f"{c} {FIELDS[c]}" for c in outputs))
 
     def make():
-        bpe = Bpe(tokenizer_path)
+        bpe = once(("bpe", tokenizer_path), lambda: Bpe(tokenizer_path))
 
         def of(batch):
             out = {c: [] for c in outputs}
@@ -170,7 +170,7 @@ def bpe_decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
     tuned(tokens.sparkSession)
 
     def make():
-        bpe = Bpe(tokenizer_path)
+        bpe = once(("bpe", tokenizer_path), lambda: Bpe(tokenizer_path))
         return lambda batch: [[bpe.decode(x or []) for x in batch.column(ids_col).to_pylist()]]
 
     return with_new(tokens, make, columns("decoded string"))

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -68,8 +70,9 @@ _MADE: dict = {}
 
 
 def once(key, make: Callable):
-    """make()'s result, kept for the later tasks of this Python worker."""
+    """make()'s result, kept for the later tasks of this Python worker until another key is asked for."""
     if key not in _MADE:
+        _MADE.clear()
         _MADE[key] = make()
     return _MADE[key]
 
@@ -106,6 +109,27 @@ def as_str(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space, each word's place among them in reading order, and where each text's
+    words begin and end. A word may be empty where a text begins or ends with white space."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def gathered(it: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, up to about so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in it:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def batches(schema: T.StructType, columns: list[list]) -> pa.RecordBatch:
     """A record batch of the Spark schema from Python lists, one per column."""
     from pyspark.sql.pandas.types import to_arrow_schema
