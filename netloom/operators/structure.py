@@ -49,7 +49,7 @@ def spectrum(structures: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("q8")
     alpha = (F.lead("tau").over(w) - F.lag("tau").over(w)) / (2 / Q_STEP)
     s = structures.withColumn("alpha", alpha).where("alpha is not null")
-    s = s.withColumn("dec", (F.lag("alpha").over(w) > F.col("alpha")).cast("int"))
+    s = s.withColumn("dec", (F.lag("alpha").over(w) - F.col("alpha") > 1e-9).cast("int"))  # flat is not decreasing
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("seen", F.coalesce(F.sum("dec").over(upto), F.lit(0)))
     s = s.withColumn("stop", F.sum(F.when((F.coalesce("dec", F.lit(0)) == 0) & (F.col("seen") > 0), 1).otherwise(0)).over(upto))

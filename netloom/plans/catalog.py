@@ -191,7 +191,7 @@ register("maad_structure", _with(more=_ST + " SELECT source_id, bucket_start, q8
     lambda s, d: structured(s, d)[2].select(*KEYS, "q8", F.round("tau", 5).alias("tau"), F.round("sd", 4).alias("sd"))
 )
 _SP = """, al AS (SELECT *, (lead(tau) OVER w - lag(tau) OVER w) / 0.25 AS alpha FROM st WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
-    de AS (SELECT *, lag(alpha) OVER w > alpha AS dec FROM al WHERE alpha IS NOT NULL WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
+    de AS (SELECT *, lag(alpha) OVER w - alpha > 1e-9 AS dec FROM al WHERE alpha IS NOT NULL WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
     se AS (SELECT *, count(*) FILTER (WHERE dec) OVER w AS seen FROM de WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
     sx AS (SELECT *, count(*) FILTER (WHERE NOT coalesce(dec, false) AND seen > 0) OVER w AS stop FROM se WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8))"""
 register("maad_spectrum", _with(more=_ST + _SP + " SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx WHERE dec AND stop = 0"))(

@@ -82,8 +82,8 @@ def milliseconds(c, mapping: CsvMapping):
         return (c.try_cast("decimal(38,6)") * 1000).cast("long")
     if mapping.timestamp_format == "unix_ms":
         return c.try_cast("long")
-    local = F.to_timestamp_ntz(c, F.lit(mapping.timestamp_format))
-    return C.epoch_of(F.convert_timezone(F.lit(mapping.timezone), F.lit("UTC"), local)) * 1000
+    wall = F.unix_seconds(F.try_to_timestamp(F.concat(c, F.lit(" +00:00")), F.lit(mapping.timestamp_format + " XXX")))  # as if UTC
+    return C.epoch_of(F.convert_timezone(F.lit(mapping.timezone), F.lit("UTC"), C.clock(wall))) * 1000
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], mapping: CsvMapping) -> tuple[DataFrame, DataFrame]:
