@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .bpe import WORDS
+from .bpe import WORD_END, WORDS
 from .common import Generations, batches, columns, discard, gathered, once, partitions, stored, tuned, words_of
 
 #: Longest code in bits, ids between checkpoints, ids in a block (or one document, if it is longer).
 LIMIT, CHECKPOINT, BLOCK = 17, 64, 131_072
 #: Pieces and words in each of two generations of a worker's tables.
-PIECES = 280_000
+PIECES = 300_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -119,6 +119,9 @@ class PieceIds:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.pieces, self.words = Generations(PIECES), Generations(PIECES)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for s, i in vocab.items() if s.endswith(WORD_END)]] = True
 
     @staticmethod
     def split(piece: bytes) -> list[str]:
@@ -138,6 +141,22 @@ class PieceIds:
             return [low[:-1], low[-1]]
         return WORDS.findall(low)
 
+    def encode(self, words: list[str], code: str, at_once: int = 200) -> None:
+        """Words go to the library joined by spaces; its ids are cut after each id that ends a word."""
+        cut = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        for own, e in zip(cut, self.tok.encode_batch_fast([" ".join(c) for c in cut], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, code)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(stops) == len(own):  # else one of them is more or less than a word
+                data, a = ids.tobytes(), 0
+                for w, b in zip(own, stops.tolist(), strict=True):
+                    self.words[w] = data[a:b]
+                    a = b
+
+    def encode_each(self, words: list[str], code: str) -> None:
+        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.words[w] = array(code, e.ids).tobytes()
+
     def __call__(self, texts: pa.Array, code: str) -> list[bytes]:
         """The ids of each text, as bytes of the array type code."""
         if not any(pc.match_substring(texts, "<|").to_pylist()):  # special strings are told by case
@@ -145,8 +164,8 @@ class PieceIds:
         pieces, place, offsets = words_of(texts)
         parts = {p: self.split(p) for p in self.pieces.lacking(pieces)}
         new = self.words.lacking({w for ws in parts.values() for w in ws})
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = array(code, e.ids).tobytes()
+        self.encode([w for w in new if " " not in w and "<|" not in w], code)
+        self.encode_each([w for w in new if w not in self.words], code)
         known, words = self.pieces, self.words
         for p, ws in parts.items():
             known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
@@ -208,7 +227,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
             yield batches(run_schema, [[run] * len(ids), at, b.column("doc_id").to_pylist(), ids])
 
     dealt = tokens.repartitionById(n + 1, F.col("part")).drop("part").sortWithinPartitions("doc_id")
-    ordered = stored(dealt.mapInArrow(in_order, run_schema), "ordered")
+    ordered = stored(dealt.mapInArrow(in_order, run_schema), "ordered", "snappy")
 
     count_schema = columns("run int, id int, n long")
 
@@ -266,7 +285,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
         if rows:
             yield made(*first, rows)
 
-    blocks = stored(ordered.mapInArrow(block, block_schema), "blocks")
+    blocks = stored(ordered.mapInArrow(block, block_schema), "blocks", "uncompressed")  # Huffman codes are as short as they get
     discard(ordered)
     return blocks, lengths_table
 
