@@ -43,8 +43,8 @@ def fit_link(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra: np.n
     for _ in range(300):
         z = b + extra @ v + np.bincount(rows, weights=w[cols], minlength=n)
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        gw = np.bincount(cols, weights=g[rows], minlength=width) + 2e-5 * w
-        mw = 0.9 * mw - 0.3 * gw / share
+        gw = np.bincount(cols, weights=g[rows], minlength=width) + 1e-5 * w
+        mw = 0.9 * mw - 1.0 * gw / share
         mv = 0.9 * mv - 0.05 * (g @ extra + 1e-4 * v)
         mb = 0.9 * mb - 0.3 * g.sum()
         w, v, b = w + mw, v + mv, b + mb
