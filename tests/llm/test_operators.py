@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -309,3 +310,23 @@ def test_lm_base_and_lattice(spark, texts, awkward, nothing):
     assert lm_score.lm_score(nothing, queries.PIECES).count() == 0
     rows = lm_score.lm_score(awkward, queries.PIECES).collect()
     assert len(rows) == 10 and all(math.isfinite(r.score) for r in rows)
+
+
+def test_lm_adaptation_equals_a_plain_loop_and_the_join(spark, texts, monkeypatch):
+    some = [" B a\tb b ", "", None, "c", "a b A c a"]
+    vocabulary, codes, ends = lm_score.tokens_of(pa.array(some))
+    doc, _, place, before, types = lm_score.adaptation(codes, ends, len(vocabulary))
+    want = []
+    for d, t in enumerate(some):
+        seen: list[bytes] = []
+        for w in (t or "").encode().lower().split():
+            want.append((d, w, len(seen), seen.count(w), len(set(seen))))
+            seen.append(w)
+    assert list(zip(doc.tolist(), [vocabulary[c] for c in codes], place.tolist(), before.tolist(), types.tolist(), strict=True)) == want
+    one = {r.doc_id: (r.n_known, r.base_score, r.score) for r in queries.op3_lm_score(spark, SF).collect()}
+    monkeypatch.setattr(lm_score, "HEAD", 0)  # every word goes through the join
+    for r in queries.op3_lm_score(spark, SF).collect():
+        assert (r.n_known, r.base_score, r.score) == pytest.approx(one[r.doc_id])
+    monkeypatch.setattr(lm_score, "PRIOR", 1e12)  # documents' own words count for nothing
+    plain = queries.op3_lm_score(spark, SF).where("held_out").collect()
+    assert sum(one[r.doc_id][2] for r in plain) > sum(r.score for r in plain)
