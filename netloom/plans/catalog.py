@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
-from netloom.operators import sources_cover, structure
+from netloom.operators import guards, sources_cover, structure
 from netloom.operators import statistics as S
 from netloom.plans import serving
 from netloom.sources import flows as src
@@ -244,3 +244,25 @@ register("series_pivot", _with(more=f"SELECT {_floor('1d')} AS bucket_start, " +
 register("extract_summary", "".join((_traffic("1h"), ", x AS (SELECT * FROM t WHERE bucket_start >= 1704441600 AND bucket_start < 1705046400 AND source_id = 'r1') SELECT 'traffic_stats' AS table_name, count(*) AS n_rows, min(bucket_start) AS first, max(bucket_start) AS last FROM x")))(
     lambda s, d: serving.summary({"traffic_stats": S.traffic(src.from_events(s, d), "1h").where("bucket_start >= 1704441600 and bucket_start < 1705046400 and source_id = 'r1'")})
 )
+
+
+def owned(s, d) -> DataFrame:
+    return S.bucketed(src.from_events(s, d), "1h").select(*KEYS, F.concat(F.lit("f"), F.col("flow_count").cast("string")).alias("locator"))
+
+
+register("overlapping_owners", _with(more=f"SELECT source_id, {_floor('1h')} AS bucket_start, count(DISTINCT flow_count) AS owners FROM flows GROUP BY ALL HAVING count(DISTINCT flow_count) > 1"))(lambda s, d: guards.overlapping_owners(owned(s, d)))
+register("backward_files", _with(more=f", f AS (SELECT source_id, 'f' || flow_count AS path, min({_floor('1h')}) AS first, max({_floor('1h')}) AS last FROM flows GROUP BY ALL), r AS (SELECT source_id, path, first, max(last) OVER (PARTITION BY source_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM f) SELECT * FROM r WHERE first < reached"))(
+    lambda s, d: guards.backward_files(owned(s, d).groupBy("source_id", F.col("locator").alias("path")).agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last")))
+)
+register("inferred_members", _with(more="SELECT DISTINCT source_id, 'f' || flow_count AS member_id FROM flows"))(
+    lambda s, d: guards.inferred_members(owned(s, d).select("source_id", F.concat(F.lit("/captures/"), "locator", F.lit("/2024/01/02/nfcapd.202401020000")).alias("locator")))
+)
+
+
+def identities(s, d):
+    """Every fifth hour has a TCP flow too many, so that the check has something to find."""
+    extra = F.when((F.col("bucket_start") / 3600).cast("long") % 5 == 0, 1).otherwise(0)
+    return guards.broken_identities(S.traffic(src.from_events(s, d), "1h").withColumn("flows_tcp", F.col("flows_tcp") + extra))
+
+
+register("broken_identities", _traffic("1h") + " SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility, 'flows' AS metric FROM t WHERE (bucket_start // 3600) % 5 = 0")(identities)

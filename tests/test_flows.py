@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
-from netloom.operators import sources_cover, structure
+from netloom.operators import guards, sources_cover, structure
 from netloom.operators import statistics as S
 from netloom.plans import store
 from netloom.sources import flows as src
@@ -170,3 +170,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*cols).collect()}
     want = {tuple(r) for r in S.traffic(df).select(*cols).collect()}
     assert got and got <= want and len(want) - len(got) <= 2  # the last bucket stays open
+
+
+def test_guards(spark):
+    owned = spark.createDataFrame([("a", 0, "x"), ("a", 0, "x"), ("a", 0, "y"), ("b", 0, "x")], "source_id string, bucket_start long, locator string")
+    assert [tuple(r) for r in guards.overlapping_owners(owned).collect()] == [("a", 0, 2)]
+    files = spark.createDataFrame([("a", "1", 0, 900), ("a", "2", 300, 600), ("a", "3", 900, 900), ("b", "1", 0, 0)], "source_id string, path string, first long, last long")
+    assert [tuple(r) for r in guards.backward_files(files).collect()] == [("a", "2", 300, 900)]
+    paths = spark.createDataFrame([("s", "/d/m1/2024/01/02/nfcapd.202401020000"), ("s", "short"), ("s", None)], "source_id string, locator string")
+    assert [tuple(r) for r in guards.inferred_members(paths).collect()] == [("s", "m1")]
+    good = S.traffic(spark.createDataFrame([flow(duration_ms=5)], SCHEMA))
+    assert guards.broken_identities(good).count() == 0
+    assert {r.metric for r in guards.broken_identities(good.withColumn("bytes", F.lit(7)).withColumn("duration_count", F.lit(2))).collect()} == {"bytes", "duration"}
