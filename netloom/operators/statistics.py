@@ -6,7 +6,7 @@ aggregations, so that a frequent source costs no more than its distinct values a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
@@ -111,23 +111,26 @@ def logical_sources(flows: DataFrame, members: DataFrame) -> DataFrame:
     return flows.withColumnRenamed("source_id", "member_id").join(members, "member_id").drop("member_id")
 
 
-def late_rows(rows: DataFrame, lag_buckets: int = 12) -> DataFrame:
+def late_rows(rows: DataFrame, lag_buckets: int = 12, block_rows: int = 1 << 20) -> DataFrame:
     """Rows (source_id, row_no, bucket_start) that come after their bucket was already emitted, in reading order.
 
     A row is late if the rows before it of its source reach more than the lag past their own minimum and past the row.
+    What earlier rows reach goes by blocks of row numbers: one row for each block under a window over the source, then the
+    rows of each block by themselves, so that no task has all rows of a large source.
     """
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("source_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.max("bucket_start").over(before) - lag_buckets * 300
-    w = rows.select("source_id", "row_no", "bucket_start", cut.alias("cut"), F.min("bucket_start").over(before).alias("low"))
+    blocks = rows.select("source_id", "row_no", "bucket_start", F.floor(F.col("row_no") / block_rows).alias("block"))
+    earlier = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    reached = blocks.groupBy("source_id", "block").agg(F.max("bucket_start").alias("hi"), F.min("bucket_start").alias("lo"))
+    reached = reached.select("source_id", "block", F.max("hi").over(earlier).alias("hi"), F.min("lo").over(earlier).alias("lo"))
+    before = Window.partitionBy("source_id", "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.greatest("hi", F.max("bucket_start").over(before)) - lag_buckets * 300
+    low = F.least("lo", F.min("bucket_start").over(before))
+    w = blocks.join(reached, ["source_id", "block"]).select("source_id", "row_no", "bucket_start", cut.alias("cut"), low.alias("low"))
     return w.where("cut > low and bucket_start < cut").select("source_id", "row_no", "bucket_start")
 
 
 def missing_ranges(covered: DataFrame) -> DataFrame:
     """Gaps (source_id, gap_start, gap_end) between half-open intervals (source_id, start, end) that may overlap."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("source_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return covered.select("source_id", reach.alias("gap_start"), F.col("start").alias("gap_end")).where("gap_end > gap_start")

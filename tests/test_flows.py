@@ -182,3 +182,18 @@ def test_guards(spark):
     good = S.traffic(spark.createDataFrame([flow(duration_ms=5)], SCHEMA))
     assert guards.broken_identities(good).count() == 0
     assert {r.metric for r in guards.broken_identities(good.withColumn("bytes", F.lit(7)).withColumn("duration_count", F.lit(2))).collect()} == {"bytes", "duration"}
+
+
+def test_late_rows_do_not_depend_on_blocks(spark):
+    rows = [(f"r{k % 2}", k, (k * 7919) % 97 * 300) for k in range(200)]
+    wanted = set()
+    for source in ("r0", "r1"):
+        seen: list[int] = []
+        for _, k, b in (r for r in rows if r[0] == source):
+            if seen and max(seen) - 3600 > min(seen) and b < max(seen) - 3600:
+                wanted.add((source, k, b))
+            seen.append(b)
+    df = spark.createDataFrame(rows, "source_id string, row_no long, bucket_start long")
+    for size in (1, 7, 1 << 20):
+        assert {tuple(r) for r in S.late_rows(df, block_rows=size).collect()} == wanted
+    assert wanted
