@@ -266,3 +266,27 @@ def identities(s, d):
 
 
 register("broken_identities", _traffic("1h") + " SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility, 'flows' AS metric FROM t WHERE (bucket_start // 3600) % 5 = 0")(identities)
+
+
+def spectra(s, d) -> DataFrame:
+    return structure.spectrum(structured(s, d)[2], KEYS).select(*KEYS, "q8", F.round("alpha", 4).alias("alpha"), F.round("f", 4).alias("f"))
+
+
+_PTS = _ST + _SP + ", pts AS (SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx WHERE dec AND stop = 0)"
+register("spectrum_heat_points", _with(more=_PTS + " SELECT *, dense_rank() OVER (PARTITION BY source_id ORDER BY bucket_start) - 1 AS time_index, min(alpha) OVER s AS alpha_min, max(alpha) OVER s AS alpha_max, min(f) OVER s AS f_min, max(f) OVER s AS f_max FROM pts WINDOW s AS (PARTITION BY source_id)"))(
+    lambda s, d: serving.heat_points(spectra(s, d))
+)
+register("verification_window", _with(more=_PTS + f" SELECT source_id, min(bucket_start) AS bucket_start FROM (SELECT DISTINCT source_id, {_floor('1d')} AS bucket_start FROM flows) SEMI JOIN st USING (source_id, bucket_start) SEMI JOIN pts USING (source_id, bucket_start) GROUP BY ALL"))(
+    lambda s, d: serving.verification_windows(S.traffic(src.from_events(s, d), "1d"), structured(s, d)[2], spectra(s, d))
+)
+
+
+def scanned(s, d) -> DataFrame:
+    """Inputs under scans of two days; every eleventh day is of an older revision."""
+    scan = F.concat_ws("/", "source_id", F.expr("cast(bucket_start div 172800 as string)"))
+    return inputs(s, d).select(scan.alias("scan_locator"), "status", F.when(F.expr("bucket_start div 86400 % 11 = 0"), 0).otherwise(1).alias("revision"))
+
+
+register("scan_fully_processed", _with(more=f", {_IN}, i AS (SELECT source_id || '/' || (bucket_start // 172800) AS scan_locator, status, CASE WHEN (bucket_start // 86400) % 11 = 0 THEN 0 ELSE 1 END AS revision FROM inputs) SELECT * FROM (SELECT DISTINCT scan_locator, 1 AS revision FROM i) c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.scan_locator = c.scan_locator AND (i.status <> 'processed' OR i.revision <> c.revision))"))(
+    lambda s, d: serving.fully_processed(scanned(s, d).select("scan_locator", F.lit(1).alias("revision")).distinct(), scanned(s, d))
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators import statistics as S
@@ -66,6 +66,28 @@ def incomplete_scans(inputs: DataFrame, scans: DataFrame) -> DataFrame:
     return inputs.join(scans, "locator", "left_anti")
 
 
+def fully_processed(scans: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Scans (scan_locator, revision) with no input (scan_locator, revision, status) that is open or of another revision."""
+    open_ = (inputs["status"] != "processed") | (inputs["revision"] != scans["revision"])
+    return scans.join(inputs, (scans["scan_locator"] == inputs["scan_locator"]) & open_, "left_anti")
+
+
+def verification_windows(traffic: DataFrame, structures: DataFrame, spectra: DataFrame) -> DataFrame:
+    """The first bucket of each source that has traffic, structure points and spectrum points."""
+    key = ["source_id", "bucket_start"]
+    t = traffic.where("src_visibility = 'all' and dst_visibility = 'all'").select(*key).distinct()
+    both = t.join(structures.select(*key).distinct(), key).join(spectra.select(*key).distinct(), key)
+    return both.groupBy("source_id").agg(F.min("bucket_start").alias("bucket_start"))
+
+
+def heat_points(spectra: DataFrame) -> DataFrame:
+    """Spectrum points with the place of their bucket among their source's and the source's bounds of alpha and f."""
+    buckets = spectra.select("source_id", "bucket_start").distinct()
+    places = buckets.withColumn("time_index", F.row_number().over(Window.partitionBy("source_id").orderBy("bucket_start")) - 1)
+    bounds = spectra.groupBy("source_id").agg(*[g(c).alias(f"{c}_{n}") for c in ("alpha", "f") for n, g in (("min", F.min), ("max", F.max))])
+    return spectra.join(places, ["source_id", "bucket_start"]).join(bounds, "source_id")
+
+
 def raw_addresses(df: DataFrame, text_cols: list[str]) -> DataFrame:
     """How many values of each text column hold a literal IPv4 address."""
     pattern = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
