@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from netloom.functions import flow_columns as C
 
 KEY = ("source_id", "granularity", "bucket_start", "ip_version", "src_visibility", "dst_visibility")
+#: What names a set of IPv4 addresses.
+SET_KEY = ("source_id", "granularity", "bucket_start", "src_visibility", "dst_visibility", "address_side")
 CLASSES = ("tcp", "udp", "icmp", "other")
 MEASURES = ("duration", "min_ttl", "max_ttl")
 COUNTERS = tuple(f"{m}{c}" for m in ("flows", "packets", "bytes") for c in ("", *(f"_{k}" for k in CLASSES))) + tuple(f"{m}_{s}" for m in MEASURES for s in ("sum", "count"))
@@ -67,6 +69,12 @@ def address_counts(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZO
     return d.groupBy(*KEY, "address_side").agg(F.count("ip").alias("unique_address_count"))
 
 
+def address_sets(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
+    """(SET_KEY, a): the distinct IPv4 addresses of both sides under all five pairs of visibilities, as numbers."""
+    sides = F.explode(F.create_map(F.lit("source"), F.col("src_u32"), F.lit("destination"), F.col("dst_u32"))).alias("address_side", "a")
+    return scoped(bucketed(flows.where("ip_version = 4"), granularity, tz)).select(*SET_KEY[:-1], sides).where("a is not null").distinct()
+
+
 def port_counts(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
     """Distinct ports by side and range (low: below 1024)."""
     sides = F.explode(F.create_map(F.lit("source"), F.col("src_port"), F.lit("destination"), F.col("dst_port"))).alias("port_side", "port")
@@ -91,6 +99,14 @@ def observed_bounds(flows: DataFrame, granularity: str = "5m") -> DataFrame:
     return b.groupBy("source_id").agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last"))
 
 
+def pairs_grid(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
+    """All five pairs of visibilities of every bucket between a source's first and last 5 minutes, at any granularity."""
+    pairs = scopes(flows.sparkSession).where("ip_version = 4").drop("ip_version")
+    start = C.bucket_start(F.col("bucket_start"), granularity, tz)
+    starts = calendar(observed_bounds(flows), "5m").select("source_id", F.lit(granularity).alias("granularity"), start.alias("bucket_start"))
+    return starts.distinct().crossJoin(F.broadcast(pairs))  # five rows
+
+
 def dense(stats: DataFrame, bounds: DataFrame, granularity: str) -> DataFrame:
     """Traffic with all ten scopes of every bucket between a source's bounds; what is missing is 0, averages null."""
     grid = calendar(bounds, granularity).crossJoin(F.broadcast(scopes(stats.sparkSession))).withColumn("granularity", F.lit(granularity))  # ten rows

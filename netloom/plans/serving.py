@@ -26,7 +26,7 @@ def family_totals(traffic: DataFrame) -> DataFrame:
     return S.averages(traffic.groupBy("bucket_start").agg(*sums))
 
 
-def unique_by_family(counts: DataFrame, value: str, by: str | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+def unique_by_family(counts: DataFrame, value: str, by: str | None = None, kinds: tuple[str, ...] = (), keys: list[str] | None = None) -> DataFrame:
     """One series for each source (unique counts don't add up over sources): a column for each kind and family."""
     out = []
     for v in (4, 6):
@@ -34,7 +34,7 @@ def unique_by_family(counts: DataFrame, value: str, by: str | None = None, kinds
             on = F.col("ip_version") == v
             on = on & (F.col(by) == k) if by else on
             out.append(F.coalesce(F.sum(F.when(on, F.col(value))), F.lit(0)).alias("_".join(x for x in (k, f"ipv{v}") if x)))
-    return counts.groupBy("source_id", "bucket_start").agg(*out)
+    return counts.groupBy(*(keys or ["source_id", "bucket_start"])).agg(*out)
 
 
 def file_details(traffic: DataFrame, inputs: DataFrame, addresses: DataFrame, structures: DataFrame) -> DataFrame:
@@ -47,6 +47,22 @@ def file_details(traffic: DataFrame, inputs: DataFrame, addresses: DataFrame, st
     return ns.join(prov, key, "left").join(ip, key, "left").join(st, key, "left")
 
 
+def file_details_by_side(grid: DataFrame, traffic: DataFrame, inputs: DataFrame, addresses: DataFrame, structures: DataFrame) -> DataFrame:
+    """For each bucket and pair of visibilities of the grid: traffic, provenance, address counts, and the JSON of structure and
+    spectrum of either side. structures: as structure.described makes them."""
+    bucket = ["source_id", "bucket_start"]
+    key = [*bucket, "src_visibility", "dst_visibility"]
+    counters = S.COUNTERS[:15]
+    ns = traffic.groupBy(*key).agg(*[F.sum(c).alias(c) for c in counters])
+    prov = inputs.groupBy(*bucket).agg(F.min("locator").alias("first_locator"), F.max("status").alias("status"), F.count("*").alias("n_inputs"))
+    sides = ("source", "destination")
+    ip = unique_by_family(addresses, "unique_address_count", "address_side", sides, key)
+    on = lambda kind, side: (F.col("structure_kind") == kind) & (F.col("address_side") == side)
+    st = structures.groupBy(*key).agg(*[F.max(F.when(on(k, s), F.col("values_json"))).alias(f"{k}_{s}") for k in ("structure", "spectrum") for s in sides])
+    out = grid.join(ns, key, "left").join(ip, key, "left").fillna(0).join(prov, bucket, "left").join(st, key, "left")
+    return out.select(*key, *counters, *[c for c in ip.columns if c not in key], *[c for c in prov.columns if c not in bucket], *[c for c in st.columns if c not in key])
+
+
 def rollup_parity(five_minutes: DataFrame, coarse: DataFrame, widths: DataFrame) -> DataFrame:
     """Rows of the coarse table that its 5-minute children don't add up to, and the other way round.
 
@@ -80,12 +96,12 @@ def verification_windows(traffic: DataFrame, structures: DataFrame, spectra: Dat
     return both.groupBy("source_id").agg(F.min("bucket_start").alias("bucket_start"))
 
 
-def heat_points(spectra: DataFrame) -> DataFrame:
-    """Spectrum points with the place of their bucket among their source's and the source's bounds of alpha and f."""
-    buckets = spectra.select("source_id", "bucket_start").distinct()
-    places = buckets.withColumn("time_index", F.row_number().over(Window.partitionBy("source_id").orderBy("bucket_start")) - 1)
-    bounds = spectra.groupBy("source_id").agg(*[g(c).alias(f"{c}_{n}") for c in ("alpha", "f") for n, g in (("min", F.min), ("max", F.max))])
-    return spectra.join(places, ["source_id", "bucket_start"]).join(bounds, "source_id")
+def heat_points(spectra: DataFrame, series: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """Spectrum points with the place of their bucket among their series' and the series' bounds of alpha and f."""
+    buckets = spectra.select(*series, "bucket_start").distinct()
+    places = buckets.withColumn("time_index", F.row_number().over(Window.partitionBy(*series).orderBy("bucket_start")) - 1)
+    bounds = spectra.groupBy(*series).agg(*[g(c).alias(f"{c}_{n}") for c in ("alpha", "f") for n, g in (("min", F.min), ("max", F.max))])
+    return spectra.join(places, [*series, "bucket_start"]).join(bounds, list(series))
 
 
 def raw_addresses(df: DataFrame, text_cols: list[str]) -> DataFrame:

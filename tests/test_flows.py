@@ -197,3 +197,24 @@ def test_late_rows_do_not_depend_on_blocks(spark):
     for size in (1, 7, 1 << 20):
         assert {tuple(r) for r in S.late_rows(df, block_rows=size).collect()} == wanted
     assert wanted
+
+
+def test_address_structure_has_both_sides_all_pairs_and_empty_sets(spark):
+    one = flow(src_u32=1, dst_u32=9, src_tos=0, end_s=0)
+    two = [flow(src_u32=5, dst_u32=d, src_tos=3, end_s=600) for d in (16, 17, 24, 3_000_000_000)]
+    flows = spark.createDataFrame([one, *two], SCHEMA)
+    keys = list(S.SET_KEY)
+    sides = spark.createDataFrame([("source",), ("destination",)], "address_side string")
+    for granularity, buckets in (("5m", 3), ("30m", 1), ("1h", 1), ("1d", 1)):
+        got = structure.described(S.address_sets(flows, granularity), S.pairs_grid(flows, granularity).crossJoin(sides), keys).collect()
+        assert len(got) == buckets * 5 * 2 * 3
+        by = {(r.bucket_start, r.src_visibility, r.dst_visibility, r.address_side, r.structure_kind): r for r in got}
+        last = max(r.bucket_start for r in got)
+        full = by[last, "anonymized", "anonymized", "destination", "structure"]
+        assert full.values_json.count("tauTilde") == 33 and '"totalAddrs": 4' in full.metadata_json
+        assert by[last, "anonymized", "anonymized", "source", "structure"].values_json == "[]"
+        assert '"totalAddrs": 0' in by[last, "literal", "anonymized", "source", "spectrum"].metadata_json
+    # two addresses part at the first length, where no parent splits: points of zero, as the reference has them
+    pair = spark.createDataFrame([("s", 0), ("s", 1 << 31)], "k string, a long")
+    rows = {r.structure_kind: r.values_json for r in structure.described(pair, pair.select("k").distinct(), ["k"]).collect()}
+    assert rows["structure"].count('"tauTilde": 0.00000000') == 33 and rows["spectrum"] == "[]" and rows["dimension"].count("dim") == 3
