@@ -11,8 +11,18 @@ FIVE_MINUTES = 300
 WIDTHS = {"5m": 300, "30m": 1800, "1h": 3600}
 GRANULARITIES = ("5m", "30m", "1h", "1d")
 VISIBILITIES = ("literal", "anonymized")
-#: Names of IP protocols that records may carry in place of numbers (fixed values of the IANA registry).
-PROTOCOLS = {"ICMP": 1, "IGMP": 2, "TCP": 6, "UDP": 17, "IPV6": 41, "GRE": 47, "ESP": 50, "AH": 51, "ICMP6": 58, "IPV6-ICMP": 58, "OSPF": 89, "SCTP": 132}
+#: Names and aliases of IP protocols that records may carry in place of numbers: the common table /etc/protocols up to 255 and the
+#: reference's fallback, fixed here so that results don't depend on the machine. IPIP is 94, as in that table (the fallback, for
+#: machines without one, says 4).
+PROTOCOLS = {
+    "HOPOPT": 0, "IP": 0, "ICMP": 1, "IGMP": 2, "GGP": 3, "IP-ENCAP": 4, "IPENCAP": 4, "ST": 5, "TCP": 6, "EGP": 8, "IGP": 9,
+    "PUP": 12, "UDP": 17, "HMP": 20, "XNS-IDP": 22, "RDP": 27, "ISO-TP4": 29, "DCCP": 33, "XTP": 36, "DDP": 37, "IDPR-CMTP": 38,
+    "IPV6": 41, "IPV6-ROUTE": 43, "IPV6-FRAG": 44, "IDRP": 45, "RSVP": 46, "GRE": 47, "ESP": 50, "IPSEC-ESP": 50, "AH": 51,
+    "IPSEC-AH": 51, "SKIP": 57, "ICMP6": 58, "ICMPV6": 58, "IPV6-ICMP": 58, "IPV6-NONXT": 59, "IPV6-OPTS": 60, "CPHB": 73,
+    "RSPF": 73, "VMTP": 81, "EIGRP": 88, "OSPF": 89, "OSPFIGP": 89, "AX.25": 93, "IPIP": 94, "ETHERIP": 97, "ENCAP": 98,
+    "PIM": 103, "IPCOMP": 108, "VRRP": 112, "L2TP": 115, "ISIS": 124, "SCTP": 132, "FC": 133, "MOBILITY-HEADER": 135,
+    "UDPLITE": 136, "MPLS-IN-IP": 137, "MANET": 138, "HIP": 139, "SHIM6": 140, "WESP": 141, "ROHC": 142, "ETHERNET": 143,
+}
 IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|0?\d?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|0?\d?\d)){3}$"
 
 
@@ -60,9 +70,10 @@ def protocol_class(protocol: Column) -> Column:
     return F.when(protocol == 6, "tcp").when(protocol == 17, "udp").when(protocol.isin(1, 58), "icmp").otherwise("other")
 
 
-def protocol_number(text: Column) -> Column:
-    """A name or a number; blank is 0, what is neither is null."""
-    known = F.create_map(*[F.lit(x) for pair in PROTOCOLS.items() for x in pair])
+def protocol_number(text: Column, more: dict[str, int] | None = None) -> Column:
+    """A name or a number; blank is 0, what is neither is null. more: names laid over PROTOCOLS, in any case."""
+    names = PROTOCOLS | {k.upper(): v for k, v in (more or {}).items()}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     upper = F.upper(F.trim(text))
     return F.when(F.coalesce(upper, F.lit("")) == "", 0).otherwise(F.coalesce(F.try_element_at(known, upper), upper.try_cast("int")))
 

@@ -75,6 +75,7 @@ class CsvMapping:
     timestamp_format: str = "unix"  # unix, unix_ms or a datetime pattern
     timezone: str = "UTC"
     defaults: dict[str, int] = field(default_factory=lambda: {"packets": 0, "bytes": 0, "src_tos": 0, "dst_tos": 0, "flow_count": 1})
+    protocol_map: dict[str, int] = field(default_factory=dict)  # names of protocols, laid over the fixed ones
 
 
 def milliseconds(c, mapping: CsvMapping):
@@ -104,7 +105,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], mapping: CsvMapping) -
         return F.when(t.isNull(), F.lit(default).cast("long")).otherwise(v), t.isNotNull() & (v.isNull() | ~v.between(low, high))
 
     received, end, start = (milliseconds(F.nullif(text(c), F.lit("")), mapping) for c in ("time_received", "time_end", "time_start"))
-    protocol = C.protocol_number(text("protocol"))
+    protocol = C.protocol_number(text("protocol"), mapping.protocol_map)
     src_ip, dst_ip = text("src_ip"), text("dst_ip")
     big = (1 << 63) - 1
     numbers = {n: number(n, low, high) for n, low, high in (("packets", 0, big), ("bytes", 0, big), ("src_tos", 0, 255), ("min_ttl", 0, 255), ("max_ttl", 0, 255), ("flow_count", 1, big))}

@@ -218,3 +218,14 @@ def test_address_structure_has_both_sides_all_pairs_and_empty_sets(spark):
     pair = spark.createDataFrame([("s", 0), ("s", 1 << 31)], "k string, a long")
     rows = {r.structure_kind: r.values_json for r in structure.described(pair, pair.select("k").distinct(), ["k"]).collect()}
     assert rows["structure"].count('"tauTilde": 0.00000000') == 33 and rows["spectrum"] == "[]" and rows["dimension"].count("dim") == 3
+
+
+def test_protocol_names_of_the_reference_and_own_ones(spark, tmp_path):
+    names = {"ICMPV6": 58, "ipip": 94, "Egp": 8, "RSVP": 46, "EIGRP": 88, "OSPFIGP": 89, "PIM": 103, "VRRP": 112, "IPv6-Frag": 44, "RSPF": 73, "mine": 200, "17": 17, "TCP": 66}
+    lines = [f"2016-07-27 13:43:30,192.0.2.1,198.51.100.1,{n},{k},300,3" for k, n in enumerate(names)]
+    flows, rejected = src.read_csv(spark, csv(tmp_path, lines), mapping(protocol_map={"Mine": 200, "tcp": 66}))
+    assert [r.protocol for r in flows.orderBy("packets").collect()] == list(names.values()) and rejected.count() == 0
+    d = tmp_path / "r7/2025/11/02"
+    d.mkdir(parents=True)
+    (d / "nfcapd.202511020115").write_text(",".join(src.CAPTURE_FIELDS) + "\n1744733279.999,1744733000.001,1744732700.500,2001:db8::1,2001:db8::2,0,0,ICMPV6,5,500,3,0,3,0,64\n")
+    assert src.read_captures(spark, str(d / "nfcapd.202511020115")).first().protocol == 58
