@@ -34,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import as_bytes, batches, columns, stored, tuned, words_of
 
-#: Words in the broadcast dictionary at most and their bytes at most; longest piece; passes over the words; flush size.
-HEAD, HEAD_BYTES, PIECE_CHARS, PASSES, FLUSH = 150_000, 64, 10, 2, 400_000
+#: Words in the broadcast dictionary at most and their bytes at most; passes over the words; flush size.
+HEAD, HEAD_BYTES, PASSES, FLUSH = 150_000, 64, 2, 400_000
 #: How a document's own words weigh against the corpus; parameters, chosen on training documents alone: the best mean of 36
 #: settings on those of check_s with remainder 3, with a model of the other training documents.
 DISCOUNT, PRIOR = 0.96, 5.0
@@ -56,7 +56,7 @@ def load_pieces(path: str) -> dict[str, float]:
     for i in sorted(range(model.get_piece_size()), key=lambda i: -model.get_score(i)):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             p = model.id_to_piece(i).replace("▁", "")
-            if p and len(p) <= PIECE_CHARS:
+            if p:
                 out.setdefault(p, len(out))
     return out
 
@@ -66,6 +66,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str], weights: np.ndarray, stop: float):
         self.index = {p: k + 2 for k, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)  # every piece has its arcs
         with np.errstate(divide="ignore"):
             self.logp = np.log(np.concatenate([[0.0], weights / weights.sum()])) + math.log1p(-stop)
         self.logp[1] -= 17 * math.log(2)  # the share of other characters is dealt evenly
@@ -73,7 +74,7 @@ class Lattice:
         self.spans: dict[int, list[tuple[int, int]]] = {}
 
     def arcs(self, words: list[str], length: int) -> np.ndarray:
-        spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - PIECE_CHARS), j)]
+        spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
         get = self.index.get
         flat = (get(w[i:j], 1 if j - i == 1 else 0) for w in words for i, j in spans)
         return np.fromiter(flat, np.int32, len(words) * len(spans)).reshape(len(words), len(spans))
@@ -84,7 +85,7 @@ class Lattice:
         for k, w in enumerate(words):
             by[len(w)].append(k)
         for length, places in by.items():
-            step = max(1, 400_000 // (length * PIECE_CHARS))
+            step = max(1, 400_000 // (length * self.longest))
             for s in range(0, len(places), step):
                 part = places[s : s + step]
                 yield part, length, self.arcs([words[k] for k in part], length)
@@ -93,7 +94,7 @@ class Lattice:
         alpha = np.zeros((len(lp), length + 1))
         at = 0
         for j in range(1, length + 1):
-            i = max(0, j - PIECE_CHARS)
+            i = max(0, j - self.longest)
             x = alpha[:, i:j] + lp[:, at : at + j - i]
             at += j - i
             top = x.max(1)
@@ -118,7 +119,7 @@ class Lattice:
             at = lp.shape[1]
             post = np.empty_like(lp)
             for j in range(length, 0, -1):
-                i = max(0, j - PIECE_CHARS)
+                i = max(0, j - self.longest)
                 at -= j - i
                 x = lp[:, at : at + j - i] + beta[:, j : j + 1]
                 post[:, at : at + j - i] = alpha[:, i:j] + x

@@ -330,3 +330,13 @@ def test_lm_adaptation_equals_a_plain_loop_and_the_join(spark, texts, monkeypatc
     monkeypatch.setattr(lm_score, "PRIOR", 1e12)  # documents' own words count for nothing
     plain = queries.op3_lm_score(spark, SF).where("held_out").collect()
     assert sum(one[r.doc_id][2] for r in plain) > sum(r.score for r in plain)
+
+
+def test_long_pieces_are_in_the_lattice():
+    pieces = lm_score.load_pieces(queries.PIECES)
+    assert "infrastructure" in pieces and max(map(len, pieces)) > 10
+    lattice = lm_score.Lattice(["infra", "structure", "infrastructure"], np.array([0.1, 1.0, 1.0, 2.0]), 0.5)
+    p = np.exp(lattice.logp[2:])
+    end = math.exp(lattice.end)
+    assert math.exp(lattice.log_marginals(["infrastructure"])[0]) == pytest.approx((p[2] + p[0] * p[1]) * end)
+    assert lattice.expected(["infrastructure"])[4] == pytest.approx(p[2] / (p[2] + p[0] * p[1]))
