@@ -232,16 +232,17 @@ def open_links(
     members = stored(marked.where(F.col("n") > SHORT).select("hub", "rep", "label").distinct(), "members")
     sizes = members.groupBy("hub", "label").agg(F.count("*").alias("n")).groupBy("hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).getField("label").alias("main"))
     texts = texts_of(docs, members.select(F.col("rep").alias("a"), F.col("rep").alias("b")), id_col, text_col)
-    id_set = columns("id long, full binary")
+    id_set = columns("id long, set binary, full binary")
 
     def full_sets(it):
         of = once("word hashes", word_hashes)
         for x in it:
-            yield batches(id_set, [x.column("id").to_pylist(), [shingles(t, of, words).tobytes() for t in as_bytes(x, "text")]])
+            sets = [shingles(t, of, words).tobytes() for t in as_bytes(x, "text")]
+            yield batches(id_set, [x.column("id").to_pylist(), [xxhash.xxh3_128_digest(f) for f in sets], sets])
 
     full = members.select(F.col("rep").alias("id")).distinct().join(texts, "id").mapInArrow(full_sets, id_set)
-    full = full.groupBy("id").agg(F.max("full").alias("full")).withColumnRenamed("id", "rep")
-    placed = members.join(sizes, "hub").join(reps.select("rep", "sig"), "rep").join(full, "rep")
+    full = full.groupBy("id", "set").agg(F.any_value("full").alias("full")).withColumnRenamed("id", "rep")  # equal rows are one
+    placed = members.join(sizes, "hub").join(reps.select("rep", "set", "sig"), "rep").join(full, ["rep", "set"])  # each set with its own signature
     placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
     block = F.collect_list(F.struct("rep", "label", "sig", "full")).alias("rows")  # about BLOCK rows
     every = placed.groupBy("hub", "part").agg(block)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.llm import bpe, components, decontaminate, exact_dedup, line_dedup, lm_score, minhash, queries, secrets, token_counts, token_ids, toxicity
 
@@ -340,3 +341,22 @@ def test_long_pieces_are_in_the_lattice():
     end = math.exp(lattice.end)
     assert math.exp(lattice.log_marginals(["infrastructure"])[0]) == pytest.approx((p[2] + p[0] * p[1]) * end)
     assert lattice.expected(["infrastructure"])[4] == pytest.approx(p[2] / (p[2] + p[0] * p[1]))
+
+
+def test_long_lists_compare_every_set_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHORT", 0)  # every list is long
+    rng = random.Random(5)
+    rows, want = [], set()
+    for g in range(6):
+        for k in range(2):  # two texts under one id, each with a near copy
+            base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+            rows += [(10 * g, " ".join(base)), (10 * g + 1 + k, " ".join(base[:-1]))]
+            want.add((10 * g, 10 * g + 1 + k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = minhash.signatures(docs, "doc_id", "text", 5).withColumnRenamed("doc_id", "rep").cache()
+    least = minhash.needed(0.85)
+    posted = minhash.postings(reps, minhash.frequency_sketch(reps), minhash.COORDINATES - least + 1)
+    heads = posted.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("common", "rep")).getField("rep").alias("hub")).where("n > 1")
+    lists = posted.select("key", "rep").join(heads, "key").cache()
+    links = minhash.open_links(lists, reps, spark.createDataFrame([], "v long, label long"), docs, least, 0.85, 5, "doc_id", "text")
+    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == want
