@@ -1,21 +1,24 @@
 """Language-model scores by subword lattice likelihood.
 
-A word's probability adds up all ways to read it. Either it is read whole, with its discounted share of the training
-tokens (three discounts by Good-Turing counts of counts, as in modified Kneser-Ney smoothing), or, with the mass that
-the discounts free, as a sequence of pieces of a public subword vocabulary: a forward recursion in log space over the
-word's lattice sums the probabilities of all segmentations. The pieces start with probabilities by the vocabulary's own
-scores (its order) and are re-estimated by forward-backward passes over all distinct training words. Words don't share
-pieces, so a document's marginal probability is the product over its words and its end.
-
-That corpus probability p of a word is adapted to the document as it is read: after m words, of which t are distinct and k
-are this one, it is (max(k - DISCOUNT, 0) + (PRIOR + DISCOUNT * t) * p) / (m + PRIOR), which stays a distribution.
-
-All words of the corpus are counted and scored in a table; documents look up the HEAD most frequent ones in a broadcast
-dictionary (bounded) and join the table for the rest, so that no frequent word is a hot key of the join.
+The pieces of a public subword vocabulary are the arcs of a lattice over a text, which is written as its words in lower
+case, each with the vocabulary's word-start mark, and an end. A text's probability is that of all its segmentations
+together: a forward recursion in log space sums over every path of pieces. Pieces of any length count; a character that
+is no piece has an arc of its own. No arc crosses the start of a word, so the recursion passes through each word's start
+and a text's marginal is the product of its words' marginals and the end's: words are run through the lattice once for
+the whole corpus.
+
+The weights start from the vocabulary's own scores. The file at hand is a BPE model, whose scores are minus the rank of
+the piece, so a piece's first share is 1 / (OFFSET - score), Zipf's law over ranks. These shares, with PSEUDO counts for
+each piece on average, are the prior of the weights that are learned: PASSES forward-backward passes over the training
+documents' distinct words, each weighted by its count, give the expected number of uses of every piece, the end counts
+once for each training document, and the sum of both is normalised.
+
+All words of the corpus are counted and scored in a table, which grows with the corpus; documents look up the HEAD most
+frequent ones in a broadcast dictionary (bounded) and join the table for the rest, so that no frequent word is a hot key.
 
 Edge cases: a null or empty text is its end alone; a null id counts as the empty string in the split; rows with equal id
-and text get equal results, once for each row; a corpus without training documents scores by pieces alone and the base by
-1 / (V + 1) with V = 0; an empty table gives an empty result.
+and text get equal results, once for each row; a corpus without training documents scores by the prior alone and the base
+by 1 / (V + 1) with V = 0; other columns are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,22 +26,24 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_bytes, batches, columns, stored, tuned, words_of
+from .common import as_bytes, batches, columns, discard, stored, tuned, words_of
 
-#: Words in the broadcast dictionary at most and their bytes at most; passes over the words; flush size.
-HEAD, HEAD_BYTES, PASSES, FLUSH = 150_000, 64, 2, 400_000
-#: How a document's own words weigh against the corpus; parameters, chosen on training documents alone: the best mean of 36
-#: settings on those of check_s with remainder 3, with a model of the other training documents.
-DISCOUNT, PRIOR = 0.96, 5.0
+#: Words in the broadcast dictionary at most and their bytes at most; flush size; characters in the lattice at once.
+HEAD, HEAD_BYTES, FLUSH, AT_ONCE = 150_000, 64, 400_000, 200_000
+#: Of the weights: passes over the words, the rank that shares start from, pseudo-counts for each piece on average.
+PASSES, OFFSET, PSEUDO = 2, 10.0, 1.0
+#: The vocabulary's word-start mark (fixed value); bits by which the share of characters that are no pieces is dealt.
+MARK, OTHER_BITS = "▁", 17
 #: The split of the contract: the documents whose crc32 has this remainder are held out.
 MODULUS, HELD_OUT = 7, 2
 
@@ -47,88 +52,96 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % MODULUS == HELD_OUT
 
 
-def load_pieces(path: str) -> dict[str, float]:
-    """The vocabulary's pieces without their word-start mark, each with its rank by the file's scores."""
+def load_pieces(path: str) -> tuple[list[str], np.ndarray]:
+    """The vocabulary's pieces with their marks, and their shares by the file's scores."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    out: dict[str, float] = {}
-    for i in sorted(range(model.get_piece_size()), key=lambda i: -model.get_score(i)):
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            p = model.id_to_piece(i).replace("▁", "")
-            if p:
-                out.setdefault(p, len(out))
-    return out
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    shares = 1 / (OFFSET - np.array([min(model.get_score(i), 0.0) for i in ids]))
+    return [model.id_to_piece(i) for i in ids], shares / shares.sum()
 
 
 class Lattice:
-    """Pieces with log probabilities; index 0 is no piece, 1 a character that is in no piece, then the pieces."""
-
-    def __init__(self, pieces: list[str], weights: np.ndarray, stop: float):
-        self.index = {p: k + 2 for k, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)  # every piece has its arcs
-        with np.errstate(divide="ignore"):
-            self.logp = np.log(np.concatenate([[0.0], weights / weights.sum()])) + math.log1p(-stop)
-        self.logp[1] -= 17 * math.log(2)  # the share of other characters is dealt evenly
-        self.end = math.log(stop) - math.log1p(-stop)
-        self.spans: dict[int, list[tuple[int, int]]] = {}
-
-    def arcs(self, words: list[str], length: int) -> np.ndarray:
-        spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
-        get = self.index.get
-        flat = (get(w[i:j], 1 if j - i == 1 else 0) for w in words for i, j in spans)
-        return np.fromiter(flat, np.int32, len(words) * len(spans)).reshape(len(words), len(spans))
-
-    def groups(self, words: list[str]):
-        """(places, length, arcs) for words of equal length, in slices of bounded size."""
-        by = defaultdict(list)
-        for k, w in enumerate(words):
-            by[len(w)].append(k)
-        for length, places in by.items():
-            step = max(1, 400_000 // (length * self.longest))
-            for s in range(0, len(places), step):
-                part = places[s : s + step]
-                yield part, length, self.arcs([words[k] for k in part], length)
-
-    def forward(self, lp: np.ndarray, length: int) -> np.ndarray:
-        alpha = np.zeros((len(lp), length + 1))
-        at = 0
-        for j in range(1, length + 1):
-            i = max(0, j - self.longest)
-            x = alpha[:, i:j] + lp[:, at : at + j - i]
-            at += j - i
-            top = x.max(1)
-            alpha[:, j] = top + np.log(np.exp(x - top[:, None]).sum(1))
-        return alpha
+    """Pieces with log probabilities. Symbol 0 is a character that is no piece, then come the pieces, the last is the end."""
+
+    def __init__(self, pieces: list[str], weights: np.ndarray):
+        self.sizes = np.array([1, *map(len, pieces)])
+        self.logp = np.log(weights / weights.sum())
+        self.end = self.logp[-1]
+        self.logp[0] -= OTHER_BITS * math.log(2)
+        self.find = ahocorasick.Automaton()
+        for k, p in enumerate(pieces):
+            self.find.add_word(p, k + 1)
+        if pieces:
+            self.find.make_automaton()
+
+    def graph(self, words: list[str]):
+        """All arcs of the marked words: (symbol, from, to, depth of from, depth of to) and each word's first node and length.
+
+        A word's nodes are the places between its characters; words are laid out one after the other.
+        """
+        text = "\n".join([MARK + w for w in words])
+        lengths = np.array([len(w) + 1 for w in words])
+        first = np.cumsum(lengths + 1) - lengths - 1
+        depth = np.arange(len(text) + 1) - np.repeat(first, lengths + 1)
+        found = np.fromiter(chain.from_iterable(self.find.iter(text) if len(self.find) else ()), np.int64).reshape(-1, 2)
+        to, symbol = found[:, 0] + 1, found[:, 1]
+        bare = np.ones(len(text), bool)
+        bare[first[1:] - 1] = False  # between words
+        bare[to[self.sizes[symbol] == 1] - 1] = False
+        bare = np.flatnonzero(bare)
+        to, symbol = np.concatenate([to, bare + 1]), np.concatenate([symbol, np.zeros(len(bare), np.int64)])
+        start = to - self.sizes[symbol]
+        return symbol, start, to, depth, first, lengths
+
+    @staticmethod
+    def swept(node: np.ndarray, other: np.ndarray, lp: np.ndarray, depth: np.ndarray, values: np.ndarray, backward: bool) -> None:
+        """Fill values at `node` by log-sum-exp of values at `other` plus lp, depth by depth."""
+        d = depth[node]
+        order = np.lexsort((node, -d if backward else d))
+        node, other, lp, d = node[order], other[order], lp[order], d[order]
+        heads = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+        steps = np.flatnonzero(np.append(True, d[heads][1:] != d[heads][:-1])) if len(heads) else heads
+        ends = np.append(heads, len(node))
+        for a, b in zip(steps, np.append(steps[1:], len(heads)), strict=True):
+            lo, hi = ends[a], ends[b]
+            at = heads[a:b] - lo
+            x = values[other[lo:hi]] + lp[lo:hi]
+            top = np.maximum.reduceat(x, at)
+            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(at, hi - lo)))), at)
+            values[node[heads[a:b]]] = top + np.log(total)
 
     def log_marginals(self, words: list[str]) -> np.ndarray:
-        """The natural log of each word's probability over all its segmentations."""
-        out = np.zeros(len(words))
-        for places, length, arcs in self.groups(words):
-            out[places] = self.forward(self.logp[arcs], length)[:, -1] + self.end
-        return out
-
-    def expected(self, words: list[str]) -> np.ndarray:
-        """Expected counts of the pieces over all segmentations of the words."""
-        total = np.zeros(len(self.logp))
-        for _, length, arcs in self.groups(words):
-            lp = self.logp[arcs]
-            alpha = self.forward(lp, length)
-            beta = np.full_like(alpha, -np.inf)
-            beta[:, -1] = 0
-            at = lp.shape[1]
-            post = np.empty_like(lp)
-            for j in range(length, 0, -1):
-                i = max(0, j - self.longest)
-                at -= j - i
-                x = lp[:, at : at + j - i] + beta[:, j : j + 1]
-                post[:, at : at + j - i] = alpha[:, i:j] + x
-                top = np.maximum(beta[:, i:j], x)
-                with np.errstate(invalid="ignore"):
-                    more = np.log(np.exp(beta[:, i:j] - top) + np.exp(x - top))
-                beta[:, i:j] = np.where(np.isneginf(top), top, top + more)
-            total += np.bincount(arcs.ravel(), weights=np.exp(post - alpha[:, -1:]).ravel(), minlength=len(total))
-        return total
+        """The natural log of each marked word's probability over all its segmentations."""
+        symbol, start, to, depth, first, lengths = self.graph(words)
+        alpha = np.zeros(len(depth))
+        self.swept(to, start, self.logp[symbol], depth, alpha, False)
+        return alpha[first + lengths]
+
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of the symbols over all segmentations of the words, each as often as it counts."""
+        symbol, start, to, depth, first, lengths = self.graph(words)
+        lp = self.logp[symbol]
+        alpha, beta = np.zeros(len(depth)), np.zeros(len(depth))
+        self.swept(to, start, lp, depth, alpha, False)
+        self.swept(start, to, lp, depth, beta, True)
+        word = np.repeat(np.arange(len(words)), lengths + 1)[start]
+        post = np.exp(alpha[start] + lp + beta[to] - alpha[(first + lengths)[word]])
+        return np.bincount(symbol, weights=post * counts[word], minlength=len(self.logp))
+
+
+def in_chunks(words: list[bytes], counts: list[int]):
+    """(words, counts) in parts of about AT_ONCE characters."""
+    held, size, at = [], 0, 0
+    for k, w in enumerate(words):
+        held.append(w.decode())
+        size += len(w) + 1
+        if size >= AT_ONCE:
+            yield held, np.array(counts[at : k + 1], float)
+            held, size, at = [], 0, k + 1
+    if held:
+        yield held, np.array(counts[at:], float)
 
 
 def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -161,17 +174,31 @@ def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def in_chunks(it, size: int = 8192):
-    """(words, counts) gathered from small batches; the empty word, the end, comes too."""
-    words, counts = [], []
-    for b in it:
-        words += b.column("word").to_pylist()
-        counts += b.column("c").to_pylist()
-        if len(words) >= size:
-            yield words, counts
-            words, counts = [], []
-    if words:
-        yield words, counts
+def train_pieces(words: DataFrame, pieces_path: str, passes: int = PASSES) -> tuple[list[str], np.ndarray]:
+    """Pieces and the symbols' weights: the vocabulary's shares as prior, and passes over all distinct training words."""
+    pieces, shares = load_pieces(pieces_path)
+    prior = PSEUDO * np.concatenate([[1.0], len(pieces) * shares, [1.0]])
+    weights = prior
+    schema = columns("symbol int, n double")
+    for _ in range(passes):
+        model = words.sparkSession.sparkContext.broadcast((pieces, weights))
+
+        def expect(it, model=model):
+            lattice = Lattice(*model.value)
+            total = np.zeros(len(lattice.logp))
+            for b in it:
+                for own, counts in in_chunks(b.column("word").to_pylist(), b.column("c").to_pylist()):
+                    total += lattice.expected(own, counts)
+            used = np.flatnonzero(total > 0)
+            yield batches(schema, [used.tolist(), total[used].tolist()])
+
+        trained = words.where("c > 0 and word <> X''").select("word", "c")
+        weights = prior.copy()
+        for r in trained.mapInArrow(expect, schema).groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # a row for each symbol at most
+            weights[r.symbol] += r.n
+        end = words.where("word = X''").first()
+        weights[-1] += end.c if end else 0
+    return pieces, weights
 
 
 def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -184,91 +211,26 @@ def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return vocabulary, codes.astype(np.int64), ends.astype(np.int64)
 
 
-def adaptation(codes: np.ndarray, ends: np.ndarray, width: int):
-    """For each word: its document, the order by document and word, its place in the document, how often the document had it
-    before, and how many distinct words the document had before."""
-    n = np.diff(ends)
-    doc = np.repeat(np.arange(len(n)), n)
-    key = doc * max(width, 1) + codes
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, np.diff(key[order]) != 0)[: len(order)]
-    at = np.arange(len(order))
-    before = np.empty(len(order), np.int64)
-    before[order] = at - np.maximum.accumulate(np.where(new, at, 0)) if len(order) else at
-    firsts = np.append(0, np.cumsum(before == 0))
-    return doc, order, at - ends[doc], before, firsts[:-1] - firsts[ends[doc]]
-
-
-def train_pieces(words: DataFrame, pieces_path: str, passes: int = PASSES) -> tuple[list[str], np.ndarray, float]:
-    """Pieces, weights and the probability that a word stops after a piece, by passes over all distinct training words."""
-    ranked = load_pieces(pieces_path)
-    pieces = list(ranked)
-    weights = np.concatenate([[1e-4], 1.0 / (np.arange(len(pieces)) + 10.0)])
-    stop = 0.3
-    schema = columns("piece int, n double")
-    for _ in range(passes):
-        model = words.sparkSession.sparkContext.broadcast((pieces, weights, stop))
-
-        def expect(it, model=model):
-            lattice = Lattice(*model.value)
-            total = np.zeros(len(lattice.logp))
-            n = 0
-            for ws, _ in in_chunks(it):
-                own = [w.decode() for w in ws if w]
-                n += len(own)
-                total += lattice.expected(own)
-            total[0] = n
-            used = np.flatnonzero(total > 1e-9)
-            yield batches(schema, [used.tolist(), total[used].tolist()])
-
-        got = words.where("c > 0").select("word", "c").mapInArrow(expect, schema).groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece at most
-        total = np.zeros(len(pieces) + 2)
-        for r in got:
-            total[r.piece] = r.n
-        weights = total[1:] + 0.01
-        stop = min(0.99, max(0.01, total[0] / total[1:].sum())) if total[0] else stop
-    return pieces, weights, stop
-
-
-def discounts(counts: list[int], tokens: int, types: int) -> tuple[tuple[float, float, float], float]:
-    """What words seen once, twice and more often give up, and the mass that this frees. counts: words seen 1 to 4 times."""
-    n1, n2, n3, n4 = counts
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    raw = [k - (k + 1) * y * b / a if a else y * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    d = tuple(min(max(x, 0.1 * k), 0.95 * k) for k, x in enumerate(raw, 1))
-    freed = d[0] * n1 + d[1] * n2 + d[2] * (types - n1 - n2)
-    return d, freed / tokens if tokens else 1.0
-
-
 def lm_score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document."""
     spark = docs.sparkSession
     tuned(spark)
     words = stored(count_words(docs, id_col, text_col), "words")
-    s = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), *[F.count_if(F.expr(f"c = {k} and word <> X''")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    ).first()
+    s = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = s.n, s.v
-    d, freed = discounts([s.n1, s.n2, s.n3, s.n4], n, v)
     model = spark.sparkContext.broadcast(train_pieces(words, pieces_path))
     scored_schema = columns("word binary, c long, lp double")
 
     def score(it):
         lattice = Lattice(*model.value)
-        for ws, cs in in_chunks(it):
-            places = [k for k, w in enumerate(ws) if w]
-            sub = np.full(len(ws), -np.inf)
-            sub[places] = lattice.log_marginals([ws[k].decode() for k in places])
-            lp = []
-            for w, c, x in zip(ws, cs, sub, strict=True):
-                whole = (c - (d[min(c, 3) - 1] if w else 0)) / n if c else 0.0
-                part = math.log(freed) + x if freed and x > -math.inf else -math.inf
-                if whole:
-                    part = math.log(whole) + (math.log1p(math.exp(part - math.log(whole))) if part < math.log(whole) + 700 else part - math.log(whole))
-                lp.append((part if part > -math.inf else -math.log(n + 1)) / math.log(10))
-            yield batches(scored_schema, [ws, cs, lp])
+        for b in it:
+            ws, cs = b.column("word").to_pylist(), b.column("c").to_pylist()
+            lp = np.concatenate([lattice.log_marginals(own) for own, _ in in_chunks(ws, cs)])
+            lp = np.where([w == b"" for w in ws], lattice.end, lp) / math.log(10)
+            yield batches(scored_schema, [ws, cs, lp.tolist()])
 
     table = stored(words.mapInArrow(score, scored_schema), "scores")
+    discard(words)
     # The head: all words over a count that at most HEAD words reach.
     steps = sorted(((r.k, r.n) for r in table.where("c > 0").groupBy(F.least("c", F.lit(65_536)).alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, size = 65_537, 0
@@ -279,52 +241,43 @@ def lm_score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col
     head = table.where((F.least("c", F.lit(65_536)) >= least) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
     base_of = lambda c: math.log10((c + 1) / (n + v + 1))
     end = table.where("word = X''").first()
-    known = spark.sparkContext.broadcast({w: (base_of(c), 10.0**lp) for w, c, lp in zip(head["word"].to_pylist(), head["c"].to_pylist(), head["lp"].to_pylist(), strict=True)})
+    known = spark.sparkContext.broadcast({w: (base_of(c), lp) for w, c, lp in zip(head["word"].to_pylist(), head["c"].to_pylist(), head["lp"].to_pylist(), strict=True)})
     end_c, end_lp = (end.c, end.lp) if end else (0, 0.0)
-    row_schema = columns("doc_id long, tid long, word binary, tf long, n_tokens long, n_known long, base double, score double, later array<double>")
+    row_schema = columns("doc_id long, tid long, word binary, tf long, n_tokens long, n_known long, base double, score double")
 
     def look_up(it):
-        arrow = to_arrow_schema(row_schema)
         of = known.value
         for x in it:
             ids = x.column(id_col).to_pylist()
             tids = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in as_bytes(x, text_col)]
             vocabulary, codes, ends = tokens_of(x.column(text_col))
-            doc, order, place, before, types = adaptation(codes, ends, len(vocabulary))
-            got = [of.get(w, (0.0, np.nan)) for w in vocabulary]
-            base_w, p_w = np.array(got, float).reshape(-1, 2).T
-            share = np.where(before > 0, before - DISCOUNT, 0.0) / (place + PRIOR)
-            rest = (PRIOR + DISCOUNT * types) / (place + PRIOR)
-            common = ~np.isnan(p_w[codes])
-            each = np.log10(np.where(common, share + rest * np.where(common, p_w[codes], 0.0), rest))
-            lengths, n_types = np.diff(ends), np.bincount(doc[before == 0], minlength=len(ids))
-            last = np.log10((PRIOR + DISCOUNT * n_types) / (lengths + PRIOR)) + end_lp
+            lengths = np.diff(ends)
+            doc = np.repeat(np.arange(len(ids)), lengths)
+            base_w, lp_w = np.array([of.get(w, (0.0, np.nan)) for w in vocabulary], float).reshape(-1, 2).T
+            common = ~np.isnan(lp_w[codes])
 
             def by_doc(weights, doc=doc, n=len(ids)):
                 return np.bincount(doc, weights=weights, minlength=n)
 
             own = by_doc(common).astype(np.int64) + (end_c > 0)
-            words = [b"\xff" + t.to_bytes(8, "big", signed=True) for t in tids]  # spread over the join, where no word equals them
-            yield batches(row_schema, [ids, tids, words, [0] * len(ids), lengths + 1, own, by_doc(base_w[codes]) + base_of(end_c), by_doc(each) + last, [None] * len(ids)])
-            # The other words: one row for each of a document's, with what the join needs for each later occurrence.
-            chosen = order[~common[order]]
-            starts = np.flatnonzero(before[chosen] == 0)
-            tf = np.diff(np.append(starts, len(chosen)))
-            again = chosen[before[chosen] > 0]
-            firsts = chosen[starts]
-            zeros = np.zeros(len(firsts), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf - 1)), pa.int32()), pa.array(share[again] / rest[again], pa.float64()), type=arrow.field("later").type)
-            parts = [[ids[d] for d in doc[firsts]], np.array(tids, np.int64)[doc[firsts]], [vocabulary[c] for c in codes[firsts]], tf, zeros, zeros, zeros.astype(float), zeros.astype(float)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(parts, arrow, strict=False)] + [lists], schema=arrow)
+            spread = [b"\xff" + t.to_bytes(8, "big", signed=True) for t in tids]  # over the join, where no word equals them
+            scores = by_doc(np.where(common, lp_w[codes], 0.0)) + end_lp
+            yield batches(row_schema, [ids, tids, spread, [0] * len(ids), lengths + 1, own, by_doc(base_w[codes]) + base_of(end_c), scores])
+            # The other words: one row for each of a document's with its count there.
+            key, tf = np.unique(doc[~common] * max(len(vocabulary), 1) + codes[~common], return_counts=True)
+            d, w = np.divmod(key, max(len(vocabulary), 1))
+            zeros = [0] * len(key)
+            yield batches(row_schema, [[ids[k] for k in d], [tids[k] for k in d], [vocabulary[k] for k in w], tf.tolist(), zeros, zeros, [0.0] * len(key), [0.0] * len(key)])
 
     rows = docs.select(id_col, text_col).mapInArrow(look_up, row_schema)
     joined = rows.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
+    more = F.col("tf") > 0
     each = joined.groupBy("doc_id", "tid").agg(
-        F.sum(F.when(F.col("tf") == 0, 1).otherwise(0)).alias("m"),
+        F.sum(F.when(more, 0).otherwise(1)).alias("m"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("tf") > 0, F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(F.col("tf") > 0, F.expr("lp + aggregate(later, 0D, (s, r) -> s + log10(r + pow(10D, lp)))")).otherwise(0.0)).alias("score"),
+        F.sum(F.col("base") + F.when(more, F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).otherwise(0.0)).alias("base_score"),
+        F.sum(F.col("score") + F.when(more, F.col("tf") * F.col("lp")).otherwise(0.0)).alias("score"),
     )
     each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))  # rows with equal id and text
     return each.select(
