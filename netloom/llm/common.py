@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The white space of the operators' contracts, [\x20\x09-\x0D].
@@ -28,25 +29,58 @@ def columns(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, kind(t)) for n, t in (x.split() for x in text.split(", "))])
 
 
+#: Session settings made here, so that a user's own stay and clean_up() takes these back.
+_SET: dict[str, str] = {}
+
+
 def tuned(spark: SparkSession, rows_per_batch: int = 256) -> None:
-    """Small Arrow batches, as texts can be long; skewed joins are split even where that costs a shuffle."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    """Small Arrow batches, as texts can be long; skewed joins are split even where that costs a shuffle.
+
+    A setting that the user has made stays; clean_up() takes back what is set here.
+    """
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows_per_batch), "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+    for key, value in wanted.items():
+        if spark.conf.get(key, None) in (None, _SET.get(key)):
+            spark.conf.set(key, value)
+            _SET[key] = value
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one of our own on a local master (tests); on a cluster,
+    whose machines don't share such a folder, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="netloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = _SET["spark.checkpoint.dir"] = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def root(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; all intermediate tables are in it."""
+    return f"{shared_folder(spark)}/netloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application and take back the session's settings. Results that have not been
+    written elsewhere by then are lost, as they read these tables."""
+    _delete(spark, root(spark))
+    for key, value in list(_SET.items()):
+        if spark.conf.get(key, None) == value:
+            spark.conf.unset(key)
+        del _SET[key]
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/netloom-{uuid.uuid4().hex}/{name}"
+    path = f"{root(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._netloom_path = path
@@ -57,13 +91,43 @@ def discard(*frames: DataFrame) -> None:
     """Delete tables that stored() wrote and nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_netloom_path", None):
-            jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions to deal df over: as many as the session shuffles over, or as its input has splits if that is more, so
+    that a partition stays near the size of a split whatever the input's size."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Keys with more rows than this share of all have less than this many; they are broadcast.
+HOT = 4096
+
+
+def keys_of(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
+    """big joined with small, which has one row for each key and the number of its rows in big as `size`.
+
+    Keys with more than 1 / HOT of all rows, of which there are less than HOT, are broadcast; the others have few rows each
+    and are shuffled. small is read several times and should be stored.
+    """
+    total = small.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
+    hot, cold = small.where(F.col(size) > total / HOT), small.where(F.col(size) <= total / HOT)
+    found = big.join(F.broadcast(hot), key)  # less than HOT rows
+    if not hot.limit(1).count():
+        return big.join(cold, key)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return found.unionByName(rest)
 
 
 _MADE: dict = {}

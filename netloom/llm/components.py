@@ -24,4 +24,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             discard(both)
-            return labels.select("v", "label")
+            out = labels.select("v", "label")
+            out._netloom_path = labels._netloom_path  # for discard()
+            return out

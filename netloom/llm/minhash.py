@@ -10,12 +10,13 @@
 4. Candidates whose whole signatures agree in enough coordinates are confirmed on the full sets; the links' components
    label the documents.
 5. What the hubs leave open is settled exactly: lists that still hold several labels compare documents of different
-   labels, short lists pair by pair, long ones in blocks of signatures, and the pairs that agree in enough coordinates
-   are confirmed on the full sets too. Pairs within a label are never made.
+   labels, short lists pair by pair where enough coordinates agree, long ones in blocks of full sets. Pairs within a
+   label are never made. A family of n documents that stay apart costs n² / BLOCK² comparisons of blocks, dealt over all tasks.
 
 Edge cases: without words or text (or id) a document's set is empty and it links with nothing; fewer words than a
 shingle are one shingle; rows that share an id are taken as one document with the links of each; ties do not matter, as
-a component is named by its smallest id; an empty table gives an empty result.
+a component is named by its smallest id; other columns take no part, and drop_near gives them back with their values,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
-from .common import as_bytes, batches, columns, discard, once, partitions, stored, tuned
+from .common import as_bytes, batches, columns, discard, keys_of, once, stored, tuned, unused
 from .components import components
 
-COORDINATES, WORDS, SKETCH_BITS, SHORT, BLOCK = 128, 5, 17, 24, 64
+COORDINATES, WORDS, SKETCH_BITS, SHORT = 128, 5, 17, 24
+#: Documents and shingles in a block of a long list, about.
+BLOCK, BLOCK_SHINGLES = 64, 131_072
 _R = np.random.default_rng(20_240_607)
 _XOR = _R.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _MUL = _R.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -199,11 +202,35 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, words: int,
     return links
 
 
+def opened(lists: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, labels and full sets of the k-th block."""
+    rows = lists.values.slice(lists.offsets[k].as_py(), lists.value_lengths()[k].as_py())
+    sets = [np.frombuffer(f, np.uint64) for f in rows.field("full").to_pylist()]
+    return rows.field("rep").to_numpy(zero_copy_only=False), rows.field("label").to_numpy(zero_copy_only=False), sets
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """For each set of one and each of two, how many elements both have."""
+    flat = [np.concatenate(x) for x in (one, two)]
+    common = np.intersect1d(*flat)
+    if not len(common):
+        return np.zeros((len(one), len(two)), np.int64)
+    tables = []
+    for sets, values in zip((one, two), flat, strict=True):
+        place = np.searchsorted(common, values)
+        place[place == len(common)] = 0
+        on = common[place] == values
+        table = np.zeros((len(sets), len(common)), np.float32)
+        table[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[on], place[on]] = 1
+        tables.append(table)
+    return np.rint(tables[0] @ tables[1].T).astype(np.int64)  # whole numbers below 2^24 are exact
+
+
 def open_links(
     lists: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, least: int, similarity: float, words: int, id_col: str, text_col: str
 ) -> DataFrame:
     """Links (a, b) between different labels, enough to join all labels that have one: of documents that share a list,
-    agree in at least `least` coordinates and are confirmed on the full sets."""
+    and are confirmed on the full sets; those of short lists agree in at least `least` coordinates first."""
     marked = lists.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     marked = stored(marked.join(open_keys, "key"), "open")
@@ -229,8 +256,12 @@ def open_links(
 
     # Long lists: by hub; those outside the hub's most frequent label against all of the hub's lists, block by block.
     # Blocks hold the full sets, so that only confirmed links leave them, one for a document and label at most.
-    members = stored(marked.where(F.col("n") > SHORT).select("hub", "rep", "label").distinct(), "members")
-    sizes = members.groupBy("hub", "label").agg(F.count("*").alias("n")).groupBy("hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).getField("label").alias("main"))
+    members = marked.where(F.col("n") > SHORT).select("hub", "rep", "label").distinct()
+    members = stored(members.join(reps.select("rep", "set", "n_shingles"), "rep"), "members")
+    sizes = members.groupBy("hub", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    sizes = sizes.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label")).getField("label").alias("main"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    sizes = stored(sizes.select("hub", "main", "n", parts.alias("parts")), "sizes")
     texts = texts_of(docs, members.select(F.col("rep").alias("a"), F.col("rep").alias("b")), id_col, text_col)
     id_set = columns("id long, set binary, full binary")
 
@@ -242,40 +273,35 @@ def open_links(
 
     full = members.select(F.col("rep").alias("id")).distinct().join(texts, "id").mapInArrow(full_sets, id_set)
     full = full.groupBy("id", "set").agg(F.any_value("full").alias("full")).withColumnRenamed("id", "rep")  # equal rows are one
-    placed = members.join(sizes, "hub").join(reps.select("rep", "set", "sig"), "rep").join(full, ["rep", "set"])  # each set with its own signature
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-    block = F.collect_list(F.struct("rep", "label", "sig", "full")).alias("rows")  # about BLOCK rows
-    every = placed.groupBy("hub", "part").agg(block)
-    outside = placed.where("label <> main").groupBy("hub", "part").agg(block.alias("others")).withColumnRenamed("part", "other_part")
+    placed = keys_of(members, sizes, "hub", "n").join(full, ["rep", "set"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    rows = F.collect_list(F.struct("rep", "label", "full")).alias("rows")  # about BLOCK rows
+    blocks = stored(placed.groupBy("hub", "part").agg(F.any_value("parts").alias("parts"), F.any_value("main").alias("main"), rows), "blocks")
+    outside = blocks.select("hub", "part", "parts", F.expr("filter(rows, r -> r.label <> main)").alias("others")).where("size(others) > 0")
+    inside = blocks.select("hub", F.col("part").alias("to"), F.expr("filter(rows, r -> r.label = main)").alias("rows")).where("size(rows) > 0")
+    sent = outside.select("hub", "part", "others", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+    later = sent.where("to >= part").join(outside.select("hub", F.col("part").alias("to"), F.col("others").alias("rows")), ["hub", "to"])
+    both = later.select("others", "rows").union(sent.join(inside, ["hub", "to"]).select("others", "rows"))
     percent = round(similarity * 100)
 
     def compare(it):
-        def opened(rows):
-            sigs = np.frombuffer(b"".join([r["sig"] for r in rows]), "<u4").reshape(-1, COORDINATES)
-            return np.array([r["rep"] for r in rows]), np.array([r["label"] for r in rows]), sigs, [np.frombuffer(r["full"], np.uint64) for r in rows]
-
         for x in it:
-            for rows, others in zip(x.column("rows").to_pylist(), x.column("others").to_pylist(), strict=True):
-                ids, labels, sigs, sets = opened(rows)
-                found: list[list] = [[], []]
-                for i, lab, sig, own in zip(*opened(others), strict=True):
-                    agree = (sigs == sig).sum(1)
-                    agree[labels == lab] = 0
-                    linked = set()
-                    for k in np.argsort(-agree, kind="stable"):
-                        if agree[k] < least:
-                            break
-                        if labels[k] in linked or 100 * min(len(own), len(sets[k])) < percent * max(len(own), len(sets[k])):
-                            continue
-                        inter = len(np.intersect1d(own, sets[k], assume_unique=True))
-                        if 100 * inter >= percent * (len(own) + len(sets[k]) - inter):
-                            linked.add(labels[k])
-                            found[0].append(int(i))
-                            found[1].append(int(ids[k]))
-                yield batches(pair, found)
-
-    blocks = every.join(outside, "hub").repartition(partitions(docs.sparkSession), "hub", "part", "other_part")
-    return short.union(blocks.select("rows", "others").mapInArrow(compare, pair)).distinct()
+            found: list[list] = [[], []]
+            for k in range(x.num_rows):
+                (ids, labels, sets), (rows, row_labels, row_sets) = opened(x.column("others"), k), opened(x.column("rows"), k)
+                inter = shared_counts(sets, row_sets)
+                total = np.array([len(s) for s in sets])[:, None] + np.array([len(s) for s in row_sets])
+                linked = (100 * inter >= percent * (total - inter)) & (labels[:, None] != row_labels)
+                for i in np.flatnonzero(linked.any(1)):
+                    at = np.flatnonzero(linked[i])
+                    for j in at[np.unique(row_labels[at], return_index=True)[1]]:
+                        found[0].append(int(ids[i]))
+                        found[1].append(int(rows[j]))
+            yield batches(pair, found)
+
+    links = stored(short.union(both.mapInArrow(compare, pair)).distinct(), "more")
+    discard(marked, members, sizes, blocks, short)
+    return links
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,12 +320,13 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS, id_
     best = lists.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("hits")).groupBy("rep").agg(F.max(F.struct("hits", "hub")).getField("hub").alias("hub"))
     first = confirmed(agreeing(best.select(F.col("rep").alias("a"), F.col("hub").alias("b")), reps, least, similarity), docs, similarity, words, id_col, text_col)
     labels = components(first)
-    more = stored(open_links(lists, reps, labels, docs, least, similarity, words, id_col, text_col), "more")
-    discard(lists)
+    more = open_links(lists, reps, labels, docs, least, similarity, words, id_col, text_col)
+    discard(lists, labels)
     # A set may be shared by rows with different ids, and rows with one id may have different sets: both link.
     split = linked.groupBy("doc_id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x < y").select("doc_id")
     by_id = linked.join(split, "doc_id").join(reps.select("set", "rep"), "set").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(first.union(more).union(by_id))
+    discard(first, more)
     named = reps.select("set", "rep").join(final.withColumnRenamed("v", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set").join(named, "set", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
@@ -308,5 +335,6 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS, id_
 
 def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that name their component, with all their columns: one document of each group stays."""
-    gone = near_dedup(docs, similarity, words, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    [gone_id] = unused(docs, "gone_id")
+    gone = near_dedup(docs, similarity, words, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")
