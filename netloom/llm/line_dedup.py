@@ -3,10 +3,11 @@
 A line's key is the line stripped of [\\x20\\x09-\\x0D] with A-Z lower-cased. A document sends each of its distinct
 long keys once, as a 128-bit hash, so that counting shuffles no text. Keys in enough documents lose their lines except
 in the document of the largest id; texts meet the hashes of their own dropped lines and are put together again in order.
+Keys that many documents share are broadcast, less than HOT of them, so that no common line is one task's key.
 
 Edge cases: a null or empty text is one empty line; rows that share an id count as one document and lose the same
-lines; a row without id counts for no key and loses no line; columns named like a result are replaced; an empty table
-gives an empty result.
+lines; a row without id counts for no key and loses no line; columns named like a result are replaced, all others pass
+through with their values, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, batches, columns, stored, tuned, with_new
+from .common import SPACE, as_bytes, batches, columns, keys_of, stored, tuned, unused, with_new
 
 #: Code points that a key needs, and documents that it has to be in.
 LEAST_POINTS, LEAST_DOCS = 20, 3
@@ -49,14 +50,16 @@ def line_dedup(
             yield batches(schema, [keys, ids])
 
     lines = stored(docs.select(id_col, text_col).mapInArrow(explode, schema), "lines")
-    common = lines.groupBy("key").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= least_docs)
-    drops = lines.join(common, "key").where("doc <> last").groupBy("doc").agg(F.collect_set("key").alias("__drops"))
+    common = lines.groupBy("key").agg(F.countDistinct("doc").alias("n"), F.count("*").alias("size"), F.max("doc").alias("last")).where(F.col("n") >= least_docs)
+    common = stored(common.select("key", "size", "last"), "common")
+    doc_col, drops_col = unused(docs, "doc", "drops")
+    drops = keys_of(lines, common, "key", "size").where("doc <> last").groupBy(F.col("doc").alias(doc_col)).agg(F.collect_set("key").alias(drops_col))
     fields = columns("n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
 
     def make():
         def of(batch):
             out: list[list] = [[] for _ in fields]
-            for text, drop in zip(as_bytes(batch, text_col), batch.column("__drops").to_pylist(), strict=True):
+            for text, drop in zip(as_bytes(batch, text_col), batch.column(drops_col).to_pylist(), strict=True):
                 all_lines = text.split(b"\n")
                 drop = set(drop or ())
                 kept = [x for x in all_lines if key_of(x, least_points) not in drop] if drop else all_lines
@@ -67,5 +70,5 @@ def line_dedup(
 
         return of
 
-    joined = docs.join(drops.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
-    return with_new(joined, make, fields).drop("__drops")
+    joined = docs.join(drops, F.col(f"`{id_col}`") == F.col(doc_col), "left").drop(doc_col)
+    return with_new(joined, make, fields).drop(drops_col)

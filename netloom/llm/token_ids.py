@@ -210,7 +210,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
     spark = docs.sparkSession
     tuned(spark)
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    size_of, n = np.dtype(width).itemsize, partitions(spark)
+    size_of, n = np.dtype(width).itemsize, partitions(docs)
     # Ranges of ids with about equal numbers of rows, from the id column alone.
     bounds = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
     tokens = tokenize(docs, tokenizer_path, end_id, width, sorted(set(bounds)), id_col, text_col)

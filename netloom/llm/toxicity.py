@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
-from .common import as_bytes, batches, columns, tuned, with_new
+from .common import as_bytes, batches, columns, tuned, unused, with_new
 
 #: Labelled documents that train, folds, and what the ratio test must give.
 SAMPLE, FOLDS, LEAST_RATIO = 20_000, 5, 15.0
@@ -101,8 +101,9 @@ def train_chain(words: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -
 def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
     """The chain, trained on the bounded sample of labelled documents."""
     tuned(docs.sparkSession)
-    chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *[F.expr(f"coalesce({e}, false)").alias(f"y{k}") for k, (_, e) in enumerate(categories)])
-    chosen = chosen.groupBy("__id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    [label_id] = unused(docs, "label_id")
+    chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(label_id), *[F.expr(f"coalesce({e}, false)").alias(f"y{k}") for k, (_, e) in enumerate(categories)])
+    chosen = chosen.groupBy(label_id).agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))]).orderBy(F.xxhash64(label_id), label_id).limit(sample)
     names = [f"y{k}" for k in range(len(categories))]
     schema = columns("id long, y array<boolean>, words binary")
 
@@ -115,8 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
                 out.append(np.sort(np.fromiter(own, np.int64, len(own))).tobytes())
             yield batches(schema, [ids, [list(y) for y in ys], out])
 
-    found = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # SAMPLE rows at most
-    found = found.drop("__id").mapInArrow(words, schema).toArrow().sort_by("id").to_pylist()
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col(label_id))  # SAMPLE rows at most
+    found = found.drop(label_id).mapInArrow(words, schema).toArrow().sort_by("id").to_pylist()
     seen, rows = set(), []
     for r in found:  # repeated ids train once
         if r["id"] not in seen:
