@@ -7,12 +7,10 @@ rest is encoded by BPE and decoded again.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import bpe, decontaminate, exact_dedup, minhash, toxicity
-from netloom.llm.common import shared_folder
+from netloom.llm.common import discard, stored
 from netloom.llm.queries import WORD_BPE, table
 
 
@@ -51,10 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder, read again and deleted after the next stage."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(before)
     return docs
