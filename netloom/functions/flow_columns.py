@@ -23,7 +23,22 @@ PROTOCOLS = {
     "PIM": 103, "IPCOMP": 108, "VRRP": 112, "L2TP": 115, "ISIS": 124, "SCTP": 132, "FC": 133, "MOBILITY-HEADER": 135,
     "UDPLITE": 136, "MPLS-IN-IP": 137, "MANET": 138, "HIP": 139, "SHIM6": 140, "WESP": 141, "ROHC": 142, "ETHERNET": 143,
 }
-IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|0?\d?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|0?\d?\d)){3}$"
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Dotted text without leading zeros, as a capture has it, and with them, as a mapped CSV may have it.
+IPV4_STRICT = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+IPV4 = rf"^0*{_OCTET}(\.0*{_OCTET}){{3}}$"
+
+
+def _ipv6_pattern() -> str:
+    """Eight groups, or fewer around one ::, of which the last two may be dotted."""
+    group, dotted = "[0-9A-Fa-f]{1,4}", rf"{_OCTET}(\.{_OCTET}){{3}}"
+    tail = lambda n: f"({group}(:{group}){{0,{n - 1}}}|({group}:){{0,{n - 2}}}{dotted})?" if n >= 2 else f"({group})?" if n == 1 else ""
+    forms = [f"({group}:){{7}}{group}", f"({group}:){{6}}{dotted}", f"::{tail(7)}"]
+    forms += [f"({group}:){{{n}}}:{tail(7 - n)}" for n in range(1, 8)]
+    return "^(" + "|".join(forms) + ")$"
+
+
+IPV6 = _ipv6_pattern()
 
 
 def epoch_of(ts: str | Column) -> Column:
@@ -84,7 +99,7 @@ def resolve_duration(explicit_seconds: Column, start_ms: Column, end_ms: Column)
 
 
 def resolve_port(text: Column, protocol: Column) -> Column:
-    """ICMP's dotted type.code counts as port 0; blank is null, other dotted forms are invalid (null)."""
+    """A capture's port: ICMP's dotted type.code counts as port 0; blank is null, other dotted forms are invalid (null)."""
     dotted = text.rlike(r"^\d{1,3}\.\d{1,3}$") & protocol.isin(1, 58)
     parts = F.split(text, r"\.")
     in_range = (F.get(parts, F.lit(0)).try_cast("int") <= 255) & (F.get(parts, F.lit(1)).try_cast("int") <= 255)
@@ -107,6 +122,21 @@ def ipv4_number(text: Column) -> Column:
     return F.when(text.rlike(IPV4), number)
 
 
-def ip_version(text: Column) -> Column:
+def ip_version(text: Column, strict: bool = False) -> Column:
     """4 or 6 by form, null for neither."""
-    return F.when(text.rlike(IPV4), 4).when(text.contains(":") & text.rlike(r"^[0-9A-Fa-f:.]{2,45}$") & ~text.rlike(":::"), 6)
+    return F.when(text.rlike(IPV4_STRICT if strict else IPV4), 4).when(text.rlike(IPV6), 6)
+
+
+def ip_digits(text: Column) -> Column:
+    """The address as 32 hexadecimal digits (8 for IPv4), which sort as the addresses do; null if it is none."""
+    hex4 = lambda number: F.lpad(F.lower(F.hex(number)), 4, "0")
+    octets = F.split(F.regexp_extract(text, r"([^:]*)$", 1), r"\.")
+    octet = lambda k: F.get(octets, F.lit(k)).try_cast("int")
+    dotted = F.concat_ws(":", hex4(octet(0) * 256 + octet(1)), hex4(octet(2) * 256 + octet(3)))
+    groups = F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[^:]*$", ""), dotted)).otherwise(text)
+    sides = F.split(groups, "::")
+    of = lambda k: F.filter(F.split(F.coalesce(F.get(sides, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    padded = lambda side: F.array_join(F.transform(side, lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    left, right = of(0), of(1)
+    zeros = F.repeat(F.lit("0000"), 8 - F.size(left) - F.size(right))
+    return F.when(text.rlike(IPV4), F.lpad(F.lower(F.hex(ipv4_number(text))), 8, "0")).when(text.rlike(IPV6), F.concat(padded(left), zeros, padded(right)))

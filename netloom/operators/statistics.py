@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
+from netloom.functions.calendar import day_start, local
 
 KEY = ("source_id", "granularity", "bucket_start", "ip_version", "src_visibility", "dst_visibility")
 #: What names a set of IPv4 addresses.
@@ -35,8 +36,30 @@ def averages(df: DataFrame) -> DataFrame:
     return df.withColumns({f"avg_{m}": F.when(F.col(f"{m}_count") != 0, F.col(f"{m}_sum") / F.col(f"{m}_count")) for m in MEASURES})
 
 
-def traffic(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
-    """Counters by KEY. Packets and bytes are not multiplied by flow_count, measurements are."""
+def own_scope(flows: DataFrame) -> DataFrame:
+    """Each flow under its own pair of visibilities."""
+    return flows.withColumns({"src_visibility": C.visibility(F.col("src_tos"), 2), "dst_visibility": C.visibility(F.col("src_tos"), 1)})
+
+
+def _under_all(df: DataFrame) -> DataFrame:
+    return df.withColumns({"src_visibility": F.lit("all"), "dst_visibility": F.lit("all")})
+
+
+def both_scopes(distinct: DataFrame) -> DataFrame:
+    """Distinct rows under their own pairs, and those that are distinct under (all, all). Flows themselves are not doubled."""
+    return distinct.unionByName(_under_all(distinct).distinct())
+
+
+def summed(partial: DataFrame) -> DataFrame:
+    """Counters added up by KEY."""
+    return partial.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def facts(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
+    """Counters by KEY under the flows' own pairs. Packets and bytes are not multiplied by flow_count, measurements are.
+
+    Coarse buckets come from 5-minute ones, so that the calendar is asked once for each of those and not for each flow.
+    """
     kind, n = C.protocol_class(F.col("protocol")), F.col("flow_count")
     sums = []
     for name, value in (("flows", n), ("packets", F.col("packets")), ("bytes", F.col("bytes"))):
@@ -45,19 +68,44 @@ def traffic(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) ->
     for name, value in (("duration", F.col("duration_ms")), ("min_ttl", F.col("min_ttl")), ("max_ttl", F.col("max_ttl"))):
         sums.append(F.coalesce(F.sum(value * n), F.lit(0)).alias(f"{name}_sum"))
         sums.append(F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias(f"{name}_count"))
-    return averages(scoped(bucketed(flows, granularity, tz)).groupBy(*KEY).agg(*sums))
+    out = own_scope(bucketed(flows, "5m", tz)).groupBy(*KEY).agg(*sums)
+    return out if granularity == "5m" else summed(moved_to(out, granularity, tz))
+
+
+def moved_to(five_minutes: DataFrame, granularity: str, tz: str = C.TIMEZONE) -> DataFrame:
+    return five_minutes.withColumns({"granularity": F.lit(granularity), "bucket_start": C.bucket_start(F.col("bucket_start"), granularity, tz)})
+
+
+def with_all(partial: DataFrame) -> DataFrame:
+    """Facts of any origin (flows, or counters that come grouped) under their own pairs and under (all, all), with averages."""
+    return averages(summed(partial).unionByName(summed(_under_all(partial))))
+
+
+def traffic(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
+    """Counters and averages by KEY, under (all, all) and the flows' own pairs."""
+    own = facts(flows, granularity, tz)
+    return averages(own.unionByName(summed(_under_all(own))))
 
 
 def roll_up(five_minutes: DataFrame, granularity: str, tz: str = C.TIMEZONE) -> DataFrame:
     """Coarser traffic from 5-minute rows, without reading flows again."""
-    moved = five_minutes.withColumns({"granularity": F.lit(granularity), "bucket_start": C.bucket_start(F.col("bucket_start"), granularity, tz)})
-    return averages(moved.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in COUNTERS]))
+    return averages(summed(moved_to(five_minutes, granularity, tz)))
+
+
+def complete_only(coarse: DataFrame, five_minutes: DataFrame, granularity: str, tz: str = C.TIMEZONE) -> DataFrame:
+    """The coarse rows whose bucket has all its 5-minute children."""
+    whole = coverage(five_minutes, granularity, tz).where("complete").select("source_id", "bucket_start")
+    return coarse.join(whole, ["source_id", "bucket_start"], "left_semi")
+
+
+def _values(flows: DataFrame, granularity: str, tz: str, *values) -> DataFrame:
+    """Distinct values by KEY, under both scopes."""
+    return both_scopes(own_scope(bucketed(flows, granularity, tz)).select(*KEY, *values).distinct())
 
 
 def protocols(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
     """Distinct protocols, their number and their list in text order."""
-    d = scoped(bucketed(flows, granularity, tz)).select(*KEY, "protocol").distinct()
-    return d.groupBy(*KEY).agg(
+    return _values(flows, granularity, tz, "protocol").groupBy(*KEY).agg(
         F.count("*").alias("unique_protocols_count"), F.array_join(F.array_sort(F.collect_list(F.col("protocol").cast("string"))), ",").alias("protocols_list")
     )
 
@@ -65,20 +113,20 @@ def protocols(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -
 def address_counts(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
     """Distinct addresses by side, by their text."""
     sides = F.explode(F.create_map(F.lit("source"), F.col("src_ip"), F.lit("destination"), F.col("dst_ip"))).alias("address_side", "ip")
-    d = scoped(bucketed(flows, granularity, tz)).select(*KEY, sides).distinct()
-    return d.groupBy(*KEY, "address_side").agg(F.count("ip").alias("unique_address_count"))
+    return _values(flows, granularity, tz, sides).groupBy(*KEY, "address_side").agg(F.count("ip").alias("unique_address_count"))
 
 
 def address_sets(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
     """(SET_KEY, a): the distinct IPv4 addresses of both sides under all five pairs of visibilities, as numbers."""
     sides = F.explode(F.create_map(F.lit("source"), F.col("src_u32"), F.lit("destination"), F.col("dst_u32"))).alias("address_side", "a")
-    return scoped(bucketed(flows.where("ip_version = 4"), granularity, tz)).select(*SET_KEY[:-1], sides).where("a is not null").distinct()
+    own = own_scope(bucketed(flows.where("ip_version = 4"), granularity, tz)).select(*SET_KEY[:-1], sides)
+    return both_scopes(own.where("a is not null").distinct())
 
 
 def port_counts(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
     """Distinct ports by side and range (low: below 1024)."""
     sides = F.explode(F.create_map(F.lit("source"), F.col("src_port"), F.lit("destination"), F.col("dst_port"))).alias("port_side", "port")
-    d = scoped(bucketed(flows, granularity, tz)).select(*KEY, sides).where("port is not null").distinct()
+    d = _values(flows, granularity, tz, sides).where("port is not null")
     return d.groupBy(*KEY, "port_side", F.when(F.col("port") < 1024, "low").otherwise("high").alias("port_range")).agg(F.count("*").alias("unique_port_count"))
 
 
@@ -89,7 +137,10 @@ def scopes(spark: SparkSession) -> DataFrame:
 
 
 def calendar(bounds: DataFrame, granularity: str) -> DataFrame:
-    """All buckets of a fixed-width granularity between first and last of each source (source_id, first, last)."""
+    """All buckets of a granularity between first and last of each source (source_id, first, last)."""
+    if granularity == "1d":
+        days = F.sequence(F.to_date(local(F.col("first"))), F.to_date(local(F.col("last"))))
+        return bounds.select("source_id", F.explode(days).alias("day")).select("source_id", day_start(F.col("day")).alias("bucket_start"))
     return bounds.select("source_id", F.explode(F.sequence("first", "last", F.lit(C.WIDTHS[granularity]).cast("long"))).alias("bucket_start"))
 
 
@@ -130,9 +181,9 @@ def logical_sources(flows: DataFrame, members: DataFrame) -> DataFrame:
 def late_rows(rows: DataFrame, lag_buckets: int = 12, block_rows: int = 1 << 20) -> DataFrame:
     """Rows (source_id, row_no, bucket_start) that come after their bucket was already emitted, in reading order.
 
-    A row is late if the rows before it of its source reach more than the lag past their own minimum and past the row.
-    What earlier rows reach goes by blocks of row numbers: one row for each block under a window over the source, then the
-    rows of each block by themselves, so that no task has all rows of a large source.
+    A row is late if the rows before it of its source reach more than the lag past their own minimum and past the row. Row
+    numbers of a source must differ. What earlier rows reach goes by blocks of row numbers: one row for each block under a
+    window over the source, then the rows of each block by themselves, so that no task has all rows of a large source.
     """
     blocks = rows.select("source_id", "row_no", "bucket_start", F.floor(F.col("row_no") / block_rows).alias("block"))
     earlier = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,3 +201,23 @@ def missing_ranges(covered: DataFrame) -> DataFrame:
     w = Window.partitionBy("source_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return covered.select("source_id", reach.alias("gap_start"), F.col("start").alias("gap_end")).where("gap_end > gap_start")
+
+
+def merged_ranges(covered: DataFrame) -> DataFrame:
+    """The half-open intervals (source_id, start, end), overlapping or touching ones as one."""
+    w = Window.partitionBy("source_id").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = covered.select("source_id", "start", "end", F.when(F.col("start") <= reach, 0).otherwise(1).alias("new"))
+    numbered = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("source_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def missing_within(covered: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What of each wanted interval (source_id, start, end) the covered ones don't hold: (source_id, gap_start, gap_end)."""
+    held = merged_ranges(covered).select("source_id", F.col("start").alias("a"), F.col("end").alias("b"))
+    marks = wanted.join(held, "source_id", "left").where("a is null or (a < end and b > start)")
+    edges = wanted.select("source_id", "start", "end", F.col("end").alias("a"), F.col("end").alias("b"))  # the end closes the last gap
+    inside = marks.where("a is not null").select("source_id", "start", "end", F.greatest("a", "start").alias("a"), F.least("b", "end").alias("b"))
+    w = Window.partitionBy("source_id", "start", "end").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = inside.unionByName(edges).select("source_id", F.coalesce(F.max("b").over(w), F.col("start")).alias("gap_start"), F.col("a").alias("gap_end"))
+    return gaps.where("gap_start < gap_end")

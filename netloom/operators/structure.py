@@ -80,9 +80,9 @@ def splits(addresses: DataFrame, keys: list[str]) -> DataFrame:
     return c.select("*", first(F.col("n") == 1).alias("lo"), first(full).alias("hi"), F.max(F.when(F.col("len") == 0, F.col("n"))).over(w).alias("total"))
 
 
-def structure_of(split: DataFrame, keys: list[str]) -> DataFrame:
-    """As structure, from splits; a set none of whose lengths has a split parent has zeros."""
-    used = split.where("total >= 2 and hi >= lo and (len = 0 or n > 1 and len between lo and hi)")  # length 0 adds zero moments
+def structure_of(split: DataFrame, keys: list[str], zeros: bool = True) -> DataFrame:
+    """As structure, from splits; a set none of whose lengths has a split parent has zeros, or no rows."""
+    used = split.where(f"total >= 2 and hi >= lo and ({'len = 0 or ' if zeros else ''}n > 1 and len between lo and hi)")  # length 0 adds zero moments
     rows = used.select(*keys, "lo", "hi", "len", "n", "m", "c", F.explode(F.sequence(F.lit(Q_FIRST), F.lit(Q_LAST))).alias("q8"))
     p = F.col("q8") / Q_STEP
     power = lambda v: F.pow(v.cast("double"), p)

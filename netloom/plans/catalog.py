@@ -12,6 +12,7 @@ from netloom.operators import guards, sources_cover, structure
 from netloom.operators import statistics as S
 from netloom.plans import serving
 from netloom.sources import flows as src
+from netloom.sources.selection import Selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,7 +103,7 @@ register("flow_normalize", _with(more=f"SELECT source_id, ip_version, src_ip, ds
 )
 register("traffic_1d_bulk", _traffic("1d", BULK) + f" SELECT *, {_AVG} FROM t")(lambda s, d: rounded(S.traffic(src.from_lineitem(s, d), "1d")))
 register("flow_selection", _with(more="SELECT source_id, src_ip, dst_ip, packets, bytes, end_s FROM flows WHERE ip_version = 4 AND (src_u32 BETWEEN 3232235520 AND 3232251903 OR dst_u32 BETWEEN 3232235520 AND 3232251903) AND src_tos % 4 < 2"))(
-    lambda s, d: src.select_flows(src.from_events(s, d), "192.168.0.0/18", src="literal").select("source_id", "src_ip", "dst_ip", "packets", "bytes", "end_s")
+    lambda s, d: Selection("192.168.0.0/18", "literal").select(src.from_events(s, d)).select("source_id", "src_ip", "dst_ip", "packets", "bytes", "end_s")
 )
 register("observed_bounds", _with(more=f"SELECT source_id, min({_floor('5m')}) AS first, max({_floor('5m')}) AS last FROM flows GROUP BY ALL"))(lambda s, d: S.observed_bounds(src.from_events(s, d)))
 
@@ -170,10 +171,17 @@ def addresses(s, d, g: str = "1d") -> DataFrame:
 KEYS = ["source_id", "bucket_start"]
 
 
-def structured(s, d):
-    counts = structure.prefix_counts(addresses(s, d), KEYS)
-    bounds = structure.prefix_bounds(counts, KEYS)
-    return counts, bounds, structure.structure(counts, bounds, KEYS)
+def day_counts(s, d) -> DataFrame:
+    return structure.prefix_counts(addresses(s, d), KEYS)
+
+
+def day_structure(s, d) -> DataFrame:
+    return structure.structure_of(structure.splits(addresses(s, d), KEYS), KEYS, zeros=False)
+
+
+def day_dimensions(s, d) -> DataFrame:
+    split = structure.splits(addresses(s, d), KEYS)
+    return structure.dimensions_of(split, structure.structure_of(split, KEYS, zeros=False), KEYS)
 
 
 _IN = f"inputs AS (SELECT source_id, bucket_start, 'csv/' || source_id || '/' || bucket_start AS locator, CASE WHEN (bucket_start // 3600) % 7 = 0 THEN 'pending' ELSE 'processed' END AS status FROM (SELECT DISTINCT source_id, {_floor('1d')} AS bucket_start FROM flows))"
@@ -185,28 +193,28 @@ _ST = _PC + """, split AS (SELECT p.source_id, p.bucket_start, p.lo, p.hi, p.len
     per AS (SELECT source_id, bucket_start, lo, hi, len, q8, prefix, pow(cast(n AS DOUBLE), q8 / 8.0) AS x, sum(pow(cast(m AS DOUBLE), q8 / 8.0)) AS y FROM split, (SELECT unnest(range(-4, 29)) AS q8) GROUP BY source_id, bucket_start, lo, hi, len, q8, prefix, n),
     mo AS (SELECT source_id, bucket_start, lo, hi, len, q8, log2(sum(x)) - log2(sum(y)) AS tau, greatest(sum(x * x) / (sum(x) * sum(x)) - 2 * sum(x * y) / (sum(x) * sum(y)) + sum(y * y) / (sum(y) * sum(y)), 0) AS d2 FROM per GROUP BY ALL),
     st AS (SELECT source_id, bucket_start, q8, sum(tau) / (hi - lo + 1) AS tau, sqrt(sum(d2) / (hi - lo + 1)) AS sd FROM mo GROUP BY source_id, bucket_start, q8, lo, hi)"""
-register("maad_prefix_counts", _with(more=_PC + " SELECT * FROM pc"))(lambda s, d: structured(s, d)[0])
-register("maad_prefix_bounds", _with(more=_PC + " SELECT * FROM pb"))(lambda s, d: structured(s, d)[1])
+register("maad_prefix_counts", _with(more=_PC + " SELECT * FROM pc"))(day_counts)
+register("maad_prefix_bounds", _with(more=_PC + " SELECT * FROM pb"))(lambda s, d: structure.prefix_bounds(day_counts(s, d), KEYS))
 register("maad_structure", _with(more=_ST + " SELECT source_id, bucket_start, q8, round(tau, 5) AS tau, round(sd, 4) AS sd FROM st"))(
-    lambda s, d: structured(s, d)[2].select(*KEYS, "q8", F.round("tau", 5).alias("tau"), F.round("sd", 4).alias("sd"))
+    lambda s, d: day_structure(s, d).select(*KEYS, "q8", F.round("tau", 5).alias("tau"), F.round("sd", 4).alias("sd"))
 )
 _SP = """, al AS (SELECT *, (lead(tau) OVER w - lag(tau) OVER w) / 0.25 AS alpha FROM st WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
     de AS (SELECT *, lag(alpha) OVER w - alpha > 1e-9 AS dec FROM al WHERE alpha IS NOT NULL WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
     se AS (SELECT *, count(*) FILTER (WHERE dec) OVER w AS seen FROM de WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
     sx AS (SELECT *, count(*) FILTER (WHERE NOT coalesce(dec, false) AND seen > 0) OVER w AS stop FROM se WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8))"""
 register("maad_spectrum", _with(more=_ST + _SP + " SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx WHERE dec AND stop = 0"))(
-    lambda s, d: structure.spectrum(structured(s, d)[2], KEYS).select(*KEYS, "q8", F.round("alpha", 4).alias("alpha"), F.round("f", 4).alias("f"))
+    lambda s, d: structure.spectrum(day_structure(s, d), KEYS).select(*KEYS, "q8", F.round("alpha", 4).alias("alpha"), F.round("f", 4).alias("f"))
 )
 register("maad_dimensions", _with(more=_ST + """, en AS (SELECT source_id, bucket_start, len, sum(n / total * log2(n / total)) AS h FROM (SELECT source_id, bucket_start, len, cast(n AS DOUBLE) AS n, total FROM pc JOIN pb USING (source_id, bucket_start) WHERE len BETWEEN lo AND hi) GROUP BY ALL)
     SELECT source_id, bucket_start, 1 AS q, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(h, -len) END, 5) AS dim FROM en GROUP BY ALL
     UNION ALL SELECT source_id, bucket_start, q8 // 8, round(tau / (q8 / 8.0 - 1), 5) FROM st WHERE q8 IN (0, 16)"""))(
-    lambda s, d: structure.dimensions(*structured(s, d), KEYS).select(*KEYS, "q", F.round("dim", 5).alias("dim"))
+    lambda s, d: day_dimensions(s, d).select(*KEYS, "q", F.round("dim", 5).alias("dim"))
 )
 
 
 def details(s, d):
     flows = src.from_events(s, d)
-    return serving.file_details(S.traffic(flows, "1d"), inputs(s, d), S.address_counts(flows, "1d"), structured(s, d)[2])
+    return serving.file_details(S.traffic(flows, "1d"), inputs(s, d), S.address_counts(flows, "1d"), day_structure(s, d))
 
 
 register("file_details_join", _with(more=_ST + f""", {_IN},
@@ -221,8 +229,7 @@ def parity(s, d):
     """Every seventh hour of the coarse table is off by one flow, so that the check has something to find."""
     five = S.traffic(src.from_events(s, d))
     coarse = S.roll_up(five, "1h").withColumn("flows", F.col("flows") + F.when((F.col("bucket_start") / 3600).cast("long") % 7 == 0, 1).otherwise(0))
-    widths = coarse.select("source_id", "ip_version", "src_visibility", "dst_visibility", "bucket_start", C.bucket_end(F.col("bucket_start"), "1h").alias("bucket_end"))
-    return serving.rollup_parity(five, coarse, widths)
+    return serving.rollup_parity(five, coarse, "1h")
 
 
 register("rollup_parity", _traffic("1h") + """
@@ -232,8 +239,8 @@ register("incomplete_scans", _with(more=f", {_IN} SELECT * FROM inputs WHERE sta
 register("raw_ip_leak_scan", _with(more=r"SELECT column_name, cast(sum(cast(regexp_matches(v, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') AS INT)) AS BIGINT) AS n_leaks FROM (SELECT 'source_id' AS column_name, source_id AS v FROM flows UNION ALL SELECT 'src_ip', src_ip FROM flows UNION ALL SELECT 'dst_ip', dst_ip FROM flows) GROUP BY ALL"))(
     lambda s, d: serving.raw_addresses(src.from_events(s, d), ["source_id", "src_ip", "dst_ip"])
 )
-register("late_rows", _with(more=f", r AS (SELECT source_id, (k * 7919) % 100003 AS row_no, {_floor('5m')} AS b FROM flows), w AS (SELECT *, max(b) OVER p - 3600 AS cut, min(b) OVER p AS low FROM r WINDOW p AS (PARTITION BY source_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT source_id, row_no, b AS bucket_start FROM w WHERE cut > low AND b < cut"))(
-    lambda s, d: S.late_rows(s.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("r"), (F.col("user_id") % 3 + 1).cast("string")).alias("source_id"), F.expr("(event_id * 7919) % 100003").alias("row_no"), C.floor_to(C.epoch_of("ts"), 300).alias("bucket_start")))
+register("late_rows", _with(more=f", r AS (SELECT source_id, (k % 97) * 1099511627776 + k // 97 AS row_no, {_floor('5m')} AS b FROM flows), w AS (SELECT *, max(b) OVER p - 3600 AS cut, min(b) OVER p AS low FROM r WINDOW p AS (PARTITION BY source_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT source_id, row_no, b AS bucket_start FROM w WHERE cut > low AND b < cut"))(
+    lambda s, d: S.late_rows(s.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("r"), (F.col("user_id") % 3 + 1).cast("string")).alias("source_id"), F.expr("(event_id % 97) * 1099511627776 + event_id div 97").alias("row_no"), C.floor_to(C.epoch_of("ts"), 300).alias("bucket_start")), block_rows=64)
 )
 register("missing_ranges", _with(more=f", c AS (SELECT DISTINCT source_id, {_floor('5m')} AS s FROM flows), g AS (SELECT source_id, lag(s) OVER (PARTITION BY source_id ORDER BY s) + 300 AS gap_start, s AS gap_end FROM c) SELECT * FROM g WHERE gap_end > gap_start"))(
     lambda s, d: S.missing_ranges(S.bucketed(src.from_events(s, d), "5m").select("source_id", F.col("bucket_start").alias("start"), (F.col("bucket_start") + 300).alias("end")).distinct())
@@ -269,7 +276,7 @@ register("broken_identities", _traffic("1h") + " SELECT source_id, granularity,
 
 
 def spectra(s, d) -> DataFrame:
-    return structure.spectrum(structured(s, d)[2], KEYS).select(*KEYS, "q8", F.round("alpha", 4).alias("alpha"), F.round("f", 4).alias("f"))
+    return structure.spectrum(day_structure(s, d), KEYS).select(*KEYS, "q8", F.round("alpha", 4).alias("alpha"), F.round("f", 4).alias("f"))
 
 
 _PTS = _ST + _SP + ", pts AS (SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx WHERE dec AND stop = 0)"
@@ -277,7 +284,7 @@ register("spectrum_heat_points", _with(more=_PTS + " SELECT *, dense_rank() OVER
     lambda s, d: serving.heat_points(spectra(s, d))
 )
 register("verification_window", _with(more=_PTS + f" SELECT source_id, min(bucket_start) AS bucket_start FROM (SELECT DISTINCT source_id, {_floor('1d')} AS bucket_start FROM flows) SEMI JOIN st USING (source_id, bucket_start) SEMI JOIN pts USING (source_id, bucket_start) GROUP BY ALL"))(
-    lambda s, d: serving.verification_windows(S.traffic(src.from_events(s, d), "1d"), structured(s, d)[2], spectra(s, d))
+    lambda s, d: serving.verification_windows(S.traffic(src.from_events(s, d), "1d"), day_structure(s, d), spectra(s, d))
 )
 
 

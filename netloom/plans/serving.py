@@ -63,18 +63,21 @@ def file_details_by_side(grid: DataFrame, traffic: DataFrame, inputs: DataFrame,
     return out.select(*key, *counters, *[c for c in ip.columns if c not in key], *[c for c in prov.columns if c not in bucket], *[c for c in st.columns if c not in key])
 
 
-def rollup_parity(five_minutes: DataFrame, coarse: DataFrame, widths: DataFrame) -> DataFrame:
+def rollup_parity(five_minutes: DataFrame, coarse: DataFrame, granularity: str = "1h") -> DataFrame:
     """Rows of the coarse table that its 5-minute children don't add up to, and the other way round.
 
-    widths: (source_id, ip_version, visibilities, bucket_start, bucket_end) of the coarse buckets; children fall in by range.
+    A child's coarse bucket follows from its own start, so that children are summed by key and nothing is joined by range.
     """
     key = ["source_id", "ip_version", "src_visibility", "dst_visibility"]
-    child = five_minutes.select(*key, F.col("bucket_start").alias("at"), "flows", "packets", "bytes")
-    on = [widths[k] == child[k] for k in key] + [child["at"] >= widths["bucket_start"], child["at"] < widths["bucket_end"]]
-    expected = widths.join(child, on).groupBy(*[widths[k] for k in key], "bucket_start").agg(*[F.sum(c).alias(c) for c in ("flows", "packets", "bytes")])
-    actual = coarse.select(*key, "bucket_start", "flows", "packets", "bytes")
-    side = lambda a, b, name: a.exceptAll(b).withColumn("side", F.lit(name))
-    return side(expected, actual, "expected").union(side(actual, expected, "actual"))
+    counters = ("flows", "packets", "bytes")
+    child = S.moved_to(five_minutes.select(*key, "bucket_start", *counters), granularity)
+    expected = child.groupBy(*key, "bucket_start").agg(*[F.sum(c).alias(c) for c in counters])
+    actual = coarse.select(*key, "bucket_start", *counters)
+    # One pass: what either side has more often than the other.
+    signed = expected.withColumn("n", F.lit(1)).union(actual.withColumn("n", F.lit(-1)))
+    differ = signed.groupBy(*key, "bucket_start", *counters).agg(F.sum("n").alias("n")).where("n <> 0")
+    side = F.when(F.col("n") > 0, "expected").otherwise("actual").alias("side")
+    return differ.withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("n").cast("int")))).select(*key, "bucket_start", *counters, side)
 
 
 def incomplete_scans(inputs: DataFrame, scans: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Flow records from tables, CSV files and capture listings, all to one contract.
+"""The contract that flow records of all sources have, and flows made from tables.
 
 Columns of the contract: source_id, ip_version, src_ip, dst_ip, src_u32, dst_u32, protocol, packets, bytes, src_tos,
 src_port, dst_port, duration_ms, min_ttl, max_ttl, flow_count, end_s (the epoch second that chooses the bucket).
@@ -6,13 +6,8 @@ src_port, dst_port, duration_ms, min_ttl, max_ttl, flow_count, end_s (the epoch
 
 from __future__ import annotations
 
-import io
-import tarfile
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from netloom.functions import flow_columns as C
 
@@ -20,12 +15,10 @@ CONTRACT = (
     "source_id", "ip_version", "src_ip", "dst_ip", "src_u32", "dst_u32", "protocol", "packets", "bytes",
     "src_tos", "src_port", "dst_port", "duration_ms", "min_ttl", "max_ttl", "flow_count", "end_s",
 )
-#: The fields of the native reader's CSV in their order (fixed values).
-CAPTURE_FIELDS = "received,lastSeen,firstSeen,srcAddr,dstAddr,srcPort,dstPort,proto,packets,bytes,srcTos,dstTos,flows,minTTL,maxTTL".split(",")
 
 
-def derived(base: DataFrame) -> DataFrame:
-    """Flows made from base rows (k, u, end_s, protocol) by whole-number arithmetic."""
+def derived(base: DataFrame, *more: str) -> DataFrame:
+    """Flows made from base rows (k, u, end_s, protocol) by whole-number arithmetic. more: columns of base to keep."""
     k, u = F.col("k"), F.col("u")
     src = F.expr("(u * 2654435 + (k % 7) * 16777259) % 4294967296")
     dst = F.expr("3232235520 + (k * 40503) % 65536")
@@ -41,14 +34,15 @@ def derived(base: DataFrame) -> DataFrame:
         "protocol", (1 + k % 97).alias("packets"), ((1 + k % 97) * (40 + k % 1400)).alias("bytes"), (k % 8).alias("src_tos"),
         F.when(k % 11 != 0, (k * 7919) % 65536).alias("src_port"), F.when(k % 17 != 0, (k * 104729) % 65536).alias("dst_port"),
         F.when(k % 13 != 0, (k * 37) % 60000).alias("duration_ms"), F.when(k % 5 != 0, 32 + k % 32).alias("min_ttl"),
-        F.when(k % 6 != 0, 64 + k % 128).alias("max_ttl"), (1 + k % 3).alias("flow_count"), "end_s",
+        F.when(k % 6 != 0, 64 + k % 128).alias("max_ttl"), (1 + k % 3).alias("flow_count"), "end_s", *more,
     )
 
 
-def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def from_events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    number = F.when(F.col("event_type") == "click", 6).when(F.col("event_type") == "view", 17).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 132).otherwise(58)
-    return derived(e.select(F.col("event_id").alias("k"), F.col("user_id").alias("u"), C.epoch_of("ts").alias("end_s"), number.alias("protocol")))
+    numbers = {"click": 6, "view": 17, "purchase": 1, "error": 132}
+    number = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in numbers.items()], F.lit(58))
+    return derived(e.select(F.col("event_id").alias("k"), F.col("user_id").alias("u"), C.epoch_of("ts").alias("end_s"), number.alias("protocol")), *more)
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,123 +56,3 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
             number.alias("protocol"),
         )
     )
-
-
-@dataclass
-class CsvMapping:
-    """How a CSV's columns map to the contract. columns: contract name to file column; fieldnames: for files without header."""
-
-    columns: dict[str, str]
-    source_id: str | None = None
-    fieldnames: list[str] | None = None
-    delimiter: str = ","
-    timestamp_format: str = "unix"  # unix, unix_ms or a datetime pattern
-    timezone: str = "UTC"
-    defaults: dict[str, int] = field(default_factory=lambda: {"packets": 0, "bytes": 0, "src_tos": 0, "dst_tos": 0, "flow_count": 1})
-    protocol_map: dict[str, int] = field(default_factory=dict)  # names of protocols, laid over the fixed ones
-
-
-def milliseconds(c, mapping: CsvMapping):
-    if mapping.timestamp_format == "unix":
-        return (c.try_cast("decimal(38,6)") * 1000).cast("long")
-    if mapping.timestamp_format == "unix_ms":
-        return c.try_cast("long")
-    wall = F.unix_seconds(F.try_to_timestamp(F.concat(c, F.lit(" +00:00")), F.lit(mapping.timestamp_format + " XXX")))  # as if UTC
-    return C.epoch_of(F.convert_timezone(F.lit(mapping.timezone), F.lit("UTC"), C.clock(wall))) * 1000
-
-
-def read_csv(spark: SparkSession, paths: str | list[str], mapping: CsvMapping) -> tuple[DataFrame, DataFrame]:
-    """(flows, rejected): rows with bad content are rejected with a reason, never dropped silently."""
-    reader = spark.read.option("sep", mapping.delimiter).option("mode", "PERMISSIVE")
-    if mapping.fieldnames:
-        raw = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in mapping.fieldnames])).csv(paths)
-    else:
-        raw = reader.option("header", True).option("inferSchema", False).csv(paths)
-    if missing := {c for c in mapping.columns.values() if c not in raw.columns}:
-        raise ValueError(f"the file lacks the mapped columns {sorted(missing)}")
-    text = lambda name: F.trim(F.col(f"`{mapping.columns[name]}`")) if name in mapping.columns else F.lit(None).cast("string")
-
-    def number(name, low, high):
-        """(value, is it bad): blank takes the default, null where there is none."""
-        t, default = F.nullif(text(name), F.lit("")), mapping.defaults.get(name)
-        v = t.try_cast("long")
-        return F.when(t.isNull(), F.lit(default).cast("long")).otherwise(v), t.isNotNull() & (v.isNull() | ~v.between(low, high))
-
-    received, end, start = (milliseconds(F.nullif(text(c), F.lit("")), mapping) for c in ("time_received", "time_end", "time_start"))
-    protocol = C.protocol_number(text("protocol"), mapping.protocol_map)
-    src_ip, dst_ip = text("src_ip"), text("dst_ip")
-    big = (1 << 63) - 1
-    numbers = {n: number(n, low, high) for n, low, high in (("packets", 0, big), ("bytes", 0, big), ("src_tos", 0, 255), ("min_ttl", 0, 255), ("max_ttl", 0, 255), ("flow_count", 1, big))}
-    ports = {n: C.resolve_port(F.nullif(text(n), F.lit("")), protocol) for n in ("src_port", "dst_port")}
-    version = C.ip_version(src_ip)
-    reason = (
-        F.when(F.coalesce(received, end, start).isNull(), "timestamp")
-        .when(version.isNull() | C.ip_version(dst_ip).isNull() | (version != C.ip_version(dst_ip)), "address")
-        .when(protocol.isNull() | ~protocol.between(0, 255), "protocol")
-    )
-    for n, (_, bad) in numbers.items():
-        reason = reason.when(bad, n)
-    for n, p in ports.items():
-        reason = reason.when((F.coalesce(text(n), F.lit("")) != "") & (p.isNull() | ~p.between(0, 65_535)), n)
-    reason = reason.when(end < start, "duration").when(numbers["min_ttl"][0] > numbers["max_ttl"][0], "ttl")
-    source = F.lit(mapping.source_id) if mapping.source_id else text("source_id")
-    out = raw.select(
-        source.alias("source_id"), version.alias("ip_version"), src_ip.alias("src_ip"), dst_ip.alias("dst_ip"),
-        C.ipv4_number(src_ip).alias("src_u32"), C.ipv4_number(dst_ip).alias("dst_u32"), protocol.alias("protocol"),
-        *[numbers[n][0].alias(n) for n in ("packets", "bytes", "src_tos")], *[p.cast("long").alias(n) for n, p in ports.items()],
-        C.resolve_duration(F.nullif(text("duration"), F.lit("")), start, end).alias("duration_ms"),
-        *[numbers[n][0].alias(n) for n in ("min_ttl", "max_ttl", "flow_count")],
-        F.floor(F.coalesce(received, end, start) / 1000).cast("long").alias("end_s"), reason.alias("reason"),
-    )
-    return out.where("reason is null").select(*CONTRACT), out.where("reason is not null")
-
-
-def read_captures(spark: SparkSession, paths: str | list[str], tz: str = C.TIMEZONE) -> DataFrame:
-    """Flows of native-reader CSVs; the capture's file name, not the rows, chooses source and bucket.
-
-    Names follow <root>/<source>/YYYY/MM/DD/nfcapd.YYYYMMDDHHMM; a row that the contract doesn't take fails the read.
-    """
-    raw = spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in CAPTURE_FIELDS])).csv(paths)
-    path = F.col("_metadata.file_path")
-    local = F.to_timestamp_ntz(F.regexp_extract(path, r"nfcapd\.(\d{12})", 1), F.lit("yyyyMMddHHmm"))
-    protocol = C.protocol_number(F.col("proto"))
-    version = C.ip_version(F.col("srcAddr"))
-    ms = lambda c: (F.col(c).try_cast("decimal(38,6)") * 1000).cast("long")
-    strict = lambda c, ok, what: F.when(ok, c).otherwise(F.raise_error(F.lit(f"malformed {what}")))
-    return raw.where(F.col("received") != "No matching flows").select(
-        F.element_at(F.split(path, "/"), -5).alias("source_id"), strict(version, version == C.ip_version(F.col("dstAddr")), "address").alias("ip_version"),
-        F.col("srcAddr").alias("src_ip"), F.col("dstAddr").alias("dst_ip"), C.ipv4_number(F.col("srcAddr")).alias("src_u32"), C.ipv4_number(F.col("dstAddr")).alias("dst_u32"),
-        strict(protocol, protocol.between(0, 255), "protocol").alias("protocol"), F.col("packets").cast("long"), F.col("bytes").cast("long"), F.col("srcTos").cast("long").alias("src_tos"),
-        C.resolve_port(F.col("srcPort"), protocol).cast("long").alias("src_port"), C.resolve_port(F.col("dstPort"), protocol).cast("long").alias("dst_port"),
-        (ms("lastSeen") - ms("firstSeen")).alias("duration_ms"), C.present_ttl(F.col("minTTL").cast("long")).alias("min_ttl"), C.present_ttl(F.col("maxTTL").cast("long")).alias("max_ttl"),
-        F.col("flows").cast("long").alias("flow_count"), C.epoch_of(F.convert_timezone(F.lit(tz), F.lit("UTC"), local)).alias("end_s"),
-    )
-
-
-def archive_lines(spark: SparkSession, paths: str, member: str = "") -> DataFrame:
-    """(path, member, line) of the tar.gz archives' files whose name holds `member`; an archive is read by one task."""
-
-    def run(it):
-        for pdf in it:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and member in m.name:
-                            lines = tar.extractfile(m).read().decode().splitlines()
-                            yield type(pdf)({"path": [path] * len(lines), "member": [m.name] * len(lines), "line": lines})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, member string, line string")
-
-
-def select_flows(flows: DataFrame, cidr: str | None = None, src: str | None = None, dst: str | None = None) -> DataFrame:
-    """Flows with an IPv4 endpoint in the network and the given visibilities; the network becomes two comparisons a side."""
-    out = flows
-    if cidr:
-        import ipaddress
-
-        net = ipaddress.ip_network(cidr, strict=False)
-        low, high = int(net.network_address), int(net.broadcast_address)
-        out = out.where((F.col("ip_version") == net.version) & (F.col("src_u32").between(low, high) | F.col("dst_u32").between(low, high)))
-    if src:
-        out = out.where(C.visibility(F.col("src_tos"), 2) == src)
-    return out.where(C.visibility(F.col("src_tos"), 1) == dst) if dst else out

@@ -1,7 +1,5 @@
 import datetime as dt
-import io
 import math
-import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,58 +7,9 @@ from pyspark.sql import functions as F
 from netloom.functions import flow_columns as C
 from netloom.operators import guards, sources_cover, structure
 from netloom.operators import statistics as S
-from netloom.plans import store
 from netloom.sources import flows as src
 from netloom.streaming import tumbling
 
-F1 = ["te", "src", "dst", "proto", "packets", "bytes", "stos"]
-MAP1 = dict(time_end="te", src_ip="src", dst_ip="dst", protocol="proto", packets="packets", bytes="bytes", src_tos="stos")
-
-
-def csv(tmp_path, lines, name="a.csv"):
-    p = tmp_path / name
-    p.write_text("\n".join(lines) + "\n")
-    return str(p)
-
-
-def mapping(**more):
-    return src.CsvMapping(MAP1, source_id="r1", fieldnames=F1, timestamp_format="yyyy-MM-dd HH:mm:ss", **more)
-
-
-TWO = ["2016-07-27 13:43:30,192.0.2.1,198.51.100.1,6,3,300,3", "2016-07-27 13:44:00,192.0.2.2,198.51.100.2,UDP,2,200,0"]
-
-
-def test_scopes_of_two_rows(spark, tmp_path):
-    flows, rejected = src.read_csv(spark, csv(tmp_path, TWO), mapping())
-    assert rejected.count() == 0
-    dense = S.dense(S.traffic(flows), S.observed_bounds(flows), "5m").where("ip_version = 4")
-    rows = {(r.src_visibility, r.dst_visibility): (r.flows, r.packets, r.bytes) for r in dense.collect()}
-    a, n = "anonymized", "literal"
-    assert rows == {("all", "all"): (2, 5, 500), (a, a): (1, 3, 300), (a, n): (0, 0, 0), (n, a): (0, 0, 0), (n, n): (1, 2, 200)}
-    assert {r.avg_duration for r in dense.collect()} == {None}
-
-
-def test_bad_rows_are_rejected_with_a_reason(spark, tmp_path):
-    bad = ["2016-07-27 13:50:00,192.0.2.300,198.51.100.1,6,1,1,0", "x,192.0.2.1,198.51.100.1,6,1,1,0", "2016-07-27 13:50:00,192.0.2.1,2001:db8::1,6,1,1,0", "2016-07-27 13:50:00,192.0.2.1,192.0.2.2,NOPE,1,1,0", "2016-07-27 13:50:00,192.0.2.1,192.0.2.2,6,-1,1,0", "2016-07-27 13:50:00,192.0.2.1,192.0.2.2,6,1,1,256"]
-    flows, rejected = src.read_csv(spark, csv(tmp_path, TWO + bad), mapping())
-    assert flows.count() == 2
-    assert sorted(r.reason for r in rejected.collect()) == ["address", "address", "packets", "protocol", "src_tos", "timestamp"]
-    with pytest.raises(ValueError):
-        src.read_csv(spark, csv(tmp_path, ["a,b", "1,2"], "h.csv"), src.CsvMapping({"src_ip": "nope"}))
-
-
-def test_rich_columns(spark, tmp_path):
-    names = "tr,te,src,dst,sp,dp,proto,packets,bytes,stos,duration,lo,hi"
-    line = "1469627010,1469627009,192.0.2.1,192.0.2.9,0,443,TCP,10,2048,2,1.234,31,64"
-    blank = "1469627010,,192.0.2.1,192.0.2.9,3.1,,1,,,,,,"
-    m = src.CsvMapping(dict(time_received="tr", time_end="te", src_ip="src", dst_ip="dst", src_port="sp", dst_port="dp", protocol="proto", packets="packets", bytes="bytes", src_tos="stos", duration="duration", min_ttl="lo", max_ttl="hi"), source_id="r1")
-    flows, rejected = src.read_csv(spark, csv(tmp_path, [names, line, blank]), m)
-    a, b = flows.orderBy("packets", ascending=False).collect()
-    assert (a.end_s, a.src_port, a.dst_port, a.duration_ms, a.min_ttl, a.max_ttl, a.flow_count) == (1469627010, 0, 443, 1234, 31, 64, 1)
-    assert (b.src_port, b.dst_port, b.packets, b.duration_ms, b.min_ttl) == (0, None, 0, None, None)
-    assert rejected.count() == 0
-
-
 def test_visibility_bits(spark):
     rows = spark.createDataFrame([(t,) for t in (0, 1, 2, 3, 32, 34)], "t long").select(C.visibility(F.col("t"), 2), C.visibility(F.col("t"), 1)).collect()
     n, a = "literal", "anonymized"
@@ -96,23 +45,6 @@ def test_local_buckets_and_daylight_saving(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_captures_take_bucket_from_the_file_name(spark, tmp_path):
-    d = tmp_path / "r7/2025/11/02"
-    d.mkdir(parents=True)
-    (d / "nfcapd.202511020115").write_text(",".join(src.CAPTURE_FIELDS) + "\n1744733279.999,1744733000.001,1744732700.500,192.0.2.1,192.0.2.2,3.1,0,1,5,500,3,0,3,0,64\n")
-    r = src.read_captures(spark, str(d / "nfcapd.202511020115")).first()
-    assert (r.source_id, r.end_s, r.duration_ms, r.flow_count, r.min_ttl, r.max_ttl, r.src_port) == ("r7", 1762071300, 299501, 3, None, 64, 0)
-
-
-def test_archive_members(spark, tmp_path):
-    with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
-        for name, text in (("a.csv", "1\n2\n"), ("b.txt", "3\n")):
-            info = tarfile.TarInfo(name)
-            info.size = len(text)
-            tar.addfile(info, io.BytesIO(text.encode()))
-    assert [r.line for r in src.archive_lines(spark, str(tmp_path / "x.tar.gz"), ".csv").collect()] == ["1", "2"]
-
-
 def test_additive_cover():
     d = {"cc": {"cc"}, "oh": {"oh"}, "everything": {"cc", "oh"}}
     assert sources_cover.additive_cover(d, ["cc", "oh"]) == ["everything"]
@@ -151,16 +83,6 @@ def test_late_rows_and_gaps(spark):
     assert [tuple(r) for r in S.missing_ranges(spans).collect()] == [("a", 10, 12)]
 
 
-def test_extract_window(spark, tmp_path):
-    rows = [("r1", "5m", 100, 10), ("r1", "5m", 200, 20), ("r2", "5m", 200, 30), ("r1", "1h", 200, 40), ("r1", "5m", 500, 50)]
-    df = spark.createDataFrame(rows, "source_id string, granularity string, bucket_start long, flows long")
-    m = store.extract({"traffic_stats": df}, f"file://{tmp_path}/x", 150, 500, "r1", ["5m"])
-    assert m["tables"]["traffic_stats"] == {"rows": 1, "first": 200, "last": 200}
-    store.write_stats(df, f"file://{tmp_path}/t")
-    store.write_stats(df.where("granularity = '1h'"), f"file://{tmp_path}/t")
-    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 5
-
-
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([flow(end_s=s, packets=s % 7) for s in range(0, 20_000, 50)], SCHEMA)
     df.write.parquet(str(tmp_path / "in"))
@@ -218,14 +140,3 @@ def test_address_structure_has_both_sides_all_pairs_and_empty_sets(spark):
     pair = spark.createDataFrame([("s", 0), ("s", 1 << 31)], "k string, a long")
     rows = {r.structure_kind: r.values_json for r in structure.described(pair, pair.select("k").distinct(), ["k"]).collect()}
     assert rows["structure"].count('"tauTilde": 0.00000000') == 33 and rows["spectrum"] == "[]" and rows["dimension"].count("dim") == 3
-
-
-def test_protocol_names_of_the_reference_and_own_ones(spark, tmp_path):
-    names = {"ICMPV6": 58, "ipip": 94, "Egp": 8, "RSVP": 46, "EIGRP": 88, "OSPFIGP": 89, "PIM": 103, "VRRP": 112, "IPv6-Frag": 44, "RSPF": 73, "mine": 200, "17": 17, "TCP": 66}
-    lines = [f"2016-07-27 13:43:30,192.0.2.1,198.51.100.1,{n},{k},300,3" for k, n in enumerate(names)]
-    flows, rejected = src.read_csv(spark, csv(tmp_path, lines), mapping(protocol_map={"Mine": 200, "tcp": 66}))
-    assert [r.protocol for r in flows.orderBy("packets").collect()] == list(names.values()) and rejected.count() == 0
-    d = tmp_path / "r7/2025/11/02"
-    d.mkdir(parents=True)
-    (d / "nfcapd.202511020115").write_text(",".join(src.CAPTURE_FIELDS) + "\n1744733279.999,1744733000.001,1744732700.500,2001:db8::1,2001:db8::2,0,0,ICMPV6,5,500,3,0,3,0,64\n")
-    assert src.read_captures(spark, str(d / "nfcapd.202511020115")).first().protocol == 58

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from netloom.plans import catalog
+from netloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,13 +14,13 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    got = catalog.QUERIES[name](spark, SF)
-    want = con.sql(catalog.ORACLES[name])
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.ORACLES[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     norm = lambda v: round(float(v), 4) if isinstance(v, float) else v
