@@ -182,10 +182,12 @@ def late_rows(rows: DataFrame, lag_buckets: int = 12, block_rows: int = 1 << 20)
     """Rows (source_id, row_no, bucket_start) that come after their bucket was already emitted, in reading order.
 
     A row is late if the rows before it of its source reach more than the lag past their own minimum and past the row. Row
-    numbers of a source must differ. What earlier rows reach goes by blocks of row numbers: one row for each block under a
-    window over the source, then the rows of each block by themselves, so that no task has all rows of a large source.
+    numbers of a source must differ. What earlier rows reach goes by blocks of row numbers, or by a column `block` that goes
+    before them: one row for each block under a window over the source, then the rows of each block by themselves, so that no
+    task has all rows of a large source.
     """
-    blocks = rows.select("source_id", "row_no", "bucket_start", F.floor(F.col("row_no") / block_rows).alias("block"))
+    block = F.col("block") if "block" in rows.columns else F.floor(F.col("row_no") / block_rows)
+    blocks = rows.select("source_id", "row_no", "bucket_start", block.alias("block"))
     earlier = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     reached = blocks.groupBy("source_id", "block").agg(F.max("bucket_start").alias("hi"), F.min("bucket_start").alias("lo"))
     reached = reached.select("source_id", "block", F.max("hi").over(earlier).alias("hi"), F.min("lo").over(earlier).alias("lo"))

@@ -107,6 +107,12 @@ def published(spark: SparkSession, path: str, name: str, schema=None) -> DataFra
     return reader.parquet(f"{path}/{state['versions'][-1]}/{name}")
 
 
+def views(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Name the current version's tables as temporary views, for SQL of one's own."""
+    for name in names:
+        published(spark, path, name).createOrReplaceTempView(name)
+
+
 def within(df: DataFrame, start: int, end: int, source_id: str | None = None, granularities: list[str] | None = None) -> DataFrame:
     """A half-open window of a table, of one source and some granularities if asked."""
     out = df.where((F.col("bucket_start") >= start) & (F.col("bucket_start") < end))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.functions import flow_columns as C
+from netloom.operators import statistics as S
 from netloom.sources.flows import CONTRACT
 
 TIMES = ("time_received", "time_end", "time_start")
@@ -131,7 +132,7 @@ def _named(raw: DataFrame, names: list[str], mapping: CsvMapping, where: str) ->
     if missing := sorted({c for c in mapping.columns.values()} - set(names)):
         raise ValueError(f"{where} lacks the mapped columns {missing}")
     place = {n: k for k, n in enumerate(names)}
-    return raw.select("locator", "bad", "blank", *[F.col(f"c{place[c]}").alias(n) for n, c in mapping.columns.items()])
+    return raw.select("locator", "block", "row_no", "bad", "blank", *[F.col(f"c{place[c]}").alias(n) for n, c in mapping.columns.items()])
 
 
 def _options(mapping: CsvMapping, corrupt: str) -> dict:
@@ -139,9 +140,10 @@ def _options(mapping: CsvMapping, corrupt: str) -> dict:
 
 
 def _shaped(raw: DataFrame, fields: list[Column], corrupt: Column, locator: Column) -> DataFrame:
-    """(locator, bad, blank, c0, c1, ...): a row with other than the wanted number of fields is bad, one without content blank."""
+    """(locator, block, row_no, bad, blank, c0, c1, ...): a row with other than the wanted number of fields is bad, one without
+    content blank. Block and row number give the place in the file."""
     content = F.concat_ws("", *[F.trim(c) for c in fields], F.regexp_replace(F.coalesce(corrupt, F.lit("")), r"[\s,;|\t\"]", ""))
-    return raw.select(locator.alias("locator"), corrupt.isNotNull().alias("bad"), (content == "").alias("blank"), *[c.alias(f"c{k}") for k, c in enumerate(fields)])
+    return raw.select(locator.alias("locator"), "block", "row_no", corrupt.isNotNull().alias("bad"), (content == "").alias("blank"), *[c.alias(f"c{k}") for k, c in enumerate(fields)])
 
 
 def file_rows(spark: SparkSession, paths: str | list[str], mapping: CsvMapping) -> DataFrame:
@@ -157,8 +159,8 @@ def file_rows(spark: SparkSession, paths: str | list[str], mapping: CsvMapping)
     reader = spark.read.options(**_options(mapping, corrupt)).schema(schema)
     if not mapping.fieldnames:
         reader = reader.options(header=True, enforceSchema=False)
-    raw = reader.csv(paths).select("*", F.col("_metadata.file_path").alias("_file"))
-    raw = raw.toDF(*[f"f{k}" for k in range(len(names))], "corrupt", "file")
+    raw = reader.csv(paths).select("*", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    raw = raw.toDF(*[f"f{k}" for k in range(len(names))], "corrupt", "file", "block", "row_no")
     return _named(_shaped(raw, [F.col(f"f{k}") for k in range(len(names))], F.col("corrupt"), F.col("file")), names, mapping, "the file")
 
 
@@ -220,15 +222,16 @@ def archive_rows(lines: DataFrame, mapping: CsvMapping) -> DataFrame:
 
 def _parsed(lines: DataFrame, names: list[str], mapping: CsvMapping) -> DataFrame:
     schema = ", ".join([f"f{k} string" for k in range(len(names))] + ["corrupt string"])
-    raw = lines.select("locator", F.from_csv("line", schema, _options(mapping, "corrupt")).alias("r"))
+    block = F.floor(F.col("line_no") / (1 << 20)).alias("block")
+    raw = lines.select("locator", block, F.col("line_no").alias("row_no"), F.from_csv("line", schema, _options(mapping, "corrupt")).alias("r"))
     return _named(_shaped(raw, [F.col(f"r.f{k}") for k in range(len(names))], F.col("r.corrupt"), F.col("locator")), names, mapping, "the archive")
 
 
 class Scan:
     """The rows of a scan, each accepted, rejected for its content, or of the wrong shape."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, mapping: CsvMapping):
+        self.rows, self.mapping = rows, mapping
 
     def flows(self) -> DataFrame:
         """The accepted rows, by the contract."""
@@ -247,8 +250,23 @@ class Scan:
         return self.rows.groupBy("locator").agg(F.count("*").alias("rows"), on("reason <> 'shape'").alias("rejected_rows"), on("reason = 'shape'").alias("skipped_bad_column_count"))
 
 
+    def late_rows(self) -> DataFrame:
+        """(locator, source_id, row_no, bucket_start) of rows that come after their bucket was emitted, file by file; none for
+        a mapping that says that rows are not in order."""
+        if self.mapping.input_order == "unsorted":
+            return self.rows.select("locator", "source_id", "row_no", F.col("covers").alias("bucket_start")).limit(0)
+        file_and_source = F.struct("locator", "source_id").alias("source_id")
+        read = self.rows.where("covers is not null").select(file_and_source, "block", "row_no", F.col("covers").alias("bucket_start"))
+        return S.late_rows(read, self.mapping.lag_buckets).select("source_id.*", "row_no", "bucket_start")
+
+    def check_order(self) -> None:
+        """Fail if a row comes after its bucket was emitted."""
+        if late := self.late_rows().first():
+            raise ValueError(f"{late.locator} is not in order: a row of {late.source_id} for {late.bucket_start} comes after its bucket was emitted")
+
+
 def scan(rows: DataFrame, mapping: CsvMapping) -> Scan:
-    """Normalise mapped texts (locator, bad, blank and a column for each mapped name)."""
+    """Normalise mapped texts (locator, block, row_no, bad, blank and a column for each mapped name)."""
     text = lambda n: F.nullif(F.trim(F.col(n)), F.lit("")) if n in mapping.columns else F.lit(None).cast("string")
     times = {t: milliseconds(text(t), mapping) for t in TIMES}
     chosen = F.coalesce(*[F.when(text(t).isNotNull(), F.struct(times[t].alias("ms"))) for t in TIMES]).getField("ms")  # the first that isn't blank
@@ -272,11 +290,12 @@ def scan(rows: DataFrame, mapping: CsvMapping) -> Scan:
     shaped = rows.where("not blank").select("*", reason.alias("reason"))
     return Scan(
         shaped.select(
-            "locator", "reason", source.alias("source_id"), version.alias("ip_version"), src_ip.alias("src_ip"), dst_ip.alias("dst_ip"),
+            "locator", "block", "row_no", "reason", source.alias("source_id"), version.alias("ip_version"), src_ip.alias("src_ip"), dst_ip.alias("dst_ip"),
             C.ipv4_number(src_ip).alias("src_u32"), C.ipv4_number(dst_ip).alias("dst_u32"), protocol.alias("protocol"), *[values[n].alias(n) for n in NUMBERS if n != "dst_tos"],
             F.coalesce(explicit.try_cast("long"), end - start).alias("duration_ms"), F.floor(chosen / 1000).cast("long").alias("end_s"),
             F.when((F.col("reason").isNull() | (F.col("reason") != "shape")) & source.isNotNull(), C.floor_to(F.floor(chosen / 1000).cast("long"), C.FIVE_MINUTES)).alias("covers"),
-        )
+        ),
+        mapping,
     )
 
 

@@ -98,6 +98,21 @@ def test_rows_of_the_wrong_shape_fail_or_are_counted(spark, tmp_path):
         csv_files.scan_csv(spark, str(tmp_path / "two"), m).flows().collect()
 
 
+def test_order_is_checked_file_by_file(spark, tmp_path):
+    at = lambda minute: f"2016-07-27 {13 + minute // 60}:{minute % 60:02}:00,192.0.2.1,198.51.100.1,6,1,1,0"
+    path = csv(tmp_path, [at(0), at(5), at(100), at(3), at(200), at(130)])
+    scan = csv_files.scan_csv(spark, path, mapping())
+    assert [r.bucket_start for r in scan.late_rows().orderBy("row_no").collect()] == [1469624400, 1469624400 + 130 * 60]
+    with pytest.raises(ValueError, match="not in order"):
+        scan.check_order()
+    csv_files.scan_csv(spark, path, mapping(lag_buckets=24)).check_order()
+    csv_files.scan_csv(spark, path, mapping(input_order="unsorted")).check_order()
+    (tmp_path / "f").mkdir()
+    csv(tmp_path / "f", [at(300)], "a.csv")
+    csv(tmp_path / "f", [at(0)], "b.csv")  # files of a scan don't wait for each other
+    csv_files.scan_csv(spark, str(tmp_path / "f"), mapping()).check_order()
+
+
 def test_rejected_and_selected_out_rows_are_covered(spark, tmp_path):
     """The bucket of a rejected row is zero, not absent; so is that of a row that the selection leaves out."""
     lines = ["2016-07-27 13:40:00,192.0.2.1,198.51.100.1,6,3,300,1", "2016-07-27 13:50:00,192.0.2.300,198.51.100.1,6,1,1,0", "never,192.0.2.1,198.51.100.1,6,1,1,0"]

@@ -35,6 +35,8 @@ def test_publishing_moves_all_tables_at_once(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         store.publish({"a": table(3), "b": bad}, path)
     assert [store.published(spark, path, t).first().n for t in "ab"] == [2, 2]
+    store.views(spark, path, ["a", "b"])
+    assert spark.sql("select a.n + b.n as n from a join b on a.n = b.n").first().n == 4
     store.rollback(spark, path)
     assert store.published(spark, path, "a").first().n == 1
     with pytest.raises(store.Conflict):
