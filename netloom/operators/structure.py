@@ -35,13 +35,17 @@ def structure(counts: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFram
     q = F.explode(F.sequence(F.lit(Q_FIRST), F.lit(Q_LAST))).alias("q8")
     per = split.groupBy(*keys, "lo", "hi", "len", "prefix", "n").agg(F.collect_list("m").alias("ms")).select(*keys, "lo", "hi", "len", "n", "ms", q)
     p = F.col("q8") / Q_STEP
-    per = per.select(*keys, "lo", "hi", "len", "q8", F.pow(F.col("n").cast("double"), p).alias("x"), F.aggregate(F.transform("ms", lambda m: F.pow(m.cast("double"), p)), F.lit(0.0), lambda s, v: s + v).alias("y"))
+    y = F.aggregate(F.transform("ms", lambda m: F.pow(m.cast("double"), p)), F.lit(0.0), lambda s, v: s + v)
+    per = per.select(*keys, "lo", "hi", "len", "q8", F.pow(F.col("n").cast("double"), p).alias("x"), y.alias("y"))
     # Σ(x/Z - y/Z')² = Σx²/Z² - 2Σxy/(Z Z') + Σy²/Z'², one aggregation
-    moment = per.groupBy(*keys, "lo", "hi", "len", "q8").agg(F.sum("x").alias("z"), F.sum("y").alias("w"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    x, y = F.col("x"), F.col("y")
+    sums = (("z", x), ("w", y), ("xx", x * x), ("xy", x * y), ("yy", y * y))
+    moment = per.groupBy(*keys, "lo", "hi", "len", "q8").agg(*[F.sum(v).alias(n) for n, v in sums])
     d2 = F.col("xx") / (F.col("z") * F.col("z")) - 2 * F.col("xy") / (F.col("z") * F.col("w")) + F.col("yy") / (F.col("w") * F.col("w"))
     moment = moment.select(*keys, "lo", "hi", "q8", (F.log2("z") - F.log2("w")).alias("tau"), F.greatest(d2, F.lit(0.0)).alias("d2"))
     lengths = F.col("hi") - F.col("lo") + 1
-    return moment.groupBy(*keys, "lo", "hi", "q8").agg(F.sum("tau").alias("tau"), F.sum("d2").alias("d2")).select(*keys, "q8", (F.col("tau") / lengths).alias("tau"), F.sqrt(F.col("d2") / lengths).alias("sd"))
+    sums = moment.groupBy(*keys, "lo", "hi", "q8").agg(F.sum("tau").alias("tau"), F.sum("d2").alias("d2"))
+    return sums.select(*keys, "q8", (F.col("tau") / lengths).alias("tau"), F.sqrt(F.col("d2") / lengths).alias("sd"))
 
 
 def spectrum(structures: DataFrame, keys: list[str]) -> DataFrame:

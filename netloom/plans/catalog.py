@@ -91,21 +91,37 @@ def register(name: str, sql: str | None = None):
 for _g in C.GRANULARITIES:
     register(f"traffic_{_g}", _traffic(_g) + f" SELECT *, {_AVG} FROM t")(lambda s, d, g=_g: rounded(S.traffic(src.from_events(s, d), g)))
 for _g in ("30m", "1h", "1d"):
-    register(f"rollup_{_g}_from_5m", _traffic(_g) + f" SELECT *, {_AVG} FROM t")(lambda s, d, g=_g: rounded(S.roll_up(S.traffic(src.from_events(s, d)), g)))
+    register(f"rollup_{_g}_from_5m", _traffic(_g) + f" SELECT *, {_AVG} FROM t")(
+    lambda s, d, g=_g: rounded(S.roll_up(S.traffic(src.from_events(s, d)), g)))
 for _g in ("5m", "1d"):
-    register(f"protocols_{_g}", _with(more=f", d AS (SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, protocol FROM scoped) SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility, count(*) AS unique_protocols_count, string_agg(cast(protocol AS VARCHAR), ',' ORDER BY cast(protocol AS VARCHAR)) AS protocols_list FROM d GROUP BY ALL"))(lambda s, d, g=_g: S.protocols(src.from_events(s, d), g))
+    register(f"protocols_{_g}", _with(more=f""", d AS (SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, protocol FROM scoped) SELECT source_id, granularity,
+        bucket_start, ip_version, src_visibility, dst_visibility, count(*) AS unique_protocols_count,
+        string_agg(cast(protocol AS VARCHAR), ',' ORDER BY cast(protocol AS VARCHAR)) AS protocols_list FROM d GROUP BY ALL"""))(
+    lambda s, d, g=_g: S.protocols(src.from_events(s, d), g))
 for _g in ("1h", "1d"):
-    register(f"address_counts_{_g}", _with(more=f", d AS (SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'source' AS address_side, src_ip AS ip FROM scoped UNION SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'destination', dst_ip FROM scoped) SELECT * EXCLUDE ip, count(ip) AS unique_address_count FROM d GROUP BY ALL"))(lambda s, d, g=_g: S.address_counts(src.from_events(s, d), g))
-    register(f"port_counts_{_g}", _with(more=f", d AS (SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'source' AS port_side, src_port AS port FROM scoped UNION SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'destination', dst_port FROM scoped) SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility, port_side, CASE WHEN port < 1024 THEN 'low' ELSE 'high' END AS port_range, count(*) AS unique_port_count FROM d WHERE port IS NOT NULL GROUP BY ALL"))(lambda s, d, g=_g: S.port_counts(src.from_events(s, d), g))
-
-register("flow_normalize", _with(more=f"SELECT source_id, ip_version, src_ip, dst_ip, protocol, packets, bytes, src_port, dst_port, duration_ms, min_ttl, max_ttl, flow_count, end_s, {_floor('5m')} AS bucket_start, CASE WHEN src_tos % 4 >= 2 THEN 'anonymized' ELSE 'literal' END AS src_visibility, CASE WHEN src_tos % 2 = 1 THEN 'anonymized' ELSE 'literal' END AS dst_visibility, {_CLASS} AS protocol_class FROM flows"))(
+    register(f"address_counts_{_g}", _with(more=f""", d AS (SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'source' AS address_side, src_ip AS ip FROM scoped UNION
+        SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'destination', dst_ip FROM scoped) SELECT * EXCLUDE ip,
+        count(ip) AS unique_address_count FROM d GROUP BY ALL"""))(lambda s, d, g=_g: S.address_counts(src.from_events(s, d), g))
+    register(f"port_counts_{_g}", _with(more=f""", d AS (SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'source' AS port_side, src_port AS port FROM scoped UNION
+        SELECT DISTINCT {_KEY.format(g=_g, f=_floor(_g))}, 'destination', dst_port FROM scoped) SELECT source_id, granularity,
+        bucket_start, ip_version, src_visibility, dst_visibility, port_side,
+        CASE WHEN port < 1024 THEN 'low' ELSE 'high' END AS port_range, count(*) AS unique_port_count FROM d
+        WHERE port IS NOT NULL GROUP BY ALL"""))(lambda s, d, g=_g: S.port_counts(src.from_events(s, d), g))
+
+register("flow_normalize", _with(more=f"""SELECT source_id, ip_version, src_ip, dst_ip, protocol, packets, bytes, src_port, dst_port, duration_ms, min_ttl,
+        max_ttl, flow_count, end_s, {_floor('5m')} AS bucket_start,
+        CASE WHEN src_tos % 4 >= 2 THEN 'anonymized' ELSE 'literal' END AS src_visibility,
+        CASE WHEN src_tos % 2 = 1 THEN 'anonymized' ELSE 'literal' END AS dst_visibility, {_CLASS} AS protocol_class
+        FROM flows"""))(
     lambda s, d: src.from_events(s, d).select("source_id", "ip_version", "src_ip", "dst_ip", "protocol", "packets", "bytes", "src_port", "dst_port", "duration_ms", "min_ttl", "max_ttl", "flow_count", "end_s", C.bucket_start(F.col("end_s"), "5m").alias("bucket_start"), C.visibility(F.col("src_tos"), 2).alias("src_visibility"), C.visibility(F.col("src_tos"), 1).alias("dst_visibility"), C.protocol_class(F.col("protocol")).alias("protocol_class"))
 )
 register("traffic_1d_bulk", _traffic("1d", BULK) + f" SELECT *, {_AVG} FROM t")(lambda s, d: rounded(S.traffic(src.from_lineitem(s, d), "1d")))
-register("flow_selection", _with(more="SELECT source_id, src_ip, dst_ip, packets, bytes, end_s FROM flows WHERE ip_version = 4 AND (src_u32 BETWEEN 3232235520 AND 3232251903 OR dst_u32 BETWEEN 3232235520 AND 3232251903) AND src_tos % 4 < 2"))(
+register("flow_selection", _with(more="""SELECT source_id, src_ip, dst_ip, packets, bytes, end_s FROM flows
+        WHERE ip_version = 4 AND (src_u32 BETWEEN 3232235520 AND 3232251903 OR dst_u32 BETWEEN 3232235520 AND 3232251903) AND src_tos % 4 < 2"""))(
     lambda s, d: Selection("192.168.0.0/18", "literal").select(src.from_events(s, d)).select("source_id", "src_ip", "dst_ip", "packets", "bytes", "end_s")
 )
-register("observed_bounds", _with(more=f"SELECT source_id, min({_floor('5m')}) AS first, max({_floor('5m')}) AS last FROM flows GROUP BY ALL"))(lambda s, d: S.observed_bounds(src.from_events(s, d)))
+register("observed_bounds", _with(more=f"SELECT source_id, min({_floor('5m')}) AS first, max({_floor('5m')}) AS last FROM flows GROUP BY ALL"))(
+    lambda s, d: S.observed_bounds(src.from_events(s, d)))
 
 
 def dense_1h(s, d):
@@ -119,7 +135,8 @@ register("dense_fill_1h", _traffic("1h") + f"""
     sc AS (SELECT * FROM (VALUES (4), (6)) v(ip_version) CROSS JOIN (VALUES ('all','all'),('literal','literal'),('literal','anonymized'),('anonymized','literal'),('anonymized','anonymized')) p(src_visibility, dst_visibility))
     SELECT source_id, '1h' AS granularity, bucket_start, ip_version, src_visibility, dst_visibility, {", ".join(f"coalesce({c}, 0) AS {c}" for c in S.COUNTERS)}, {_AVG}
     FROM cal CROSS JOIN sc LEFT JOIN (SELECT * EXCLUDE granularity FROM t) USING (source_id, bucket_start, ip_version, src_visibility, dst_visibility)""")(dense_1h)
-register("coverage_1h", _with(more=f"SELECT source_id, {_floor('1h')} AS bucket_start, count(DISTINCT {_floor('5m')}) AS children, 12 AS wanted, count(DISTINCT {_floor('5m')}) = 12 AS complete FROM flows GROUP BY ALL"))(
+register("coverage_1h", _with(more=f"""SELECT source_id, {_floor('1h')} AS bucket_start, count(DISTINCT {_floor('5m')}) AS children, 12 AS wanted,
+        count(DISTINCT {_floor('5m')}) = 12 AS complete FROM flows GROUP BY ALL"""))(
     lambda s, d: S.coverage(S.traffic(src.from_events(s, d)), "1h")
 )
 
@@ -130,11 +147,15 @@ def members(s: SparkSession) -> DataFrame:
     return s.createDataFrame(MEMBERS, "source_id string, member_id string")
 
 
-register("logical_sources_1d", _with(more=f", m(logical, member) AS (VALUES {', '.join(map(str, MEMBERS))}), t AS (SELECT {_KEY.format(g='1d', f=_floor('1d')).replace('source_id', 'm.logical AS source_id', 1)}, {_SUMS} FROM scoped JOIN m ON m.member = scoped.source_id GROUP BY ALL) SELECT *, {_AVG} FROM t"))(
+register("logical_sources_1d", _with(more=f""", m(logical, member) AS (VALUES {', '.join(map(str, MEMBERS))}),
+        t AS (SELECT {_KEY.format(g='1d', f=_floor('1d')).replace('source_id', 'm.logical AS source_id', 1)}, {_SUMS}
+        FROM scoped JOIN m ON m.member = scoped.source_id GROUP BY ALL) SELECT *, {_AVG} FROM t"""))(
     lambda s, d: rounded(S.traffic(S.logical_sources(src.from_events(s, d), members(s)), "1d"))
 )
 _TOTALS = ", ".join([f"cast(sum({c}) AS BIGINT) AS {c}" for c in S.COUNTERS] + [f"cast(sum(CASE WHEN ip_version = {v} THEN {c} ELSE 0 END) AS BIGINT) AS {c}_ipv{v}" for v in (4, 6) for c in S.COUNTERS[:15]])
-register("api_netflow_stats_family_pivot", _traffic("1h") + f", e AS (SELECT bucket_start, {_TOTALS} FROM t WHERE src_visibility = 'all' AND dst_visibility = 'all' AND source_id IN ('r1','r2','r3') GROUP BY ALL) SELECT *, {_AVG} FROM e")(
+register("api_netflow_stats_family_pivot", _traffic("1h") + f""", e AS (SELECT bucket_start, {_TOTALS} FROM t
+        WHERE src_visibility = 'all' AND dst_visibility = 'all' AND source_id IN ('r1','r2','r3') GROUP BY ALL) SELECT *,
+        {_AVG} FROM e""")(
     lambda s, d: rounded(serving.family_totals(serving.window(S.traffic(src.from_events(s, d), "1h"), sources=["r1", "r2", "r3"])))
 )
 
@@ -148,11 +169,16 @@ def cover_totals(s, d):
     return rounded(serving.family_totals(serving.window(traffic, sources=chosen)))
 
 
-register("additive_source_cover", _traffic("1d") + f", e AS (SELECT bucket_start, {_TOTALS} FROM t WHERE src_visibility = 'all' AND dst_visibility = 'all' AND source_id IN ('r1','r2') GROUP BY ALL) SELECT *, {_AVG} FROM e")(cover_totals)
-register("api_ip_stats", _with(more=f"""SELECT source_id, {_floor('1h')} AS bucket_start, {', '.join(f"count(DISTINCT CASE WHEN ip_version = {v} THEN {c} END) AS {k}_ipv{v}" for v in (4, 6) for k, c in (('source', 'src_ip'), ('destination', 'dst_ip')))} FROM flows GROUP BY ALL"""))(
+register("additive_source_cover", _traffic("1d") + f""", e AS (SELECT bucket_start, {_TOTALS} FROM t
+        WHERE src_visibility = 'all' AND dst_visibility = 'all' AND source_id IN ('r1','r2') GROUP BY ALL) SELECT *, {_AVG}
+        FROM e""")(cover_totals)
+register("api_ip_stats", _with(more=f"""SELECT source_id, {_floor('1h')} AS bucket_start,
+        {', '.join(f"count(DISTINCT CASE WHEN ip_version = {v} THEN {c} END) AS {k}_ipv{v}" for v in (4, 6) for k, c in (('source', 'src_ip'), ('destination', 'dst_ip')))}
+        FROM flows GROUP BY ALL"""))(
     lambda s, d: serving.unique_by_family(serving.window(S.address_counts(src.from_events(s, d), "1h")), "unique_address_count", "address_side", ("source", "destination"))
 )
-register("api_protocol_stats", _with(more=f"SELECT source_id, {_floor('1h')} AS bucket_start, count(DISTINCT CASE WHEN ip_version = 4 THEN protocol END) AS ipv4, count(DISTINCT CASE WHEN ip_version = 6 THEN protocol END) AS ipv6 FROM flows GROUP BY ALL"))(
+register("api_protocol_stats", _with(more=f"""SELECT source_id, {_floor('1h')} AS bucket_start, count(DISTINCT CASE WHEN ip_version = 4 THEN protocol END) AS ipv4,
+        count(DISTINCT CASE WHEN ip_version = 6 THEN protocol END) AS ipv6 FROM flows GROUP BY ALL"""))(
     lambda s, d: serving.unique_by_family(serving.window(S.protocols(src.from_events(s, d), "1h")), "unique_protocols_count")
 )
 
@@ -184,7 +210,9 @@ def day_dimensions(s, d) -> DataFrame:
     return structure.dimensions_of(split, structure.structure_of(split, KEYS, zeros=False), KEYS)
 
 
-_IN = f"inputs AS (SELECT source_id, bucket_start, 'csv/' || source_id || '/' || bucket_start AS locator, CASE WHEN (bucket_start // 3600) % 7 = 0 THEN 'pending' ELSE 'processed' END AS status FROM (SELECT DISTINCT source_id, {_floor('1d')} AS bucket_start FROM flows))"
+_IN = f"""inputs AS (SELECT source_id, bucket_start, 'csv/' || source_id || '/' || bucket_start AS locator,
+        CASE WHEN (bucket_start // 3600) % 7 = 0 THEN 'pending' ELSE 'processed' END AS status FROM (SELECT DISTINCT source_id,
+        {_floor('1d')} AS bucket_start FROM flows))"""
 _PC = f""", sets AS (SELECT DISTINCT source_id, {_floor('1d')} AS bucket_start, src_u32 AS a FROM flows WHERE ip_version = 4),
     pc AS (SELECT source_id, bucket_start, len, a // cast(pow(2, 32 - len) AS BIGINT) AS prefix, count(*) AS n FROM sets, (SELECT unnest(range(33)) AS len) GROUP BY ALL),
     pb AS (SELECT * FROM (SELECT source_id, bucket_start, min(len) FILTER (WHERE len >= 1 AND n = 1) AS lo, min(len) FILTER (WHERE len >= 1 AND n / pow(2.0, 32 - len) >= 0.95) AS hi, max(n) FILTER (WHERE len = 0) AS total FROM pc GROUP BY ALL) WHERE total >= 2 AND lo IS NOT NULL AND hi >= lo)"""
@@ -202,7 +230,8 @@ _SP = """, al AS (SELECT *, (lead(tau) OVER w - lag(tau) OVER w) / 0.25 AS alpha
     de AS (SELECT *, lag(alpha) OVER w - alpha > 1e-9 AS dec FROM al WHERE alpha IS NOT NULL WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
     se AS (SELECT *, count(*) FILTER (WHERE dec) OVER w AS seen FROM de WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8)),
     sx AS (SELECT *, count(*) FILTER (WHERE NOT coalesce(dec, false) AND seen > 0) OVER w AS stop FROM se WINDOW w AS (PARTITION BY source_id, bucket_start ORDER BY q8))"""
-register("maad_spectrum", _with(more=_ST + _SP + " SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx WHERE dec AND stop = 0"))(
+register("maad_spectrum", _with(more=_ST + _SP + """ SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx
+        WHERE dec AND stop = 0"""))(
     lambda s, d: structure.spectrum(day_structure(s, d), KEYS).select(*KEYS, "q8", F.round("alpha", 4).alias("alpha"), F.round("f", 4).alias("f"))
 )
 register("maad_dimensions", _with(more=_ST + """, en AS (SELECT source_id, bucket_start, len, sum(n / total * log2(n / total)) AS h FROM (SELECT source_id, bucket_start, len, cast(n AS DOUBLE) AS n, total FROM pc JOIN pb USING (source_id, bucket_start) WHERE len BETWEEN lo AND hi) GROUP BY ALL)
@@ -235,20 +264,27 @@ def parity(s, d):
 register("rollup_parity", _traffic("1h") + """
     , a AS (SELECT source_id, ip_version, src_visibility, dst_visibility, bucket_start, flows, packets, bytes FROM t WHERE (bucket_start // 3600) % 7 = 0)
     SELECT *, 'expected' AS side FROM a UNION ALL SELECT * REPLACE (flows + 1 AS flows), 'actual' FROM a""")(parity)
-register("incomplete_scans", _with(more=f", {_IN} SELECT * FROM inputs WHERE status = 'pending'"))(lambda s, d: serving.incomplete_scans(inputs(s, d), inputs(s, d).where("status = 'processed'").select("locator")))
+register("incomplete_scans", _with(more=f", {_IN} SELECT * FROM inputs WHERE status = 'pending'"))(
+    lambda s, d: serving.incomplete_scans(inputs(s, d), inputs(s, d).where("status = 'processed'").select("locator")))
 register("raw_ip_leak_scan", _with(more=r"SELECT column_name, cast(sum(cast(regexp_matches(v, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') AS INT)) AS BIGINT) AS n_leaks FROM (SELECT 'source_id' AS column_name, source_id AS v FROM flows UNION ALL SELECT 'src_ip', src_ip FROM flows UNION ALL SELECT 'dst_ip', dst_ip FROM flows) GROUP BY ALL"))(
     lambda s, d: serving.raw_addresses(src.from_events(s, d), ["source_id", "src_ip", "dst_ip"])
 )
-register("late_rows", _with(more=f", r AS (SELECT source_id, (k % 97) * 1099511627776 + k // 97 AS row_no, {_floor('5m')} AS b FROM flows), w AS (SELECT *, max(b) OVER p - 3600 AS cut, min(b) OVER p AS low FROM r WINDOW p AS (PARTITION BY source_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT source_id, row_no, b AS bucket_start FROM w WHERE cut > low AND b < cut"))(
+register("late_rows", _with(more=f""", r AS (SELECT source_id, (k % 97) * 1099511627776 + k // 97 AS row_no, {_floor('5m')} AS b FROM flows),
+        w AS (SELECT *, max(b) OVER p - 3600 AS cut, min(b) OVER p AS low FROM r WINDOW p AS (PARTITION BY source_id
+        ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT source_id, row_no, b AS bucket_start FROM w
+        WHERE cut > low AND b < cut"""))(
     lambda s, d: S.late_rows(s.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("r"), (F.col("user_id") % 3 + 1).cast("string")).alias("source_id"), F.expr("(event_id % 97) * 1099511627776 + event_id div 97").alias("row_no"), C.floor_to(C.epoch_of("ts"), 300).alias("bucket_start")), block_rows=64)
 )
-register("missing_ranges", _with(more=f", c AS (SELECT DISTINCT source_id, {_floor('5m')} AS s FROM flows), g AS (SELECT source_id, lag(s) OVER (PARTITION BY source_id ORDER BY s) + 300 AS gap_start, s AS gap_end FROM c) SELECT * FROM g WHERE gap_end > gap_start"))(
+register("missing_ranges", _with(more=f""", c AS (SELECT DISTINCT source_id, {_floor('5m')} AS s FROM flows), g AS (SELECT source_id,
+        lag(s) OVER (PARTITION BY source_id ORDER BY s) + 300 AS gap_start, s AS gap_end FROM c) SELECT * FROM g
+        WHERE gap_end > gap_start"""))(
     lambda s, d: S.missing_ranges(S.bucketed(src.from_events(s, d), "5m").select("source_id", F.col("bucket_start").alias("start"), (F.col("bucket_start") + 300).alias("end")).distinct())
 )
 register("series_pivot", _with(more=f"SELECT {_floor('1d')} AS bucket_start, " + ", ".join(f"cast(sum(CASE WHEN source_id = 'r{k}' THEN bytes END) AS BIGINT) AS r{k}" for k in (1, 2, 3)) + " FROM flows GROUP BY ALL"))(
     lambda s, d: S.bucketed(src.from_events(s, d), "1d").groupBy("bucket_start").pivot("source_id", ["r1", "r2", "r3"]).agg(F.sum("bytes"))
 )
-register("extract_summary", "".join((_traffic("1h"), ", x AS (SELECT * FROM t WHERE bucket_start >= 1704441600 AND bucket_start < 1705046400 AND source_id = 'r1') SELECT 'traffic_stats' AS table_name, count(*) AS n_rows, min(bucket_start) AS first, max(bucket_start) AS last FROM x")))(
+register("extract_summary", "".join((_traffic("1h"), """, x AS (SELECT * FROM t WHERE bucket_start >= 1704441600 AND bucket_start < 1705046400 AND source_id = 'r1')
+        SELECT 'traffic_stats' AS table_name, count(*) AS n_rows, min(bucket_start) AS first, max(bucket_start) AS last FROM x""")))(
     lambda s, d: serving.summary({"traffic_stats": S.traffic(src.from_events(s, d), "1h").where("bucket_start >= 1704441600 and bucket_start < 1705046400 and source_id = 'r1'")})
 )
 
@@ -257,8 +293,12 @@ def owned(s, d) -> DataFrame:
     return S.bucketed(src.from_events(s, d), "1h").select(*KEYS, F.concat(F.lit("f"), F.col("flow_count").cast("string")).alias("locator"))
 
 
-register("overlapping_owners", _with(more=f"SELECT source_id, {_floor('1h')} AS bucket_start, count(DISTINCT flow_count) AS owners FROM flows GROUP BY ALL HAVING count(DISTINCT flow_count) > 1"))(lambda s, d: guards.overlapping_owners(owned(s, d)))
-register("backward_files", _with(more=f", f AS (SELECT source_id, 'f' || flow_count AS path, min({_floor('1h')}) AS first, max({_floor('1h')}) AS last FROM flows GROUP BY ALL), r AS (SELECT source_id, path, first, max(last) OVER (PARTITION BY source_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM f) SELECT * FROM r WHERE first < reached"))(
+register("overlapping_owners", _with(more=f"""SELECT source_id, {_floor('1h')} AS bucket_start, count(DISTINCT flow_count) AS owners FROM flows GROUP BY ALL
+        HAVING count(DISTINCT flow_count) > 1"""))(lambda s, d: guards.overlapping_owners(owned(s, d)))
+register("backward_files", _with(more=f""", f AS (SELECT source_id, 'f' || flow_count AS path, min({_floor('1h')}) AS first, max({_floor('1h')}) AS last
+        FROM flows GROUP BY ALL), r AS (SELECT source_id, path, first, max(last) OVER (PARTITION BY source_id
+        ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM f) SELECT * FROM r
+        WHERE first < reached"""))(
     lambda s, d: guards.backward_files(owned(s, d).groupBy("source_id", F.col("locator").alias("path")).agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last")))
 )
 register("inferred_members", _with(more="SELECT DISTINCT source_id, 'f' || flow_count AS member_id FROM flows"))(
@@ -272,18 +312,23 @@ def identities(s, d):
     return guards.broken_identities(S.traffic(src.from_events(s, d), "1h").withColumn("flows_tcp", F.col("flows_tcp") + extra))
 
 
-register("broken_identities", _traffic("1h") + " SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility, 'flows' AS metric FROM t WHERE (bucket_start // 3600) % 5 = 0")(identities)
+register("broken_identities", _traffic("1h") + """ SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility, 'flows' AS metric FROM t
+        WHERE (bucket_start // 3600) % 5 = 0""")(identities)
 
 
 def spectra(s, d) -> DataFrame:
     return structure.spectrum(day_structure(s, d), KEYS).select(*KEYS, "q8", F.round("alpha", 4).alias("alpha"), F.round("f", 4).alias("f"))
 
 
-_PTS = _ST + _SP + ", pts AS (SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx WHERE dec AND stop = 0)"
-register("spectrum_heat_points", _with(more=_PTS + " SELECT *, dense_rank() OVER (PARTITION BY source_id ORDER BY bucket_start) - 1 AS time_index, min(alpha) OVER s AS alpha_min, max(alpha) OVER s AS alpha_max, min(f) OVER s AS f_min, max(f) OVER s AS f_max FROM pts WINDOW s AS (PARTITION BY source_id)"))(
+_PTS = _ST + _SP + """, pts AS (SELECT source_id, bucket_start, q8, round(alpha, 4) AS alpha, round(q8 / 8.0 * alpha - tau, 4) AS f FROM sx
+        WHERE dec AND stop = 0)"""
+register("spectrum_heat_points", _with(more=_PTS + """ SELECT *, dense_rank() OVER (PARTITION BY source_id ORDER BY bucket_start) - 1 AS time_index,
+        min(alpha) OVER s AS alpha_min, max(alpha) OVER s AS alpha_max, min(f) OVER s AS f_min, max(f) OVER s AS f_max FROM pts
+        WINDOW s AS (PARTITION BY source_id)"""))(
     lambda s, d: serving.heat_points(spectra(s, d))
 )
-register("verification_window", _with(more=_PTS + f" SELECT source_id, min(bucket_start) AS bucket_start FROM (SELECT DISTINCT source_id, {_floor('1d')} AS bucket_start FROM flows) SEMI JOIN st USING (source_id, bucket_start) SEMI JOIN pts USING (source_id, bucket_start) GROUP BY ALL"))(
+register("verification_window", _with(more=_PTS + f""" SELECT source_id, min(bucket_start) AS bucket_start FROM (SELECT DISTINCT source_id, {_floor('1d')} AS bucket_start
+        FROM flows) SEMI JOIN st USING (source_id, bucket_start) SEMI JOIN pts USING (source_id, bucket_start) GROUP BY ALL"""))(
     lambda s, d: serving.verification_windows(S.traffic(src.from_events(s, d), "1d"), day_structure(s, d), spectra(s, d))
 )
 
@@ -294,7 +339,10 @@ def scanned(s, d) -> DataFrame:
     return inputs(s, d).select(scan.alias("scan_locator"), "status", F.when(F.expr("bucket_start div 86400 % 11 = 0"), 0).otherwise(1).alias("revision"))
 
 
-register("scan_fully_processed", _with(more=f", {_IN}, i AS (SELECT source_id || '/' || (bucket_start // 172800) AS scan_locator, status, CASE WHEN (bucket_start // 86400) % 11 = 0 THEN 0 ELSE 1 END AS revision FROM inputs) SELECT * FROM (SELECT DISTINCT scan_locator, 1 AS revision FROM i) c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.scan_locator = c.scan_locator AND (i.status <> 'processed' OR i.revision <> c.revision))"))(
+register("scan_fully_processed", _with(more=f""", {_IN}, i AS (SELECT source_id || '/' || (bucket_start // 172800) AS scan_locator, status,
+        CASE WHEN (bucket_start // 86400) % 11 = 0 THEN 0 ELSE 1 END AS revision FROM inputs) SELECT *
+        FROM (SELECT DISTINCT scan_locator, 1 AS revision FROM i) c WHERE NOT EXISTS (SELECT 1 FROM i
+        WHERE i.scan_locator = c.scan_locator AND (i.status <> 'processed' OR i.revision <> c.revision))"""))(
     lambda s, d: serving.fully_processed(scanned(s, d).select("scan_locator", F.lit(1).alias("revision")).distinct(), scanned(s, d))
 )
 
@@ -358,10 +406,15 @@ def details_by_side(s, d, g: str) -> DataFrame:
 _SERIES = [c for c in SETS if c != "bucket_start"]
 for _g in C.GRANULARITIES:
     _q = _structures(_g)
-    register(f"address_prefix_counts_{_g}", _with(more=_q + f" SELECT {_SETS}, len, prefix, n FROM pc JOIN grid USING (k)"))(lambda s, d, g=_g: sided(s, d, g)[0])
-    register(f"address_prefix_bounds_{_g}", _with(more=_q + f" SELECT {_SETS}, lo, hi, total FROM pb JOIN grid USING (k)"))(lambda s, d, g=_g: sided(s, d, g)[1])
+    register(f"address_prefix_counts_{_g}", _with(more=_q + f" SELECT {_SETS}, len, prefix, n FROM pc JOIN grid USING (k)"))(
+    lambda s, d, g=_g: sided(s, d, g)[0])
+    register(f"address_prefix_bounds_{_g}", _with(more=_q + f" SELECT {_SETS}, lo, hi, total FROM pb JOIN grid USING (k)"))(
+    lambda s, d, g=_g: sided(s, d, g)[1])
     register(f"address_structure_{_g}", _with(more=_q + " SELECT * FROM ds"))(lambda s, d, g=_g: address_structure(s, d, g))
-    register(f"address_heat_points_{_g}", _with(more=_q + f", pts AS (SELECT {_SETS}, q8, round(alpha, 4) AS alpha, round(f, 4) AS f FROM sp JOIN grid USING (k)) SELECT *, dense_rank() OVER (s ORDER BY bucket_start) - 1 AS time_index, min(alpha) OVER s AS alpha_min, max(alpha) OVER s AS alpha_max, min(f) OVER s AS f_min, max(f) OVER s AS f_max FROM pts WINDOW s AS (PARTITION BY {', '.join(_SERIES)})"))(
+    register(f"address_heat_points_{_g}", _with(more=_q + f""", pts AS (SELECT {_SETS}, q8, round(alpha, 4) AS alpha, round(f, 4) AS f FROM sp JOIN grid USING (k)) SELECT *,
+        dense_rank() OVER (s ORDER BY bucket_start) - 1 AS time_index, min(alpha) OVER s AS alpha_min,
+        max(alpha) OVER s AS alpha_max, min(f) OVER s AS f_min, max(f) OVER s AS f_max FROM pts
+        WINDOW s AS (PARTITION BY {', '.join(_SERIES)})"""))(
         lambda s, d, g=_g: serving.heat_points(sided(s, d, g)[3], tuple(_SERIES))
     )
     register(f"address_verification_window_{_g}", _with(more=_q + f" SELECT {', '.join(_SERIES)}, min(bucket_start) AS bucket_start FROM grid WHERE k IN (SELECT k FROM sp) GROUP BY ALL"))(
@@ -374,4 +427,5 @@ for _g in C.GRANULARITIES:
         SELECT source_id, bucket_start, src_visibility, dst_visibility, {', '.join(f"coalesce({c}, 0) AS {c}" for c in (*S.COUNTERS[:15], 'source_ipv4', 'destination_ipv4', 'source_ipv6', 'destination_ipv6'))},
             CASE WHEN i.source_id IS NOT NULL THEN 'csv/' || source_id || '/' || bucket_start END AS first_locator, CASE WHEN i.source_id IS NOT NULL THEN CASE WHEN (bucket_start // 3600) % 7 = 0 THEN 'pending' ELSE 'processed' END END AS status, CASE WHEN i.source_id IS NOT NULL THEN 1 END AS n_inputs,
             structure_source, structure_destination, spectrum_source, spectrum_destination
-        FROM pairs LEFT JOIN tr USING (source_id, bucket_start, src_visibility, dst_visibility) LEFT JOIN inp i USING (source_id, bucket_start) LEFT JOIN js2 USING (source_id, bucket_start, src_visibility, dst_visibility)"""))(lambda s, d, g=_g: details_by_side(s, d, g))
+        FROM pairs LEFT JOIN tr USING (source_id, bucket_start, src_visibility, dst_visibility) LEFT JOIN inp i USING (source_id, bucket_start) LEFT JOIN js2 USING (source_id, bucket_start, src_visibility, dst_visibility)"""))(
+    lambda s, d, g=_g: details_by_side(s, d, g))

@@ -44,14 +44,19 @@ def csv_scan(s, d) -> csv_files.Scan:
     return csv_files.scan_csv(s, path, csv_files.CsvMapping(dict(zip(LOGICAL_NAMES, FIELDS, strict=True)), fieldnames=FIELDS, skip_bad_column_count=True))
 
 
-register("csv_scan", _with(more=f"SELECT {_FLOWS} FROM flows WHERE {_REASON} IS NULL"))(lambda s, d: csv_scan(s, d).flows().select(*_FLOWS.split(", ")))
-register("csv_rejected_rows", _with(more=f", r AS (SELECT {_REASON} AS reason FROM flows) SELECT reason, count(*) AS n FROM r WHERE reason <> 'shape' GROUP BY ALL"))(
+register("csv_scan", _with(more=f"SELECT {_FLOWS} FROM flows WHERE {_REASON} IS NULL"))(
+    lambda s, d: csv_scan(s, d).flows().select(*_FLOWS.split(", ")))
+register("csv_rejected_rows", _with(more=f""", r AS (SELECT {_REASON} AS reason FROM flows) SELECT reason, count(*) AS n FROM r WHERE reason <> 'shape'
+        GROUP BY ALL"""))(
     lambda s, d: csv_scan(s, d).rejected().groupBy("reason").agg(F.count("*").alias("n"))
 )
-register("csv_scan_report", _with(more=f", r AS (SELECT {_REASON} AS reason FROM flows) SELECT count(*) AS rows, count(*) FILTER (WHERE reason <> 'shape') AS rejected_rows, count(*) FILTER (WHERE reason = 'shape') AS skipped_bad_column_count FROM r"))(
+register("csv_scan_report", _with(more=f""", r AS (SELECT {_REASON} AS reason FROM flows) SELECT count(*) AS rows,
+        count(*) FILTER (WHERE reason <> 'shape') AS rejected_rows,
+        count(*) FILTER (WHERE reason = 'shape') AS skipped_bad_column_count FROM r"""))(
     lambda s, d: csv_scan(s, d).report().agg(*[F.sum(c).alias(c) for c in ("rows", "rejected_rows", "skipped_bad_column_count")])
 )
-register("csv_observed_bounds", _with(more=f"SELECT source_id, min({_floor('5m')}) AS first, max({_floor('5m')}) AS last FROM flows WHERE k % 50 NOT IN (5, 6, 7, 8) GROUP BY ALL"))(lambda s, d: csv_scan(s, d).observed_bounds())
+register("csv_observed_bounds", _with(more=f"""SELECT source_id, min({_floor('5m')}) AS first, max({_floor('5m')}) AS last FROM flows WHERE k % 50 NOT IN (5, 6, 7,
+        8) GROUP BY ALL"""))(lambda s, d: csv_scan(s, d).observed_bounds())
 
 
 def capture_rows(s, d) -> DataFrame:
@@ -69,10 +74,14 @@ def capture_rows(s, d) -> DataFrame:
     return f.select(path.alias("locator"), F.lit(None).cast("string").alias("corrupt"), *[v.alias(n) for v, n in zip(values, captures.CAPTURE_FIELDS, strict=True)])
 
 
-register("capture_scan", _with(more=f"SELECT source_id, ip_version, src_ip, dst_ip, protocol, packets, bytes, src_tos, CASE WHEN protocol IN (1, 58) THEN 0 ELSE coalesce(src_port, 0) END AS src_port, CASE WHEN protocol IN (1, 58) THEN 0 ELSE coalesce(dst_port, 0) END AS dst_port, coalesce(duration_ms, 0) AS duration_ms, min_ttl, max_ttl, flow_count, {_floor('1d')} AS end_s FROM flows"))(
+register("capture_scan", _with(more=f"""SELECT source_id, ip_version, src_ip, dst_ip, protocol, packets, bytes, src_tos, CASE WHEN protocol IN (1,
+        58) THEN 0 ELSE coalesce(src_port, 0) END AS src_port, CASE WHEN protocol IN (1, 58) THEN 0 ELSE coalesce(dst_port,
+        0) END AS dst_port, coalesce(duration_ms, 0) AS duration_ms, min_ttl, max_ttl, flow_count, {_floor('1d')} AS end_s
+        FROM flows"""))(
     lambda s, d: captures.capture_flows(capture_rows(s, d)).select(*_FLOWS.split(", "))
 )
-register("flow_selection_ipv6", _with(more="SELECT source_id, src_ip, dst_ip, packets, bytes, end_s FROM flows WHERE ip_version = 6 AND (dst_u32 BETWEEN 3232239616 AND 3232243711 OR src_u32 BETWEEN 3232239616 AND 3232243711) AND src_tos % 4 >= 2"))(
+register("flow_selection_ipv6", _with(more="""SELECT source_id, src_ip, dst_ip, packets, bytes, end_s FROM flows
+        WHERE ip_version = 6 AND (dst_u32 BETWEEN 3232239616 AND 3232243711 OR src_u32 BETWEEN 3232239616 AND 3232243711) AND src_tos % 4 >= 2"""))(
     lambda s, d: Selection("2001:db8::c0a8:1fff/116", src_visibility="anonymized").select(src.from_events(s, d)).select("source_id", "src_ip", "dst_ip", "packets", "bytes", "end_s")
 )
 
@@ -92,7 +101,8 @@ _CSV = csv_files.CsvMapping({"time_end": "t", "src_ip": "a", "dst_ip": "b"}, "r1
 register("csv_discovery", f"""
     WITH base AS ({BASE}), f AS (SELECT DISTINCT u, u % 12 + 1 AS month, u % 5 AS week, CASE u % 7 WHEN 0 THEN '.TGZ' ELSE '.csv.gz' END AS kind FROM base WHERE u % 7 NOT IN (1, 2) AND u % 11 <> 3),
     n AS (SELECT *, 'Flows_' || list_extract(['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'], cast(month AS INT)) || '.week' || week || '-' || u || kind AS file FROM f)
-    SELECT '/data/' || file AS path, cast(month AS INT) AS month, cast(week AS INT) AS week, lower(file) AS name FROM n ORDER BY month, week, name""")(lambda s, d: discovery.csv_files(found_files(s, d), _CSV))
+    SELECT '/data/' || file AS path, cast(month AS INT) AS month, cast(week AS INT) AS week, lower(file) AS name FROM n ORDER BY month, week, name""")(
+    lambda s, d: discovery.csv_files(found_files(s, d), _CSV))
 
 
 def found_captures(s, d) -> DataFrame:
@@ -116,11 +126,18 @@ def gapped(s, d) -> DataFrame:
     return discovery.with_gaps(found, discovery.extended(discovery.source_bounds(found), sources, 1704096000, 1706687700))
 
 
-register("capture_gaps", _with(more=_CAPTURES + f" SELECT source_id, bucket_start, gap, CASE WHEN gap THEN 'gap://nfcapd/' || source_id || '/' || strftime({_LOCAL}, '%Y%m%d%H%M') ELSE '/captures/' || source_id || strftime({_LOCAL}, '/%Y/%m/%d/nfcapd.%Y%m%d%H%M') END AS locator FROM cg"))(gapped)
-register("logical_inputs", _with(more=_CAPTURES + f", m(logical, member) AS (VALUES {', '.join(map(str, LOGICAL))}) SELECT m.logical AS source_id, bucket_start, count(*) FILTER (WHERE NOT gap) AS present, count(*) FILTER (WHERE gap) AS missing FROM cg JOIN m ON m.member = cg.source_id GROUP BY ALL"))(
+register("capture_gaps", _with(more=_CAPTURES + f""" SELECT source_id, bucket_start, gap, CASE WHEN gap THEN 'gap://nfcapd/' || source_id || '/' || strftime({_LOCAL},
+        '%Y%m%d%H%M') ELSE '/captures/' || source_id || strftime({_LOCAL}, '/%Y/%m/%d/nfcapd.%Y%m%d%H%M') END AS locator
+        FROM cg"""))(gapped)
+register("logical_inputs", _with(more=_CAPTURES + f""", m(logical, member) AS (VALUES {', '.join(map(str, LOGICAL))}) SELECT m.logical AS source_id, bucket_start,
+        count(*) FILTER (WHERE NOT gap) AS present, count(*) FILTER (WHERE gap) AS missing FROM cg
+        JOIN m ON m.member = cg.source_id GROUP BY ALL"""))(
     lambda s, d: discovery.logical_inputs(gapped(s, d), members(s))
 )
-register("csv_gap_locators", _with(more=f", c AS (SELECT DISTINCT source_id, {_floor('1h')} AS bucket_start FROM flows), b AS (SELECT source_id, unnest(generate_series(min(bucket_start), max(bucket_start), 3600)) AS bucket_start FROM c GROUP BY source_id) SELECT source_id, bucket_start, 'gap://csv/%2Fdata%2Fa%20b.csv/' || source_id || '/' || bucket_start AS locator FROM b ANTI JOIN c USING (source_id, bucket_start)"))(
+register("csv_gap_locators", _with(more=f""", c AS (SELECT DISTINCT source_id, {_floor('1h')} AS bucket_start FROM flows), b AS (SELECT source_id,
+        unnest(generate_series(min(bucket_start), max(bucket_start), 3600)) AS bucket_start FROM c GROUP BY source_id)
+        SELECT source_id, bucket_start, 'gap://csv/%2Fdata%2Fa%20b.csv/' || source_id || '/' || bucket_start AS locator FROM b
+        ANTI JOIN c USING (source_id, bucket_start)"""))(
     lambda s, d: _csv_gaps(S.bucketed(src.from_events(s, d), "1h").select("source_id", "bucket_start").distinct())
 )
 
@@ -154,13 +171,17 @@ _INPUTS = f""", si AS (SELECT DISTINCT source_id, {_floor('1h')} AS bucket_start
 register("changed_inputs", _with(more=_INPUTS + " SELECT locator, revision AS stored, 'c' AS requested FROM st WHERE h % 13 = 0 AND status = 'processed'"))(
     lambda s, d: state.changed_inputs(wanted_inputs(s, d), stored_inputs(s, d)).select("locator", "stored", "requested")
 )
-register("pending_inputs", _with(more=_INPUTS + " SELECT locator, revision FROM (SELECT locator, CASE WHEN h % 13 = 0 THEN 'c' ELSE revision END AS revision, h, status FROM st UNION ALL SELECT locator || '+', CASE WHEN h % 13 = 0 THEN 'c' ELSE revision END, h, 'new' FROM st WHERE h % 29 = 0) WHERE status <> 'processed' OR revision = 'c'"))(
+register("pending_inputs", _with(more=_INPUTS + """ SELECT locator, revision FROM (SELECT locator, CASE WHEN h % 13 = 0 THEN 'c' ELSE revision END AS revision, h, status
+        FROM st UNION ALL SELECT locator || '+', CASE WHEN h % 13 = 0 THEN 'c' ELSE revision END, h, 'new' FROM st
+        WHERE h % 29 = 0) WHERE status <> 'processed' OR revision = 'c'"""))(
     lambda s, d: state.pending_inputs(wanted_inputs(s, d), stored_inputs(s, d).select("locator", "revision", "status")).select("locator", "revision")
 )
-register("processed_buckets", _with(more=_INPUTS + " SELECT source_id, bucket_start, CASE WHEN status = 'pending' OR h % 29 = 0 THEN 'open' WHEN h % 13 = 0 THEN 'conflict' ELSE 'done' END AS state FROM st"))(
+register("processed_buckets", _with(more=_INPUTS + """ SELECT source_id, bucket_start, CASE WHEN status = 'pending' OR h % 29 = 0 THEN 'open' WHEN h % 13 = 0 THEN 'conflict' ELSE 'done' END AS state
+        FROM st"""))(
     lambda s, d: state.processed_buckets(wanted_inputs(s, d), stored_inputs(s, d))
 )
-register("scan_states", _with(more=_INPUTS + " SELECT scan_locator, CASE WHEN count(*) FILTER (WHERE revision <> 'a') > 0 THEN 'conflict' WHEN count(*) FILTER (WHERE status <> 'processed') > 0 OR max((bucket_start // 21600) % 5) = 0 THEN 'incomplete' ELSE 'complete' END AS state FROM st GROUP BY ALL"))(
+register("scan_states", _with(more=_INPUTS + """ SELECT scan_locator, CASE WHEN count(*) FILTER (WHERE revision <> 'a') > 0 THEN 'conflict' WHEN count(*) FILTER (WHERE status <> 'processed') > 0 OR max((bucket_start // 21600) % 5) = 0 THEN 'incomplete' ELSE 'complete' END AS state
+        FROM st GROUP BY ALL"""))(
     lambda s, d: state.scan_states(stored_scans(s, d), stored_inputs(s, d))
 )
 
@@ -193,7 +214,9 @@ def _reopened(buckets: DataFrame) -> DataFrame:
     return state.reopened_days(run, stored, run)
 
 
-register("flushable_1h", _with(more=f", b AS (SELECT source_id, max({_floor('5m')}) - 7200 AS now FROM flows GROUP BY ALL), c AS (SELECT DISTINCT source_id, {_floor('1h')} AS bucket_start FROM flows) SELECT source_id, bucket_start FROM c JOIN b USING (source_id) WHERE bucket_start + 3600 <= now"))(
+register("flushable_1h", _with(more=f""", b AS (SELECT source_id, max({_floor('5m')}) - 7200 AS now FROM flows GROUP BY ALL), c AS (SELECT DISTINCT source_id,
+        {_floor('1h')} AS bucket_start FROM flows) SELECT source_id, bucket_start FROM c JOIN b USING (source_id)
+        WHERE bucket_start + 3600 <= now"""))(
     lambda s, d: _flushable(src.from_events(s, d))
 )
 

@@ -9,7 +9,7 @@ from netloom.functions import calendar, text
 from netloom.functions import flow_columns as C
 from netloom.operators import guards
 from netloom.operators import statistics as S
-from netloom.plans import requests, serving, store
+from netloom.plans import product, requests, serving, store
 from netloom.plans.catalog import _AVG, _SETS, _TOTALS, MEMBERS, _floor, _structures, _traffic, _with, address_structure, members, register, rounded
 from netloom.sources import flows as src
 
@@ -21,15 +21,24 @@ _IN_WINDOW = f"bucket_start >= {WINDOW[0]} AND bucket_start < {WINDOW[1]}"
 SLUG, SLUG_START = "202401050035", 1704443700
 
 PARAMS = {"routers": "r1, r2", "startDate": str(WINDOW[0]), "endDate": str(WINDOW[1]), "groupBy": "30min", "srcVisibility": "literal", "dstVisibility": "anonymized"}
-register("api_netflow_stats_request", _traffic("30m") + f", e AS (SELECT bucket_start, {_TOTALS} FROM t WHERE src_visibility = 'literal' AND dst_visibility = 'anonymized' AND source_id IN ('r1', 'r2') AND {_IN_WINDOW} GROUP BY ALL) SELECT *, {_AVG} FROM e ORDER BY bucket_start")(
+register("api_netflow_stats_request", _traffic("30m") + f""", e AS (SELECT bucket_start, {_TOTALS} FROM t
+        WHERE src_visibility = 'literal' AND dst_visibility = 'anonymized' AND source_id IN ('r1', 'r2') AND {_IN_WINDOW}
+        GROUP BY ALL) SELECT *, {_AVG} FROM e ORDER BY bucket_start""")(
     lambda s, d: rounded(requests.traffic_stats(S.traffic(S.logical_sources(src.from_events(s, d), members(s)), "30m"), DEFINITIONS, requests.Request.parse(PARAMS)))
 )
 ADDRESS = requests.Request(("r1", "r3"), *WINDOW, "5m", "anonymized", "anonymized")
-register("api_ip_stats_request", _with(more=f"""SELECT source_id, {_floor('5m')} AS bucket_start, {', '.join(f"count(DISTINCT CASE WHEN ip_version = {v} THEN {c} END) AS {k}_ipv{v}" for v in (4, 6) for k, c in (('source', 'src_ip'), ('destination', 'dst_ip')))} FROM flows WHERE src_tos % 4 = 3 AND source_id IN ('r1', 'r3') AND {_floor('5m')} >= {WINDOW[0]} AND {_floor('5m')} < {WINDOW[1]} GROUP BY ALL ORDER BY source_id, bucket_start"""))(
+register("api_ip_stats_request", _with(more=f"""SELECT source_id, {_floor('5m')} AS bucket_start,
+        {', '.join(f"count(DISTINCT CASE WHEN ip_version = {v} THEN {c} END) AS {k}_ipv{v}" for v in (4, 6) for k, c in (('source', 'src_ip'), ('destination', 'dst_ip')))}
+        FROM flows WHERE src_tos % 4 = 3 AND source_id IN ('r1',
+        'r3') AND {_floor('5m')} >= {WINDOW[0]} AND {_floor('5m')} < {WINDOW[1]} GROUP BY ALL ORDER BY source_id,
+        bucket_start"""))(
     lambda s, d: requests.address_stats(S.address_counts(src.from_events(s, d), "5m"), ADDRESS)
 )
 PROTOCOL = requests.Request(("r2",), *WINDOW, "30m")
-register("api_protocol_stats_request", _with(more=f"SELECT source_id, {_floor('30m')} AS bucket_start, count(DISTINCT CASE WHEN ip_version = 4 THEN protocol END) AS ipv4, count(DISTINCT CASE WHEN ip_version = 6 THEN protocol END) AS ipv6 FROM flows WHERE source_id = 'r2' AND {_floor('30m')} >= {WINDOW[0]} AND {_floor('30m')} < {WINDOW[1]} GROUP BY ALL ORDER BY source_id, bucket_start"))(
+register("api_protocol_stats_request", _with(more=f"""SELECT source_id, {_floor('30m')} AS bucket_start, count(DISTINCT CASE WHEN ip_version = 4 THEN protocol END) AS ipv4,
+        count(DISTINCT CASE WHEN ip_version = 6 THEN protocol END) AS ipv6 FROM flows
+        WHERE source_id = 'r2' AND {_floor('30m')} >= {WINDOW[0]} AND {_floor('30m')} < {WINDOW[1]} GROUP BY ALL
+        ORDER BY source_id, bucket_start"""))(
     lambda s, d: requests.protocol_stats(S.protocols(src.from_events(s, d), "30m"), PROTOCOL)
 )
 SHAPE = requests.Request(("r1", "r2", "r3"), *WINDOW, "1d", "literal", "literal")
@@ -43,13 +52,17 @@ def _points(wide: DataFrame, kind: str, *fields: str) -> DataFrame:
 
 
 _SHAPE = f"granularity = '1d' AND src_visibility = 'literal' AND dst_visibility = 'literal' AND {_IN_WINDOW}"
-register("api_structure_stats", _with(more=_structures("1d") + f" SELECT source_id, bucket_start, address_side, round(q8 / 8.0, 4) AS q, round(round(tau, 8), 4) AS tau, round(round(sd, 6), 4) AS sd FROM st JOIN grid USING (k) WHERE {_SHAPE}"))(
+register("api_structure_stats", _with(more=_structures("1d") + f""" SELECT source_id, bucket_start, address_side, round(q8 / 8.0, 4) AS q, round(round(tau, 8), 4) AS tau,
+        round(round(sd, 6), 4) AS sd FROM st JOIN grid USING (k) WHERE {_SHAPE}"""))(
     lambda s, d: _points(requests.structure_stats(address_structure(s, d, "1d"), SHAPE), "structure", "q", "tau", "sd")
 )
-register("api_spectrum_stats", _with(more=_structures("1d") + f" SELECT source_id, bucket_start, address_side, round(round(alpha, 8), 4) AS alpha, round(round(f, 8), 4) AS f FROM sp JOIN grid USING (k) WHERE {_SHAPE}"))(
+register("api_spectrum_stats", _with(more=_structures("1d") + f""" SELECT source_id, bucket_start, address_side, round(round(alpha, 8), 4) AS alpha, round(round(f, 8), 4) AS f FROM sp
+        JOIN grid USING (k) WHERE {_SHAPE}"""))(
     lambda s, d: _points(requests.spectrum_stats(address_structure(s, d, "1d"), SHAPE), "spectrum", "alpha", "f")
 )
-register("api_file_ip_counts", _with(more=f"SELECT count(DISTINCT CASE WHEN ip_version = 4 THEN dst_ip END) AS ipv4, count(DISTINCT CASE WHEN ip_version = 6 THEN dst_ip END) AS ipv6 FROM flows WHERE source_id = 'r3' AND {_floor('5m')} = {SLUG_START} GROUP BY source_id"))(
+register("api_file_ip_counts", _with(more=f"""SELECT count(DISTINCT CASE WHEN ip_version = 4 THEN dst_ip END) AS ipv4,
+        count(DISTINCT CASE WHEN ip_version = 6 THEN dst_ip END) AS ipv6 FROM flows
+        WHERE source_id = 'r3' AND {_floor('5m')} = {SLUG_START} GROUP BY source_id"""))(
     lambda s, d: requests.file_address_counts(S.address_counts(src.from_events(s, d), "5m"), SLUG, "r3", False)
 )
 
@@ -64,7 +77,8 @@ def inferred(s, d) -> DataFrame:
     return guards.inferred_members(paths)
 
 
-register("api_routers", f"SELECT DISTINCT logical AS source_id FROM (VALUES {', '.join(map(str, MEMBERS))}) m(logical, member) SEMI JOIN (SELECT 'r' || (user_id % 3 + 1) AS member FROM events) e USING (member) ORDER BY source_id")(all_source_list)
+register("api_routers", f"""SELECT DISTINCT logical AS source_id FROM (VALUES {', '.join(map(str, MEMBERS))}) m(logical, member) SEMI
+        JOIN (SELECT 'r' || (user_id % 3 + 1) AS member FROM events) e USING (member) ORDER BY source_id""")(all_source_list)
 register("source_definitions", f"""
     WITH c AS (SELECT * FROM (VALUES {', '.join(map(str, MEMBERS[3:]))}) m(source_id, member_id)), s AS (SELECT DISTINCT 'r' || (user_id % 3 + 1) AS source_id FROM events),
     b AS (SELECT * FROM c UNION ALL SELECT source_id, source_id FROM s ANTI JOIN c USING (source_id))
@@ -82,9 +96,13 @@ def dataset_catalogue(s, d) -> DataFrame:
     return requests.catalogue(datasets, of("live", src.from_events(s, d)).union(of("bulk", src.from_lineitem(s, d))))
 
 
-register("api_datasets", "SELECT 'bulk' AS dataset_id, 'Bulk' AS label, 2 AS sort_order, count(DISTINCT (l_suppkey * 1000003 + l_partkey) % 3) AS source_count FROM lineitem UNION ALL SELECT 'live', 'Live', 1, count(DISTINCT user_id % 3) FROM events UNION ALL SELECT 'empty', 'Empty', 1, 0 ORDER BY sort_order, dataset_id")(dataset_catalogue)
+register("api_datasets", """SELECT 'bulk' AS dataset_id, 'Bulk' AS label, 2 AS sort_order,
+        count(DISTINCT (l_suppkey * 1000003 + l_partkey) % 3) AS source_count FROM lineitem UNION ALL SELECT 'live', 'Live', 1,
+        count(DISTINCT user_id % 3) FROM events UNION ALL SELECT 'empty', 'Empty', 1, 0 ORDER BY sort_order, dataset_id""")(dataset_catalogue)
 _PLAIN = ", ".join(f"cast(sum({c}) AS BIGINT) AS {c}" for c in S.COUNTERS[:15])
-register("traffic_of_ipv6", _traffic("1h") + f" SELECT bucket_start, cast(sum(CASE WHEN ip_version = 6 THEN flows ELSE 0 END) AS BIGINT) AS flows, cast(sum(CASE WHEN ip_version = 6 THEN bytes ELSE 0 END) AS BIGINT) AS bytes FROM t WHERE src_visibility = 'all' GROUP BY ALL")(
+register("traffic_of_ipv6", _traffic("1h") + f""" SELECT bucket_start, cast(sum(CASE WHEN ip_version = 6 THEN flows ELSE 0 END) AS BIGINT) AS flows,
+        cast(sum(CASE WHEN ip_version = 6 THEN bytes ELSE 0 END) AS BIGINT) AS bytes FROM t WHERE src_visibility = 'all'
+        GROUP BY ALL""")(
     lambda s, d: requests.family(serving.family_totals(serving.window(S.traffic(src.from_events(s, d), "1h"))), "ipv6").select("bucket_start", "flows", "bytes")
 )
 
@@ -111,7 +129,8 @@ def _calendar(flows: DataFrame) -> DataFrame:
     ).select("c.*", "*").drop("c")
 
 
-register("boundaries", _with(more=f"""SELECT k, CASE k % 4 WHEN 0 THEN end_s WHEN 1 THEN end_s - end_s % 60 WHEN 2 THEN cast(epoch(timezone('{C.TIMEZONE}', date_trunc('day', {_AT}))) AS BIGINT) END AS boundary FROM flows"""))(
+register("boundaries", _with(more=f"""SELECT k, CASE k % 4 WHEN 0 THEN end_s WHEN 1 THEN end_s - end_s % 60 WHEN 2 THEN cast(epoch(timezone('{C.TIMEZONE}',
+        date_trunc('day', {_AT}))) AS BIGINT) END AS boundary FROM flows"""))(
     lambda s, d: _boundaries(src.from_events(s, d, "k"))
 )
 
@@ -130,7 +149,9 @@ def _unit(value: str, units, plain: str) -> str:
     return f"CASE {whens} ELSE {value} || '{plain}' END"
 
 
-register("formatted_units", _with(more=f"SELECT k, {_unit('v', text.COUNT_UNITS, '')} AS plain, {_unit('v', text.BYTE_UNITS, ' bytes')} AS size, 'a/b c~' || k AS name, 'a%2Fb%20c~' || k AS quoted, 'a-b-c-' || k AS part FROM (SELECT k, bytes * cast(pow(10, k % 12) AS BIGINT) AS v FROM flows)"))(
+register("formatted_units", _with(more=f"""SELECT k, {_unit('v', text.COUNT_UNITS, '')} AS plain, {_unit('v', text.BYTE_UNITS, ' bytes')} AS size,
+        'a/b c~' || k AS name, 'a%2Fb%20c~' || k AS quoted, 'a-b-c-' || k AS part FROM (SELECT k, bytes * cast(pow(10,
+        k % 12) AS BIGINT) AS v FROM flows)"""))(
     lambda s, d: _formatted(src.from_events(s, d, "k").select("k", (F.col("bytes") * F.pow(F.lit(10.0), F.col("k") % 12).cast("long")).alias("v")))
 )
 
@@ -140,7 +161,11 @@ def _formatted(df: DataFrame) -> DataFrame:
     return df.select("k", text.with_unit(F.col("v")).alias("plain"), text.with_unit(F.col("v"), text.BYTE_UNITS, " bytes").alias("size"), name.alias("name"), text.quoted(name).alias("quoted"), text.path_part(name).alias("part"))
 
 
-register("tolerant_points", _with(more="SELECT k, CASE WHEN k % 3 = 0 THEN 0 ELSE 2 END AS n_points, CASE WHEN k % 3 = 0 THEN NULL ELSE 0.0 END AS q_min, CASE WHEN k % 3 = 0 THEN NULL ELSE cast(k % 5 AS DOUBLE) END AS q_max, CASE WHEN k % 3 = 0 THEN NULL ELSE 1.5 END AS tau, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN 0.5 ELSE 0.25 END AS sd, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN 1.0 ELSE 1.25 END AS low FROM flows"))(
+register("tolerant_points", _with(more="""SELECT k, CASE WHEN k % 3 = 0 THEN 0 ELSE 2 END AS n_points, CASE WHEN k % 3 = 0 THEN NULL ELSE 0.0 END AS q_min,
+        CASE WHEN k % 3 = 0 THEN NULL ELSE cast(k % 5 AS DOUBLE) END AS q_max,
+        CASE WHEN k % 3 = 0 THEN NULL ELSE 1.5 END AS tau,
+        CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN 0.5 ELSE 0.25 END AS sd,
+        CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN 1.0 ELSE 1.25 END AS low FROM flows"""))(
     lambda s, d: _tolerant(src.from_events(s, d, "k"))
 )
 
@@ -166,7 +191,10 @@ register("dense_fill_1d", _traffic("1d") + f"""
     sc AS (SELECT * FROM (VALUES (4), (6)) v(ip_version) CROSS JOIN (VALUES ('all','all'),('literal','literal'),('literal','anonymized'),('anonymized','literal'),('anonymized','anonymized')) p(src_visibility, dst_visibility))
     SELECT source_id, '1d' AS granularity, bucket_start, ip_version, src_visibility, dst_visibility, {", ".join(f"coalesce({c}, 0) AS {c}" for c in S.COUNTERS)}, {_AVG}
     FROM cal CROSS JOIN sc LEFT JOIN (SELECT * EXCLUDE granularity FROM t) USING (source_id, bucket_start, ip_version, src_visibility, dst_visibility)""")(dense_1d)
-register("complete_30m", _traffic("30m") + f", c AS (SELECT {_floor('30m')} AS bucket_start FROM flows GROUP BY ALL HAVING count(DISTINCT {_floor('5m')}) = 6) SELECT 'all' AS source_id, bucket_start, ip_version, src_visibility, dst_visibility, cast(sum(flows) AS BIGINT) AS flows, cast(sum(bytes) AS BIGINT) AS bytes FROM t SEMI JOIN c USING (bucket_start) GROUP BY ALL")(
+register("complete_30m", _traffic("30m") + f""", c AS (SELECT {_floor('30m')} AS bucket_start FROM flows GROUP BY ALL HAVING count(DISTINCT {_floor('5m')}) = 6)
+        SELECT 'all' AS source_id, bucket_start, ip_version, src_visibility, dst_visibility,
+        cast(sum(flows) AS BIGINT) AS flows, cast(sum(bytes) AS BIGINT) AS bytes FROM t SEMI JOIN c USING (bucket_start)
+        GROUP BY ALL""")(
     lambda s, d: _complete(S.traffic(S.logical_sources(src.from_events(s, d), members(s).where("source_id = 'all'"))), "30m")
 )
 
@@ -212,3 +240,49 @@ register("extract_tables_summary", _with(more=f""", tr AS ({_rows('', 'scoped')}
     ad AS ({_rows(", 'source' AS side", 'scoped')} UNION ALL {_rows(", 'destination'", 'scoped')}),
     po AS ({_rows(", 's' AS side, src_port < 1024 AS low", 'scoped WHERE src_port IS NOT NULL')} UNION ALL {_rows(", 'd', dst_port < 1024", 'scoped WHERE dst_port IS NOT NULL')})
     {' UNION ALL '.join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, min(bucket_start) AS first, max(bucket_start) AS last FROM {t} WHERE {_IN_WINDOW}" for n, t in (('traffic_stats', 'tr'), ('protocol_stats', 'tr'), ('address_count_stats', 'ad'), ('port_count_stats', 'po')))}"""))(extract_tables)
+
+
+# The whole product: five dense tables of all granularities.
+_MEASURES = {"traffic_stats": "flows", "protocol_stats": "unique_protocols_count", "address_count_stats": "unique_address_count", "port_count_stats": "unique_port_count"}
+
+
+def product_totals(s, d) -> DataFrame:
+    """Rows, rows with content and sums of each table and granularity."""
+    out = None
+    for name, df in product.tables(src.from_events(s, d)).items():
+        value = F.col(_MEASURES[name]) if name in _MEASURES else F.when(F.col("values_json") == "[]", 0).otherwise(1)
+        end = F.max("bucket_end").alias("last_end")
+        t = df.groupBy("granularity").agg(F.count("*").alias("n_rows"), F.count_if(value > 0).alias("n_filled"), F.sum(value).cast("long").alias("total"), end).select(F.lit(name).alias("table_name"), "*")
+        out = t if out is None else out.union(t)
+    return out
+
+
+def _product_sql(g: str) -> str:
+    key = f"source_id, {_floor(g)} AS b, ip_version, src_visibility, dst_visibility"
+    end = f"cast(epoch(timezone('{C.TIMEZONE}', timezone('{C.TIMEZONE}', to_timestamp(last)) + INTERVAL 1 DAY)) AS BIGINT)" if g == "1d" else f"last + {C.WIDTHS[g]}"
+    values = {
+        "traffic_stats": (10, f"""SELECT sum(flow_count) AS v FROM (SELECT {key}, flow_count FROM scoped) GROUP BY source_id, b, ip_version,
+        src_visibility, dst_visibility"""),
+        "protocol_stats": (10, f"""SELECT count(DISTINCT protocol) AS v FROM (SELECT {key}, protocol FROM scoped) GROUP BY source_id, b, ip_version,
+        src_visibility, dst_visibility"""),
+        "address_count_stats": (20, " UNION ALL ".join(f"""SELECT count(DISTINCT {c}) AS v FROM (SELECT {key}, {c} FROM scoped) GROUP BY source_id, b, ip_version,
+        src_visibility, dst_visibility""" for c in ("src_ip", "dst_ip"))),
+        "port_count_stats": (40, " UNION ALL ".join(f"""SELECT count(DISTINCT {c}) AS v FROM (SELECT {key}, {c} FROM scoped WHERE {c} IS NOT NULL) GROUP BY source_id, b,
+        ip_version, src_visibility, dst_visibility, {c} < 1024""" for c in ("src_port", "dst_port"))),
+    }
+    cal = f"""(SELECT DISTINCT source_id, {_floor(g, 't')} AS b FROM (SELECT source_id, unnest(generate_series(min({_floor('5m')}),
+        max({_floor('5m')}), 300)) AS t FROM flows GROUP BY source_id))"""
+    parts = [f"""SELECT '{n}' AS table_name, '{g}' AS granularity, (SELECT count(*) * {k} FROM {cal}) AS n_rows,
+        count(*) FILTER (WHERE v > 0) AS n_filled, cast(sum(v) AS BIGINT) AS total, (SELECT {end} FROM (SELECT max(b) AS last
+        FROM {cal})) AS last_end FROM ({q})""" for n, (k, q) in values.items()]
+    return " UNION ALL ".join(parts)
+
+
+def _structure_sql(g: str) -> str:
+    end = f"cast(epoch(timezone('{C.TIMEZONE}', timezone('{C.TIMEZONE}', to_timestamp(max(bucket_start))) + INTERVAL 1 DAY)) AS BIGINT)" if g == "1d" else f"max(bucket_start) + {C.WIDTHS[g]}"
+    return f"""({_with(more=_structures(g))} SELECT 'address_structure_stats' AS table_name, '{g}' AS granularity,
+        count(*) AS n_rows, count(*) FILTER (WHERE values_json <> '[]') AS n_filled,
+        count(*) FILTER (WHERE values_json <> '[]') AS total, {end} AS last_end FROM ds)"""
+
+
+register("product_totals", _with(more=" UNION ALL ".join([_product_sql(g) for g in C.GRANULARITIES] + [_structure_sql(g) for g in C.GRANULARITIES])))(product_totals)

@@ -140,3 +140,11 @@ def test_address_structure_has_both_sides_all_pairs_and_empty_sets(spark):
     pair = spark.createDataFrame([("s", 0), ("s", 1 << 31)], "k string, a long")
     rows = {r.structure_kind: r.values_json for r in structure.described(pair, pair.select("k").distinct(), ["k"]).collect()}
     assert rows["structure"].count('"tauTilde": 0.00000000') == 33 and rows["spectrum"] == "[]" and rows["dimension"].count("dim") == 3
+
+
+def test_sums_over_64_bits_fail(spark):
+    many = spark.createDataFrame([flow(packets=(1 << 62) + k, bytes=0) for k in range(2)], SCHEMA)
+    assert S.traffic(many.limit(1)).where("src_visibility = 'all'").first().packets == 1 << 62
+    for bad in (many, many.limit(1).selectExpr("* except (duration_ms, flow_count)", "4611686018427387904L as duration_ms", "2L as flow_count")):
+        with pytest.raises(Exception, match="OVERFLOW"):
+            S.traffic(bad).collect()

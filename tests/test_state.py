@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from netloom.functions import calendar
 from netloom.operators import statistics as S
-from netloom.plans import requests, state, store
+from netloom.plans import pipeline, product, requests, state, store
+from netloom.sources import captures, config
+from netloom.sources import flows as src
 from netloom.streaming import tumbling
 
 
@@ -185,3 +187,71 @@ def test_ranges(spark):
     assert {tuple(r) for r in S.merged_ranges(spans).collect()} == {("a", 0, 12), ("a", 20, 30), ("b", 0, 1)}
     wanted = spark.createDataFrame([("a", 5, 25), ("b", 0, 1), ("c", 1, 3), ("a", 40, 41), ("a", -5, 0)], spans.schema)
     assert {tuple(r) for r in S.missing_within(spans, wanted).collect()} == {("a", 12, 20), ("c", 1, 3), ("a", 40, 41), ("a", -5, 0)}
+
+
+def test_product_is_dense_and_published_whole(spark, tmp_path):
+    flows = src.from_events(spark, "/root/testdata/sf0.001").where("end_s < 1704200000")
+    path = f"file://{tmp_path}/product"
+    product.publish(flows, path, granularities=("1h", "1d"))
+    tables = product.read(spark, path)
+    assert set(tables) == set(product.TABLES)
+    per_bucket = {"traffic_stats": 10, "protocol_stats": 10, "address_count_stats": 20, "port_count_stats": 40, "address_structure_stats": 30}
+    for name, df in tables.items():
+        keys = [*S.KEY, *product.TABLES[name]]
+        assert df.select(*keys).distinct().count() == df.count()
+        for r in df.groupBy("source_id", "granularity", "bucket_start", "bucket_end").count().collect():
+            assert r["count"] == per_bucket[name] and r.bucket_end - r.bucket_start == (3600 if r.granularity == "1h" else 86_400)
+    wide = S.observed_bounds(flows).withColumn("last", F.col("last") + 7200)
+    more = product.tables(flows, bounds=wide, granularities=("5m",), with_structure=False)
+    last = more["port_count_stats"].groupBy("bucket_start").agg(F.sum("unique_port_count").alias("n"), F.count("*").alias("m")).orderBy(F.col("bucket_start").desc()).first()
+    assert (last.n, last.m % 40, set(more)) == (0, 0, set(product.TABLES) - {"address_structure_stats"})
+
+
+CSV = {"columns": {"time_end": "t", "src_ip": "a", "dst_ip": "b", "packets": "p"}, "source_id": {"value": "c1"}, "has_header": False, "fieldnames": ["t", "a", "b", "p"]}
+
+
+def test_a_run_from_files_to_a_product(spark, tmp_path):
+    rows = ["1762071310,192.0.2.1,192.0.2.2,3", "1762072000,198.51.100.1,198.51.100.2,4", "1762071320,192.0.2.300,192.0.2.2,3"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("\n".join(rows) + "\n")
+    row = "1762071310.0,1762071310.0,1762071300.0,10.0.0.1,10.0.0.2,0,443,6,5,500,0,0,1,0,64"
+    for member, stamps in (("m1", ("202511020115", "202511020125")), ("m2", ("202511020120",))):
+        d = tmp_path / f"tree/{member}/2025/11/02"
+        d.mkdir(parents=True)
+        for stamp in stamps:
+            (d / f"nfcapd.{stamp}").write_text(",".join(captures.CAPTURE_FIELDS) + f"\n{row}\n")
+    tree = {"kind": "captures", "path": f"file://{tmp_path}/tree", "sources": [{"source_id": "both", "members": ["m1", "m2"]}, {"source_id": "m1", "members": ["m1"]}]}
+    settings = {"inputs": [{"kind": "csv_tree", "path": f"file://{tmp_path}/in", "mapping": CSV}, tree], "selection": {"ip_prefix": "0.0.0.0/1"}, "run_structure": False}
+    path = f"file://{tmp_path}/product"
+    pipeline.run(spark, settings, path)
+    five = store.published(spark, path, "traffic_stats").where("granularity = '5m' and ip_version = 4 and src_visibility = 'all'")
+    got = {(r.source_id, r.bucket_start): r.packets for r in five.collect()}
+    both = {("both", 1762071300 + k): 5 for k in (0, 300, 600)} | {("m1", 1762071300): 5, ("m1", 1762071600): 0, ("m1", 1762071900): 5}
+    assert got == both | {("c1", 1762071300): 0, ("c1", 1762071600): 0, ("c1", 1762071900): 0}  # the selection leaves nothing of the CSV but its buckets
+    assert store.published(spark, path, "source_members").count() == 3
+    with pytest.raises(store.Conflict, match="selection"):
+        pipeline.run(spark, settings | {"selection": None}, path)
+    with pytest.raises(store.Conflict, match="more than one input"):
+        csv = {"kind": "csv", "mapping": CSV}
+        (tmp_path / "in/b.csv").write_text(rows[0] + "\n")
+        pipeline.run(spark, {"inputs": [csv | {"path": f"file://{tmp_path}/in/a.csv"}, csv | {"path": f"file://{tmp_path}/in/b.csv"}]}, f"file://{tmp_path}/other")
+    whole = pipeline.run(spark, {"inputs": [tree | {"first_date": "2025-11-01", "last_date": "2025-11-02"}], "run_structure": False}, f"file://{tmp_path}/days")
+    days = store.published(spark, f"file://{tmp_path}/days", "traffic_stats").where("source_id = 'both' and ip_version = 4 and src_visibility = 'all'")
+    assert whole and {(r.granularity, r["count"]) for r in days.groupBy("granularity").count().collect()} == {("5m", 588), ("30m", 98), ("1h", 49), ("1d", 2)}
+    pipeline.run(spark, {"inputs": [tree], "run_structure": False}, f"file://{tmp_path}/part")
+    assert {r.granularity for r in store.published(spark, f"file://{tmp_path}/part", "traffic_stats").select("granularity").distinct().collect()} == {"5m"}
+
+
+def test_configurations_are_checked():
+    good = {"dataset_id": "a_b", "root_path": "/r", "product_path": "/p"}
+    one, two = config.registry([good, good | {"dataset_id": "c", "label": "C", "sources": [{"source_id": "s", "members": ["m", "n"]}]}])
+    assert (one.label, one.source_mode, one.discovery_mode, two.sources, two.sort_order) == ("A B", "subdirs", "static", {"s": ["m", "n"]}, 1)
+    bad = [[], [1], [good, good], [good | {"root_path": " "}], [good | {"source_ids": "x"}], [good | {"source_ids": [], "sources": []}]]
+    bad += [[good | {"sources": s}] for s in ([], [1], [{"source_id": "", "members": ["m"]}], [{"source_id": "s", "members": []}], [{"source_id": "s", "members": ["m", " "]}], [{"source_id": "s", "members": ["m", "m"]}], [{"source_id": "s", "members": ["m"]}] * 2)]
+    for b in bad:
+        with pytest.raises(ValueError):
+            config.registry(b)
+    tree = {"kind": "captures", "path": "/x", "sources": [{"source_id": "s", "members": ["m"]}]}
+    for b in ({}, {"inputs": []}, {"inputs": [{"kind": "x", "path": "/x"}]}, {"inputs": [{"kind": "csv", "path": "/x"}]}, {"inputs": [{"kind": "captures"}]}, {"inputs": [tree, tree]}):
+        with pytest.raises(ValueError):
+            config.pipeline_inputs(b)
