@@ -77,14 +77,20 @@ def moved_to(five_minutes: DataFrame, granularity: str, tz: str = C.TIMEZONE) ->
 
 
 def with_all(partial: DataFrame) -> DataFrame:
-    """Facts of any origin (flows, or counters that come grouped) under their own pairs and under (all, all), with averages."""
-    return averages(summed(partial).unionByName(summed(_under_all(partial))))
+    """Facts of any origin (flows, or counters that come grouped) under their own pairs and under (all, all), with averages.
+
+    The aggregated rows are doubled, not the flows, and what they come from is computed once.
+    """
+    pair = lambda a, b: F.struct(a.alias("s"), b.alias("d"))
+    both = F.explode(F.array(pair(F.lit("all"), F.lit("all")), pair(F.col("src_visibility"), F.col("dst_visibility"))))
+    doubled = partial.withColumn("pair", both).withColumns({"src_visibility": F.col("pair.s"), "dst_visibility": F.col("pair.d")})
+    return averages(summed(doubled))
 
 
 def traffic(flows: DataFrame, granularity: str = "5m", tz: str = C.TIMEZONE) -> DataFrame:
     """Counters and averages by KEY, under (all, all) and the flows' own pairs."""
-    own = facts(flows, granularity, tz)
-    return averages(own.unionByName(summed(_under_all(own))))
+    own = facts(flows, "5m", tz)
+    return with_all(own if granularity == "5m" else moved_to(own, granularity, tz))
 
 
 def roll_up(five_minutes: DataFrame, granularity: str, tz: str = C.TIMEZONE) -> DataFrame:
