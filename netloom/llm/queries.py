@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, lm_score, minhash, secrets, token_counts, token_ids, toxicity
+from . import bpe, decontaminate, divergence, exact_dedup, line_dedup, lm_score, minhash, multi_index, negatives, secrets, token_counts, token_ids, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +65,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 SPACES = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 ORACLES = {
@@ -93,11 +108,55 @@ ORACLES = {
                    count(*) OVER (PARTITION BY norm) AS group_size
             FROM norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM ranked""",
+    "op11_hard_negatives": """
+        WITH vecs AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positive AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+        ranked AS (
+            SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+            FROM positive JOIN scored USING (anchor_id)
+            WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5""",
+    "op13_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        words AS (
+            SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM docs),
+        terms AS (SELECT lang, term, count(*) AS of_lang FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+        sizes AS (SELECT lang, count(*) AS v, sum(of_lang) AS all_of FROM terms GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+        cells AS (
+            SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, t.of_lang FROM (SELECT DISTINCT lang, source FROM docs) g
+            JOIN terms t ON g.lang = t.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+        shares AS (
+            SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p,
+                   1 + (1000000000::HUGEINT * (of_lang + 5)) // (all_of + 5 * v)::HUGEINT AS q
+            FROM cells JOIN sizes USING (lang)),
+        gone AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(gone.value, 0) AS value
+            FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN gone ON gone.lang = a.lang AND gone.source = a.source AND gone.item = b.source),
+        items AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM items QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_toxicity, op3_lm_score, op4_token_ids, op5_minhash, op6_decontaminate, op7_line_dedup, op8_token_counts, op9_secrets, op10_exact_dedup)
+    own = (op1_bpe, op2_toxicity, op3_lm_score, op4_token_ids, op5_minhash, op6_decontaminate, op7_line_dedup, op8_token_counts, op9_secrets, op10_exact_dedup, op11_hard_negatives, op12_multi_index, op13_source_divergence)
     return {f.__name__: f for f in own}
 
 
