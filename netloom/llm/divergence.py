@@ -53,9 +53,9 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
         for b in it:
             for text, lang, source in zip(as_bytes(b, text_col), as_bytes(b, lang_col), as_bytes(b, source_col), strict=True):
                 n, in_docs = counts[lang, source]
-                own = Counter(text.translate(TERM_BYTES).split())
-                n.update(own)
-                in_docs.update(own.keys())
+                terms = text.translate(TERM_BYTES).split()
+                n.update(terms)
+                in_docs.update(set(terms))
             if sum(len(n) for n, _ in counts.values()) > HELD:
                 yield from emptied()
         yield from emptied()
