@@ -107,8 +107,9 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen_lists(queries: DataFrame, books: Books, width: int, spread: float, rows: float) -> DataFrame:
-    """queries (id, vec, bound) with a bitmap of the lists that each takes."""
+def chosen_lists(queries: DataFrame, books: Books, width: int, spread: float, rows: float, bounded: bool) -> DataFrame:
+    """queries (id, vec, bound) with a bitmap of the lists that each takes; without a bound those of the first rows or, if
+    bounded, all, as so few rows were found."""
 
     def run(it):
         sizes = books.sizes.tolist()
@@ -117,7 +118,7 @@ def chosen_lists(queries: DataFrame, books: Books, width: int, spread: float, ro
             maps = []
             for v, t in zip(vectors, b.column("bound").to_pylist(), strict=True):
                 bits = np.zeros(len(sizes), bool)
-                bits[traversed(*books.distances(v, spread), sizes, rows, -np.inf if t is None else -t)] = True
+                bits[traversed(*books.distances(v, spread), sizes, rows, (np.inf if bounded else -np.inf) if t is None else -t)] = True
                 maps.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maps, pa.binary())], names=[*b.schema.names, "lists"])
 
@@ -191,13 +192,13 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, spread: float = S
     def parts():
         for g in range(n):
             chosen = queries.where(F.col("grp") == g).withColumn("bound", F.lit(None).cast("double")).drop("grp").toArrow()  # `most` rows
-            group = _listed(spark, chosen, books, width, spread, first + 1)
+            group = _listed(spark, chosen, books, width, spread, first, False)
             found = scan(index, group, width, k).where(F.col("rank") == k).select("query", "score").toArrow()
             bounds: list[float | None] = [None] * len(group)
             for q, score in zip(*(c.to_pylist() for c in found.columns), strict=True):
                 bounds[q] = score
             bounded = group.drop_columns(["lists", "bound"]).append_column("bound", pa.array(bounds, pa.float64()))
-            group = _listed(spark, bounded, books, width, spread, first + 1)
+            group = _listed(spark, bounded, books, width, spread, first, True)
             names = spark.createDataFrame(pa.table([pa.array(range(len(group)), pa.int64()), group.column("id")], names=["query", "query_id"]))
             result = scan(index, group, width, k).join(names, "query")
             yield result.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("ident").alias("vec_id"), "score")
@@ -207,7 +208,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, spread: float = S
     return out
 
 
-def _listed(spark, group: pa.Table, books: Books, width: int, spread: float, rows: float) -> pa.Table:
+def _listed(spark, group: pa.Table, books: Books, width: int, spread: float, rows: float, bounded: bool) -> pa.Table:
     """A group's queries with their lists, in one order; the tasks traverse."""
     df = spark.createDataFrame(group).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return chosen_lists(df, books, width, spread, rows).toArrow()
+    return chosen_lists(df, books, width, spread, rows, bounded).toArrow()
