@@ -352,36 +352,79 @@ SETS = list(S.SET_KEY)
 _SETS = ", ".join(SETS)
 
 
-def _structures(g: str) -> str:
-    """With scoped, the tables of the structure at one granularity; k names a set. grid has all sets, spans those with addresses."""
-    return f""", cal AS (SELECT DISTINCT source_id, {_floor(g, "t")} AS bucket_start FROM (SELECT source_id, unnest(generate_series(min({_floor("5m")}), max({_floor("5m")}), 300)) AS t FROM flows GROUP BY source_id)),
-    pairs AS (SELECT source_id, '{g}' AS granularity, bucket_start, src_visibility, dst_visibility FROM cal CROSS JOIN (VALUES ('all','all'),('literal','literal'),('literal','anonymized'),('anonymized','literal'),('anonymized','anonymized')) p(src_visibility, dst_visibility)),
-    grid AS (SELECT *, row_number() OVER () AS k FROM pairs CROSS JOIN (VALUES ('source'), ('destination')) s(address_side)),
-    ends AS (SELECT source_id, {_floor(g)} AS bucket_start, src_visibility, dst_visibility, src_u32, dst_u32 FROM scoped WHERE ip_version = 4),
-    sets AS (SELECT DISTINCT g.k, e.a FROM (SELECT * EXCLUDE (src_u32, dst_u32), 'source' AS address_side, src_u32 AS a FROM ends UNION ALL SELECT * EXCLUDE (src_u32, dst_u32), 'destination', dst_u32 FROM ends) e JOIN grid g USING (source_id, bucket_start, src_visibility, dst_visibility, address_side)),
-    pc AS MATERIALIZED (SELECT k, len, a // cast(pow(2, 32 - len) AS BIGINT) AS prefix, count(*) AS n FROM sets, (SELECT unnest(range(33)) AS len) GROUP BY ALL),
-    spans AS (SELECT k, min(len) FILTER (WHERE len >= 1 AND n = 1) AS lo, min(len) FILTER (WHERE len >= 1 AND n / pow(2.0, 32 - len) >= 0.95) AS hi, max(n) FILTER (WHERE len = 0) AS total FROM pc GROUP BY ALL),
-    pb AS (SELECT * FROM spans WHERE total >= 2 AND lo IS NOT NULL AND hi >= lo),
-    split AS (SELECT p.*, c.n AS m FROM (SELECT * FROM pc JOIN pb USING (k) WHERE n > 1 AND len BETWEEN lo AND hi) p JOIN pc c ON c.k = p.k AND c.len = p.len + 1 AND c.prefix // 2 = p.prefix),
-    qs AS (SELECT unnest(range(-4, 29)) AS q8),
-    per AS (SELECT k, lo, hi, len, q8, prefix, pow(cast(n AS DOUBLE), q8 / 8.0) AS x, sum(pow(cast(m AS DOUBLE), q8 / 8.0)) AS y FROM split, qs GROUP BY k, lo, hi, len, q8, prefix, n),
-    mo AS (SELECT k, lo, hi, len, q8, log2(sum(x)) - log2(sum(y)) AS tau, greatest(sum(x * x) / (sum(x) * sum(x)) - 2 * sum(x * y) / (sum(x) * sum(y)) + sum(y * y) / (sum(y) * sum(y)), 0) AS d2 FROM per GROUP BY ALL),
-    ss AS (SELECT k, q8, sum(tau) / (hi - lo + 1) AS tau, sqrt(sum(d2) / (hi - lo + 1)) AS sd FROM mo GROUP BY k, q8, lo, hi),
-    st AS (SELECT k, q8, coalesce(tau, 0) AS tau, coalesce(sd, 0) AS sd FROM (SELECT k, q8 FROM pb, qs) LEFT JOIN ss USING (k, q8)),
-    al AS (SELECT *, (lead(tau) OVER w - lag(tau) OVER w) / 0.25 AS alpha FROM st WINDOW w AS (PARTITION BY k ORDER BY q8)),
-    de AS (SELECT *, lag(alpha) OVER w - alpha > 1e-9 AS dec FROM al WHERE alpha IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY q8)),
-    se AS (SELECT *, count(*) FILTER (WHERE dec) OVER w AS seen FROM de WINDOW w AS (PARTITION BY k ORDER BY q8)),
-    sx AS (SELECT *, count(*) FILTER (WHERE NOT coalesce(dec, false) AND seen > 0) OVER w AS stop FROM se WINDOW w AS (PARTITION BY k ORDER BY q8)),
-    sp AS (SELECT k, q8, alpha, q8 / 8.0 * alpha - tau AS f FROM sx WHERE dec AND stop = 0),
-    en AS (SELECT k, len, sum(n / total * log2(n / total)) AS h FROM (SELECT k, len, cast(n AS DOUBLE) AS n, total FROM pc JOIN pb USING (k) WHERE len BETWEEN lo AND hi) GROUP BY ALL),
-    di AS (SELECT k, 1 AS q, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(h, -len) END AS dim FROM en GROUP BY k UNION ALL SELECT k, q8 // 8, tau / (q8 / 8.0 - 1) FROM st WHERE q8 IN (0, 16)),
-    kinds AS (SELECT k, 'structure' AS structure_kind, q8 AS place, printf('{{"q": %.3f, "sd": %.6f, "tauTilde": %.8f}}', q8 / 8.0, round(sd, 6) + 0.0, round(tau, 8) + 0.0) AS v FROM st
-        UNION ALL SELECT k, 'spectrum', q8, printf('{{"alpha": %.8f, "f": %.8f}}', round(alpha, 8) + 0.0, round(f, 8) + 0.0) FROM sp
-        UNION ALL SELECT k, 'dimension', (q + 2) % 3, printf('{{"dim": %.8f, "q": %.1f}}', round(dim, 8) + 0.0, cast(q AS DOUBLE)) FROM di),
-    js AS (SELECT k, structure_kind, string_agg(v, ', ' ORDER BY place) AS v FROM kinds GROUP BY ALL),
-    ds AS (SELECT {_SETS}, structure_kind, '[' || coalesce(v, '') || ']' AS values_json,
+def _structures(g: str, upto: str = "ds") -> str:
+    """With scoped, the tables of the structure at one granularity, up to the one that a query needs; k names a set by its key.
+    grid has all sets, spans those with addresses."""
+    steps = (
+        f"""cal AS (SELECT DISTINCT source_id, {_floor(g, "t")} AS bucket_start
+        FROM (SELECT source_id, unnest(generate_series(min({_floor("5m")}), max({_floor("5m")}), 300)) AS t
+        FROM flows GROUP BY source_id))""",
+        f"""pairs AS (SELECT source_id, '{g}' AS granularity, bucket_start, src_visibility, dst_visibility, pair
+        FROM cal
+        CROSS
+        JOIN (VALUES ('all','all',0),('literal','literal',1),('literal','anonymized',2),('anonymized','literal',3),('anonymized','anonymized',4)) p(src_visibility, dst_visibility, pair))""",
+        f"""grid AS (SELECT * EXCLUDE (pair, side), ((bucket_start * 8 + cast(substr(source_id, 2) AS BIGINT)) * 8 + pair) * 2 + side AS k
+        FROM pairs
+        CROSS
+        JOIN (VALUES ('source', 0), ('destination', 1)) s(address_side, side))""",
+        f"""ends AS (SELECT source_id, {_floor(g)} AS bucket_start, src_visibility, dst_visibility, src_u32, dst_u32 FROM scoped WHERE ip_version = 4)""",
+        f"""sets AS (SELECT DISTINCT g.k, e.a
+        FROM (SELECT * EXCLUDE (src_u32, dst_u32), 'source' AS address_side, src_u32 AS a
+        FROM ends
+        UNION ALL SELECT * EXCLUDE (src_u32, dst_u32), 'destination', dst_u32
+        FROM ends) e
+        JOIN grid g USING (source_id, bucket_start, src_visibility, dst_visibility, address_side))""",
+        f"""pc AS (SELECT k, len, a // cast(pow(2, 32 - len) AS BIGINT) AS prefix, count(*) AS n FROM sets, (SELECT unnest(range(33)) AS len) GROUP BY ALL)""",
+        f"""spans AS (SELECT k, min(len) FILTER (WHERE len >= 1 AND n = 1) AS lo, min(len) FILTER (WHERE len >= 1 AND n / pow(2.0, 32 - len) >= 0.95) AS hi, max(n) FILTER (WHERE len = 0) AS total
+        FROM pc GROUP BY ALL)""",
+        f"""pb AS (SELECT * FROM spans WHERE total >= 2 AND lo IS NOT NULL AND hi >= lo)""",
+        f"""split AS (SELECT p.*, c.n AS m
+        FROM (SELECT *
+        FROM pc
+        JOIN pb USING (k) WHERE n > 1 AND len BETWEEN lo AND hi) p
+        JOIN pc c ON c.k = p.k AND c.len = p.len + 1 AND c.prefix // 2 = p.prefix)""",
+        f"""qs AS (SELECT unnest(range(-4, 29)) AS q8)""",
+        f"""per AS (SELECT k, lo, hi, len, q8, prefix, pow(cast(n AS DOUBLE), q8 / 8.0) AS x, sum(pow(cast(m AS DOUBLE), q8 / 8.0)) AS y
+        FROM split, qs GROUP BY k, lo, hi, len, q8, prefix, n)""",
+        f"""mo AS (SELECT k, lo, hi, len, q8, log2(sum(x)) - log2(sum(y)) AS tau, greatest(sum(x * x) / (sum(x) * sum(x)) - 2 * sum(x * y) / (sum(x) * sum(y)) + sum(y * y) / (sum(y) * sum(y)), 0) AS d2
+        FROM per GROUP BY ALL)""",
+        f"""ss AS (SELECT k, q8, sum(tau) / (hi - lo + 1) AS tau, sqrt(sum(d2) / (hi - lo + 1)) AS sd FROM mo GROUP BY k, q8, lo, hi)""",
+        f"""st AS (SELECT k, q8, coalesce(tau, 0) AS tau, coalesce(sd, 0) AS sd FROM (SELECT k, q8 FROM pb, qs) LEFT JOIN ss USING (k, q8))""",
+        f"""al AS (SELECT *, (lead(tau) OVER w - lag(tau) OVER w) / 0.25 AS alpha FROM st WINDOW w AS (PARTITION BY k ORDER BY q8))""",
+        f"""de AS (SELECT *, lag(alpha) OVER w - alpha > 1e-9 AS dec FROM al WHERE alpha IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY q8))""",
+        f"""se AS (SELECT *, count(*) FILTER (WHERE dec) OVER w AS seen FROM de WINDOW w AS (PARTITION BY k ORDER BY q8))""",
+        f"""sx AS (SELECT *, count(*) FILTER (WHERE NOT coalesce(dec, false) AND seen > 0) OVER w AS stop FROM se WINDOW w AS (PARTITION BY k ORDER BY q8))""",
+        f"""sp AS (SELECT k, q8, alpha, q8 / 8.0 * alpha - tau AS f FROM sx WHERE dec AND stop = 0)""",
+        f"""en AS (SELECT k, len, sum(n / total * log2(n / total)) AS h
+        FROM (SELECT k, len, cast(n AS DOUBLE) AS n, total
+        FROM pc
+        JOIN pb USING (k) WHERE len BETWEEN lo AND hi) GROUP BY ALL)""",
+        f"""di AS (SELECT k, 1 AS q, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(h, -len) END AS dim
+        FROM en GROUP BY k
+        UNION ALL SELECT k, q8 // 8, tau / (q8 / 8.0 - 1)
+        FROM st WHERE q8 IN (0, 16))""",
+        f"""kinds AS (SELECT k, 'structure' AS structure_kind, q8 AS place, printf('{{"q": %.3f, "sd": %.6f, "tauTilde": %.8f}}', q8 / 8.0, round(sd, 6) + 0.0, round(tau, 8) + 0.0) AS v
+        FROM st
+       
+        UNION ALL SELECT k, 'spectrum', q8, printf('{{"alpha": %.8f, "f": %.8f}}', round(alpha, 8) + 0.0, round(f, 8) + 0.0)
+        FROM sp
+       
+        UNION ALL SELECT k, 'dimension', (q + 2) % 3, printf('{{"dim": %.8f, "q": %.1f}}', round(dim, 8) + 0.0, cast(q AS DOUBLE))
+        FROM di)""",
+        f"""js AS (SELECT k, structure_kind, string_agg(v, ', ' ORDER BY place) AS v FROM kinds GROUP BY ALL)""",
+        f"""ds AS (SELECT {_SETS}, structure_kind, '[' || coalesce(v, '') || ']' AS values_json,
             '{{"input": "-", "maxPrefixLength": ' || CASE WHEN total >= 2 AND hi >= lo THEN cast(hi AS VARCHAR) ELSE 'null' END || ', "minPrefixLength": ' || CASE WHEN total >= 2 AND hi >= lo THEN cast(lo AS VARCHAR) ELSE 'null' END || ', "totalAddrs": ' || coalesce(total, 0) || '}}' AS metadata_json
-        FROM grid CROSS JOIN (VALUES ('structure'), ('spectrum'), ('dimension')) n(structure_kind) LEFT JOIN spans USING (k) LEFT JOIN js USING (k, structure_kind))"""
+       
+        FROM grid
+        CROSS
+        JOIN (VALUES ('structure'), ('spectrum'), ('dimension')) n(structure_kind)
+        LEFT
+        JOIN spans USING (k)
+        LEFT
+        JOIN js USING (k, structure_kind))""",
+    )
+    last = next(k for k, x in enumerate(steps) if x.startswith(f"{upto} "))
+    return ",\n    ".join(("", *steps[: last + 1]))
 
 
 def sided(s, d, g: str):
@@ -403,23 +446,48 @@ def details_by_side(s, d, g: str) -> DataFrame:
     return serving.file_details_by_side(S.pairs_grid(flows, g), S.traffic(flows, g), inputs(s, d, g), S.address_counts(flows, g), address_structure(s, d, g))
 
 
+def verification_window(s, d, g: str) -> DataFrame:
+    """The first bucket of each series that has traffic, structure and spectrum."""
+    _, _, st, sp = sided(s, d, g)
+    traffic = S.traffic(src.from_events(s, d), g).select(*SETS[:-1]).distinct()
+    whole = st.select(*SETS).distinct().join(sp.select(*SETS).distinct(), SETS).join(traffic, SETS[:-1], "left_semi")
+    return whole.groupBy(*_SERIES).agg(F.min("bucket_start").alias("bucket_start"))
+
+
 _SERIES = [c for c in SETS if c != "bucket_start"]
+_BY = ", ".join(_SERIES)
+
+
+def prefix_totals(counts: DataFrame) -> DataFrame:
+    """By series and length, over all buckets: sets, prefixes, addresses, and sums that tell other prefixes or counts."""
+    n = F.col("n")
+    sums = F.count("*").alias("prefixes"), F.sum("n").alias("addresses"), F.sum(n * n).alias("squares"), F.sum(n * F.col("prefix")).alias("weighted")
+    return counts.groupBy(*_SERIES, "len").agg(F.countDistinct("bucket_start").alias("sets"), *sums)
+
+
 for _g in C.GRANULARITIES:
-    _q = _structures(_g)
-    register(f"address_prefix_counts_{_g}", _with(more=_q + f" SELECT {_SETS}, len, prefix, n FROM pc JOIN grid USING (k)"))(
-    lambda s, d, g=_g: sided(s, d, g)[0])
-    register(f"address_prefix_bounds_{_g}", _with(more=_q + f" SELECT {_SETS}, lo, hi, total FROM pb JOIN grid USING (k)"))(
+    if _g == "1d":
+        register(f"address_prefix_counts_{_g}", _with(more=_structures(_g, "pc") + f" SELECT {_SETS}, len, prefix, n FROM pc JOIN grid USING (k)"))(
+            lambda s, d, g=_g: sided(s, d, g)[0])
+    else:  # about a million rows each; by series
+        register(f"address_prefix_counts_{_g}", _with(more=_structures(_g, "pc") + f""" SELECT {_BY}, len, count(DISTINCT bucket_start) AS sets, count(*) AS prefixes,
+        sum(n)::BIGINT AS addresses, sum(n * n)::BIGINT AS squares, sum(n * prefix)::BIGINT AS weighted FROM pc JOIN grid USING (k) GROUP BY ALL"""))(
+            lambda s, d, g=_g: prefix_totals(sided(s, d, g)[0]))
+    register(f"address_prefix_bounds_{_g}", _with(more=_structures(_g, "pb") + f" SELECT {_SETS}, lo, hi, total FROM pb JOIN grid USING (k)"))(
     lambda s, d, g=_g: sided(s, d, g)[1])
+    _q = _structures(_g)
     register(f"address_structure_{_g}", _with(more=_q + " SELECT * FROM ds"))(lambda s, d, g=_g: address_structure(s, d, g))
-    register(f"address_heat_points_{_g}", _with(more=_q + f""", pts AS (SELECT {_SETS}, q8, round(alpha, 4) AS alpha, round(f, 4) AS f FROM sp JOIN grid USING (k)) SELECT *,
+    _s = _structures(_g, "sp")
+    register(f"address_heat_points_{_g}", _with(more=_s + f""", pts AS (SELECT {_SETS}, q8, round(alpha, 4) AS alpha, round(f, 4) AS f FROM sp JOIN grid USING (k)) SELECT *,
         dense_rank() OVER (s ORDER BY bucket_start) - 1 AS time_index, min(alpha) OVER s AS alpha_min,
         max(alpha) OVER s AS alpha_max, min(f) OVER s AS f_min, max(f) OVER s AS f_max FROM pts
-        WINDOW s AS (PARTITION BY {', '.join(_SERIES)})"""))(
+        WINDOW s AS (PARTITION BY {_BY})"""))(
         lambda s, d, g=_g: serving.heat_points(sided(s, d, g)[3], tuple(_SERIES))
     )
-    register(f"address_verification_window_{_g}", _with(more=_q + f" SELECT {', '.join(_SERIES)}, min(bucket_start) AS bucket_start FROM grid WHERE k IN (SELECT k FROM sp) GROUP BY ALL"))(
-        lambda s, d, g=_g: sided(s, d, g)[3].groupBy(*_SERIES).agg(F.min("bucket_start").alias("bucket_start"))  # what has a spectrum has flows and structure
-    )
+    register(f"address_verification_window_{_g}", _with(more=_s + f""", tv AS (SELECT DISTINCT source_id, {_floor(_g)} AS bucket_start, src_visibility, dst_visibility FROM scoped)
+        SELECT {_BY}, min(bucket_start) AS bucket_start FROM grid JOIN tv USING (source_id, bucket_start, src_visibility, dst_visibility)
+        WHERE k IN (SELECT k FROM st) AND k IN (SELECT k FROM sp) GROUP BY ALL"""))(
+        lambda s, d, g=_g: verification_window(s, d, g))
     register(f"file_details_sides_{_g}", _with(more=_q + f""",
         tr AS (SELECT source_id, {_floor(_g)} AS bucket_start, src_visibility, dst_visibility, {_SUMS}, {', '.join(f"count(DISTINCT CASE WHEN ip_version = {v} THEN {c} END) AS {n}_ipv{v}" for v in (4, 6) for n, c in (('source', 'src_ip'), ('destination', 'dst_ip')))} FROM scoped GROUP BY ALL),
         inp AS (SELECT DISTINCT source_id, {_floor(_g)} AS bucket_start FROM flows),

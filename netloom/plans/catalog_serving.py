@@ -48,15 +48,15 @@ def _points(wide: DataFrame, kind: str, *fields: str) -> DataFrame:
     """One row for each source, bucket, side and point."""
     sides = F.explode(F.create_map(*[x for s in requests.SIDES for x in (F.lit(s), F.col(f"{kind}_{s}"))])).alias("address_side", "points")
     rows = wide.select("source_id", "bucket_start", sides).select("source_id", "bucket_start", "address_side", F.inline("points"))
-    return rows.select("source_id", "bucket_start", "address_side", *[F.round(f, 4).alias(f) for f in fields])
+    return rows.select("source_id", "bucket_start", "address_side", *fields)
 
 
 _SHAPE = f"granularity = '1d' AND src_visibility = 'literal' AND dst_visibility = 'literal' AND {_IN_WINDOW}"
-register("api_structure_stats", _with(more=_structures("1d") + f""" SELECT source_id, bucket_start, address_side, round(q8 / 8.0, 4) AS q, round(round(tau, 8), 4) AS tau,
-        round(round(sd, 6), 4) AS sd FROM st JOIN grid USING (k) WHERE {_SHAPE}"""))(
+register("api_structure_stats", _with(more=_structures("1d", "st") + f""" SELECT source_id, bucket_start, address_side, q8 / 8.0 AS q, cast(printf('%.8f', round(tau, 8) + 0.0) AS DOUBLE) AS tau,
+        cast(printf('%.6f', round(sd, 6) + 0.0) AS DOUBLE) AS sd FROM st JOIN grid USING (k) WHERE {_SHAPE}"""))(
     lambda s, d: _points(requests.structure_stats(address_structure(s, d, "1d"), SHAPE), "structure", "q", "tau", "sd")
 )
-register("api_spectrum_stats", _with(more=_structures("1d") + f""" SELECT source_id, bucket_start, address_side, round(round(alpha, 8), 4) AS alpha, round(round(f, 8), 4) AS f FROM sp
+register("api_spectrum_stats", _with(more=_structures("1d", "sp") + f""" SELECT source_id, bucket_start, address_side, cast(printf('%.8f', round(alpha, 8) + 0.0) AS DOUBLE) AS alpha, cast(printf('%.8f', round(f, 8) + 0.0) AS DOUBLE) AS f FROM sp
         JOIN grid USING (k) WHERE {_SHAPE}"""))(
     lambda s, d: _points(requests.spectrum_stats(address_structure(s, d, "1d"), SHAPE), "spectrum", "alpha", "f")
 )
