@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.plans import catalog, catalog_inputs, catalog_serving  # noqa: F401  (they register)
+from netloom.plans import catalog, catalog_inputs, catalog_product, catalog_serving  # noqa: F401  (they register)
 
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
