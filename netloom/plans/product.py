@@ -1,4 +1,8 @@
-"""The whole product: five dense statistics tables of all granularities from one set of flows, published together."""
+"""The whole product: five dense statistics tables of all granularities from one set of flows, published together.
+
+Flows are reduced to two tables of 5-minute partial results, counters (facts) and sets of distinct values, which are stored; all
+granularities come from these, so that no table reads flows and stored partials can be merged with later ones.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
+from netloom.operators import mergeable, structure
 from netloom.operators import statistics as S
-from netloom.operators import structure
-from netloom.plans import store
+from netloom.plans import scratch, store
 
 SIDES, RANGES = ("source", "destination"), ("low", "high")
 #: The tables and the columns beside KEY that name their rows.
@@ -20,9 +24,10 @@ TABLES = {
 }
 
 
-def grid(bounds: DataFrame, granularity: str, whole_only: bool = False, tz: str = C.TIMEZONE) -> DataFrame:
-    """The ten scopes of every bucket that a source's 5-minute bounds (source_id, first, last) touch, or hold whole, as KEY."""
-    starts = S.calendar(bounds, "5m").select("source_id", F.lit(granularity).alias("granularity"), C.bucket_start(F.col("bucket_start"), granularity, tz).alias("bucket_start"))
+def grid(bounds: DataFrame, granularity: str, whole_only: bool = False, tz: str = C.TIMEZONE, spans: DataFrame | None = None) -> DataFrame:
+    """The ten scopes of every bucket that a source's 5-minute bounds (source_id, first, last) touch, or hold whole, as KEY.
+    spans: parts of the bounds (any number for a source) to keep to."""
+    starts = S.calendar(bounds if spans is None else spans, "5m").select("source_id", F.lit(granularity).alias("granularity"), C.bucket_start(F.col("bucket_start"), granularity, tz).alias("bucket_start"))
     starts = starts.distinct()
     if whole_only:
         inside = (F.col("bucket_start") >= F.col("first")) & (C.bucket_end(F.col("bucket_start"), granularity, tz) <= F.col("last") + C.FIVE_MINUTES)
@@ -44,26 +49,42 @@ def union(parts: Iterable[DataFrame]) -> DataFrame:
     return first
 
 
+def stored_partials(flows: DataFrame, tz: str = C.TIMEZONE) -> tuple[DataFrame, DataFrame]:
+    """(facts, sets): the 5-minute partial results of flows, under their own pairs, as stored tables."""
+    return scratch.kept(S.facts(flows, "5m", tz)), scratch.kept(mergeable.sets(flows, tz))
+
+
 def tables(
     flows: DataFrame, bounds: DataFrame | None = None, granularities: tuple[str, ...] = C.GRANULARITIES, with_structure: bool = True, whole_only: bool = False, tz: str = C.TIMEZONE
 ) -> dict[str, DataFrame]:
     """The product's tables. bounds: the 5-minute bounds of the scan, before selections; those of the flows without them.
     whole_only: coarse buckets that the bounds don't hold whole have no rows."""
-    bounds = S.observed_bounds(flows) if bounds is None else bounds
-    five = S.traffic(flows, "5m", tz)
-    cells = {g: grid(bounds, g, whole_only, tz) for g in granularities}
+    facts, sets = stored_partials(flows, tz)
+    bounds = facts.groupBy("source_id").agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last")) if bounds is None else bounds
+    return tables_of(facts, sets, bounds, granularities, with_structure, whole_only, tz)
+
+
+def tables_of(
+    facts: DataFrame, sets: DataFrame, bounds: DataFrame, granularities: tuple[str, ...] = C.GRANULARITIES, with_structure: bool = True, whole_only: bool = False,
+    tz: str = C.TIMEZONE, spans: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """The product's tables from stored partial results of 5 minutes. spans: as for grid; facts and sets have to be those of
+    the local days that the spans touch."""
     side = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
     out: dict[str, list[DataFrame]] = {name: [] for name in TABLES if with_structure or name != "address_structure_stats"}
-    for g, all_ in cells.items():
-        out["traffic_stats"].append(filled(five if g == "5m" else S.roll_up(five, g, tz), all_, dict.fromkeys(S.COUNTERS, 0)))
-        out["protocol_stats"].append(filled(S.protocols(flows, g, tz), all_, {"unique_protocols_count": 0, "protocols_list": ""}))
-        sides = all_.select("*", side("address_side", SIDES))
-        out["address_count_stats"].append(filled(S.address_counts(flows, g, tz), sides, {"unique_address_count": 0}))
-        ports = all_.select("*", side("port_side", SIDES)).select("*", side("port_range", RANGES))
-        out["port_count_stats"].append(filled(S.port_counts(flows, g, tz), ports, {"unique_port_count": 0}))
+    for g in granularities:
+        cells = grid(bounds, g, whole_only, tz, spans)
+        scoped = scratch.kept(mergeable.with_all(mergeable.merged(sets, g, tz)))  # four tables come from it
+        traffic = S.with_all(facts if g == "5m" else S.moved_to(facts, g, tz))
+        out["traffic_stats"].append(filled(traffic, cells, dict.fromkeys(S.COUNTERS, 0)))
+        out["protocol_stats"].append(filled(mergeable.protocols(scoped), cells, {"unique_protocols_count": 0, "protocols_list": ""}))
+        sides = cells.select("*", side("address_side", SIDES))
+        out["address_count_stats"].append(filled(mergeable.address_counts(scoped), sides, {"unique_address_count": 0}))
+        ports = cells.select("*", side("port_side", SIDES)).select("*", side("port_range", RANGES))
+        out["port_count_stats"].append(filled(mergeable.port_counts(scoped), ports, {"unique_port_count": 0}))
         if with_structure:
             keys = list(S.SET_KEY)
-            rows = structure.described(S.address_sets(flows, g, tz), sides.where("ip_version = 4").select(*keys), keys)
+            rows = structure.described(mergeable.address_sets(scoped), sides.where("ip_version = 4").select(*keys), keys)
             out["address_structure_stats"].append(rows.withColumn("ip_version", F.lit(4)))
     ends = lambda df: df.withColumn("bucket_end", _ends(granularities, tz))
     return {name: ends(union(parts)) for name, parts in out.items()}
