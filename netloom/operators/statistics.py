@@ -142,11 +142,11 @@ def scopes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v, a, b) for v in (4, 6) for a, b in pairs], "ip_version int, src_visibility string, dst_visibility string")
 
 
-def calendar(bounds: DataFrame, granularity: str) -> DataFrame:
+def calendar(bounds: DataFrame, granularity: str, tz: str = C.TIMEZONE) -> DataFrame:
     """All buckets of a granularity between first and last of each source (source_id, first, last)."""
     if granularity == "1d":
-        days = F.sequence(F.to_date(local(F.col("first"))), F.to_date(local(F.col("last"))))
-        return bounds.select("source_id", F.explode(days).alias("day")).select("source_id", day_start(F.col("day")).alias("bucket_start"))
+        days = F.sequence(F.to_date(local(F.col("first"), tz)), F.to_date(local(F.col("last"), tz)))
+        return bounds.select("source_id", F.explode(days).alias("day")).select("source_id", day_start(F.col("day"), tz).alias("bucket_start"))
     return bounds.select("source_id", F.explode(F.sequence("first", "last", F.lit(C.WIDTHS[granularity]).cast("long"))).alias("bucket_start"))
 
 

@@ -22,15 +22,19 @@ SCHEMA_VERSION = 1
 def csv_input(spark: SparkSession, spec: Mapping) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(flows, observed bounds, owned buckets) of a CSV file or archive, or of a folder of them; late rows fail."""
     mapping = csv_files.CsvMapping.from_payload(spec["mapping"])
-    paths = [spec["path"]]
     if spec["kind"] == "csv_tree":
-        paths = [r.path for r in discovery.csv_files(discovery.files_below(spark, spec["path"]), mapping).collect()]  # names of files
+        return csv_paths(spark, [r.path for r in discovery.csv_files(discovery.files_below(spark, spec["path"]), mapping).collect()], mapping)
+    return csv_paths(spark, [spec["path"]], mapping)
+
+
+def csv_paths(spark: SparkSession, paths: list[str], mapping: csv_files.CsvMapping) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """csv_input of files by name, in their order."""
     archives = [p for p in paths if p.lower().endswith((".tar.gz", ".tgz"))]
     plain = [p for p in paths if p not in archives]
     scans = [csv_files.scan_csv(spark, plain, mapping)] if plain else []
     scans += [csv_files.scan_archives(spark, archives, mapping, f"{scratch.folder(spark)}/lines")] if archives else []
     if not scans:
-        raise ValueError(f"no CSV files at {spec['path']}")
+        raise ValueError("there are no CSV files")
     for s in scans:
         s.check_order()
     rows = [s.rows.where("covers is not null").select("source_id", F.col("covers").alias("bucket_start"), "locator").distinct() for s in scans]

@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.functions import flow_columns as C
 from netloom.plans.store import Conflict, read_text, write_text
@@ -19,10 +21,32 @@ STATUSES = ("pending", "processed", "failed")
 
 
 def revisions(spark: SparkSession, paths: str) -> DataFrame:
-    """(locator, revision): the SHA-256 of each file's content. Files come whole to a task (2 GB at most)."""
+    """(locator, revision): the SHA-256 of each file's content. Files come whole to a task (2 GB at most); see content_revisions."""
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("locator"), F.sha2("content", 256).alias("revision"))
 
 
+def content_revisions(files: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """(locator, revision): as revisions, for files (locator) of any size: a task streams each of its files chunk by chunk."""
+    schema = T.StructType([T.StructField("locator", T.StringType()), T.StructField("revision", T.StringType())])
+
+    def run(it):
+        from pyarrow import fs
+
+        for b in it:
+            names, found = b.column("locator").to_pylist(), []
+            for name in names:
+                local = name.startswith(("/", "file:"))  # such a name isn't escaped
+                system, inner = (fs.LocalFileSystem(), name.removeprefix("file:")) if local else fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], names=schema.names)
+
+    return files.select("locator").repartition("locator").mapInArrow(run, schema)
+
+
 def pending_inputs(inputs: DataFrame, processed: DataFrame) -> DataFrame:
     """Inputs whose content (locator, revision) is not processed yet."""
     return inputs.join(processed.where("status = 'processed'"), ["locator", "revision"], "left_anti")
