@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from netloom.functions import flow_columns as C
 from netloom.operators import mergeable
-from netloom.plans import scratch
-from netloom.plans.catalog import ORACLES, _floor, _with, register
+from netloom.operators import statistics as S
+from netloom.plans import commits, incremental, scratch
+from netloom.plans.catalog import BASE, ORACLES, _floor, _traffic, _with, register
 from netloom.sources import flows as src
 
 
@@ -30,3 +33,78 @@ register("merged_protocols_1h", _with(more=f""", d AS (SELECT DISTINCT source_id
 register("merged_address_members_1d", _with(more=f"""SELECT DISTINCT source_id, '1d' AS granularity, {_floor('1d')} AS bucket_start, src_visibility, dst_visibility, address_side, a
         FROM (SELECT *, 'source' AS address_side, src_u32 AS a FROM scoped UNION ALL SELECT *, 'destination', dst_u32 FROM scoped) WHERE ip_version = 4"""))(
     lambda s, d: mergeable.address_sets(coarse(s, d, "1d")))
+
+
+#: A local midnight within the events.
+CUT = 1705305600
+_DAY = f"strftime(timezone('{C.TIMEZONE}', to_timestamp(bucket_start)), '%Y-%m-%d')"
+
+
+def reopened(s, d) -> DataFrame:
+    """Sets of two runs: the first commits those of half of the flows, the second opens the days from CUT on again, merges
+    the other half's sets into the stored ones and replaces these days."""
+    log, flows = commits.Log(s, scratch.folder(s)), src.from_events(s, d, "k")
+    log.commit({"sets": mergeable.sets(flows.where("k % 2 = 0"))}, -1)
+    late = scratch.kept(mergeable.sets(flows.where(f"k % 2 = 1 and end_s >= {CUT}")))
+    days = commits.partitioned(late).select("source_id", "day")
+    log.commit({"sets": mergeable.merged(log.read("sets", within=days).select(*late.columns).unionByName(late), "5m")}, 0)
+    return mergeable.with_all(mergeable.merged(log.read("sets").select(*late.columns), "1d"))
+
+
+_HALF = f"(SELECT * FROM scoped WHERE k % 2 = 0 OR end_s >= {CUT})"
+register("reopened_days_ports_1d", ORACLES["port_counts_1d"].replace("FROM scoped", f"FROM {_HALF}").replace(f"FROM {_HALF})\n", "FROM scoped)\n"))(
+    lambda s, d: mergeable.port_counts(reopened(s, d)))
+register("reopened_days_addresses_1d", ORACLES["address_counts_1d"].replace("FROM scoped", f"FROM {_HALF}"))(
+    lambda s, d: mergeable.address_counts(reopened(s, d)))
+
+
+def history(s, d) -> commits.Log:
+    """Hourly traffic; then the days of one source from CUT on with other counts; then another source's days before it are dropped."""
+    log = commits.Log(s, scratch.folder(s))
+    hours = scratch.kept(S.traffic(src.from_events(s, d), "1h").select(*S.KEY, "flows"))
+    log.commit({"traffic": hours}, -1)
+    log.commit({"traffic": hours.where(f"source_id = 'r1' and bucket_start >= {CUT}").withColumn("flows", F.col("flows") * 10)}, 0)
+    old = commits.partitioned(hours.where(f"source_id = 'r2' and bucket_start < {CUT}")).select("granularity", "source_id", "day").distinct()
+    log.commit({}, 1, old.withColumn("table_name", F.lit("traffic")))
+    return log
+
+
+_HOURS = _traffic("1h") + f""", h AS (SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility,
+        CASE WHEN source_id = 'r1' AND bucket_start >= {CUT} THEN flows * 10 ELSE flows END AS flows,
+        CASE WHEN source_id = 'r1' AND bucket_start >= {CUT} THEN 1 ELSE 0 END::BIGINT AS commit FROM t WHERE source_id <> 'r2' OR bucket_start >= {CUT})"""
+register("commit_log_read", _HOURS + " SELECT * EXCLUDE commit FROM h")(lambda s, d: history(s, d).read("traffic").drop("day"))
+register("commit_log_read_pinned", _traffic("1h") + " SELECT source_id, granularity, bucket_start, ip_version, src_visibility, dst_visibility, flows FROM t")(
+    lambda s, d: history(s, d).read("traffic", 0).drop("day"))
+register("commit_log_state", _HOURS + f""" SELECT 'traffic' AS table_name, granularity, source_id, {_DAY} AS day, commit, count(*) AS rows, min(bucket_start) AS first,
+        max(bucket_start) AS last FROM h GROUP BY ALL""")(
+    lambda s, d: history(s, d).state().drop("writer"))
+
+
+def file_steps(s, d) -> DataFrame:
+    """What a run has to do with a file for each user, of which it knows some, in other states, contents or decoders."""
+    u = F.col("u")
+    files = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("u")).distinct()
+    found = files.select(F.concat(F.lit("f"), u).alias("locator"), F.concat(F.lit("c"), u).alias("revision"), F.lit("d").alias("decoder"))
+    status = F.when(u % 3 == 0, "pending").when(u % 5 == 0, "failed").otherwise("processed")
+    known = files.where("u % 4 <> 1").select(F.concat(F.lit("f"), u).alias("locator"), F.concat(F.when(u % 7 == 0, "x").otherwise("c"), u).alias("revision"), F.when(u % 11 == 0, "e").otherwise("d").alias("decoder"), status.alias("status"))
+    return incremental.transitions(found, known).select("locator", "step")
+
+
+register("file_transitions", f"""WITH base AS ({BASE}), f AS (SELECT DISTINCT u FROM base)
+    SELECT 'f' || u AS locator, CASE WHEN u % 4 = 1 THEN 'new' WHEN u % 3 = 0 OR u % 5 = 0 THEN 'retry' WHEN u % 7 = 0 THEN 'content changed'
+        WHEN u % 11 = 0 THEN 'decoder changed' ELSE 'done' END AS step FROM f""")(file_steps)
+
+
+def grown_bounds(s, d) -> DataFrame:
+    """Days that change as each source's bounds grow from the middle of the events to all of them."""
+    b = S.bucketed(src.from_events(s, d), "5m").select("source_id", "bucket_start").distinct()
+    bounds = lambda df: df.groupBy("source_id").agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last"))
+    late = b.where(f"bucket_start >= {CUT} and bucket_start % 3600 = 0")
+    return incremental.changed_days(bounds(b.where(f"bucket_start < {CUT} - 604800 and source_id <> 'r3'")), bounds(late), late)
+
+
+register("changed_days", _with(more=f""", b AS (SELECT DISTINCT source_id, {_floor('5m')} AS t FROM flows),
+        old AS (SELECT source_id, max(t) AS l FROM b WHERE t < {CUT} - 604800 AND source_id <> 'r3' GROUP BY ALL),
+        late AS (SELECT * FROM b WHERE t >= {CUT} AND t % 3600 = 0),
+        spans AS (SELECT source_id, unnest(generate_series(coalesce(min(l), min(t)), max(t), 300)) AS t FROM late LEFT JOIN old USING (source_id) GROUP BY source_id)
+        SELECT DISTINCT source_id, {_floor('1d', 't')} AS start FROM (SELECT * FROM late UNION ALL SELECT * FROM spans)"""))(grown_bounds)
