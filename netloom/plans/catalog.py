@@ -125,8 +125,9 @@ register("observed_bounds", _with(more=f"SELECT source_id, min({_floor('5m')}) A
 
 
 def dense_1h(s, d):
-    flows = src.from_events(s, d)
-    return rounded(S.dense(S.traffic(flows, "1h"), S.observed_bounds(flows, "1h"), "1h"))
+    hours = S.traffic(src.from_events(s, d), "1h")
+    bounds = hours.where("src_visibility = 'all'").groupBy("source_id").agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last"))
+    return rounded(S.dense(hours, bounds, "1h"))
 
 
 register("dense_fill_1h", _traffic("1h") + f"""

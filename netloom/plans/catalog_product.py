@@ -52,7 +52,7 @@ def reopened(s, d) -> DataFrame:
 
 
 _HALF = f"(SELECT * FROM scoped WHERE k % 2 = 0 OR end_s >= {CUT})"
-register("reopened_days_ports_1d", ORACLES["port_counts_1d"].replace("FROM scoped", f"FROM {_HALF}").replace(f"FROM {_HALF})\n", "FROM scoped)\n"))(
+register("reopened_days_ports_1d", ORACLES["port_counts_1d"].replace("FROM scoped", f"FROM {_HALF}"))(
     lambda s, d: mergeable.port_counts(reopened(s, d)))
 register("reopened_days_addresses_1d", ORACLES["address_counts_1d"].replace("FROM scoped", f"FROM {_HALF}"))(
     lambda s, d: mergeable.address_counts(reopened(s, d)))
