@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +37,16 @@ def late_by_source(rows: DataFrame, lag_buckets: int = 12, fail: bool = False) -
     lag = lag_buckets * C.FIVE_MINUTES
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        low, high = state.get if state.exists else (None, None)
         batch = pd.concat(list(parts)).sort_values("row_no")
-        late = []
-        for n, b in zip(batch["row_no"], batch["bucket_start"], strict=True):
-            if low is not None and high - lag > low and b < high - lag:
-                late.append((key[0], n, b))
-            low, high = (b, b) if low is None else (min(low, b), max(high, b))
-        if late and fail:
-            raise ValueError(f"rows of {key[0]} come after their bucket was emitted: {late[0]}")
-        state.update((int(low), int(high)))
-        yield pd.DataFrame(late, columns=["source_id", "row_no", "bucket_start"])
+        b = batch["bucket_start"].to_numpy(dtype=np.int64)
+        low, high = state.get if state.exists else (b[0], b[0])
+        before_low, before_high = np.minimum.accumulate(np.r_[low, b]), np.maximum.accumulate(np.r_[high, b])
+        is_late = (before_high[:-1] - lag > before_low[:-1]) & (b < before_high[:-1] - lag)
+        late = batch.loc[is_late, ["row_no", "bucket_start"]].assign(source_id=key[0])
+        if len(late) and fail:
+            raise ValueError(f"rows of {key[0]} come after their bucket was emitted: {late.iloc[0].to_dict()}")
+        state.update((int(before_low[-1]), int(before_high[-1])))
+        yield late[["source_id", "row_no", "bucket_start"]]
 
     schema = "source_id string, row_no long, bucket_start long"
     return rows.groupBy("source_id").applyInPandasWithState(step, schema, "low long, high long", "append", "NoTimeout")
