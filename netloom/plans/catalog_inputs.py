@@ -59,6 +59,25 @@ register("csv_observed_bounds", _with(more=f"""SELECT source_id, min({_floor('5m
         8) GROUP BY ALL"""))(lambda s, d: csv_scan(s, d).observed_bounds())
 
 
+def csv_with_header(s, d, form: str) -> csv_files.Scan:
+    """A scan of CSV files with header, made of all events: quoted notes with line breaks, commas and quotes, and times as local
+    wall clock without leading zeros or as milliseconds."""
+    f = src.from_events(s, d, "k")
+    wall = F.date_format(calendar.local(F.col("end_s")), "M/d/yyyy  H:m:s.SSS")
+    time = wall if form == "datetime" else (F.col("end_s") * 1000 + F.col("k") % 1000).cast("string")
+    note = F.when(F.col("k") % 3 == 0, F.concat(F.lit('a "note", of\n'), F.col("k").cast("string"), F.lit("\r\n\nlines"))).otherwise("plain")
+    texts = {c: F.col(c).cast("string") for c in ("src_ip", "dst_ip", "protocol", "packets", "bytes", "src_tos", "src_port", "dst_port", "min_ttl", "max_ttl", "flow_count", "source_id")}
+    texts |= {"time_end": time, "duration": (F.col("duration_ms") / 1000).cast("decimal(18,3)").cast("string")}
+    path = scratch.folder(s)
+    f.select(note.alias("note"), *[texts[n].alias(c) for n, c in zip(LOGICAL_NAMES, FIELDS, strict=True)]).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    pattern = csv_files.datetime_pattern("%m/%d/%Y %H:%M:%S.%f") if form == "datetime" else form
+    return csv_files.scan_csv(s, path, csv_files.CsvMapping(dict(zip(LOGICAL_NAMES, FIELDS, strict=True)), timestamp_format=pattern, timezone=C.TIMEZONE))
+
+
+for _form, _name in (("datetime", "csv_header_scan"), ("unix_ms", "csv_header_scan_unix_ms")):
+    register(_name, _with(more=f"SELECT {_FLOWS} FROM flows"))(lambda s, d, form=_form: csv_with_header(s, d, form).flows().select(*_FLOWS.split(", ")))
+
+
 def capture_rows(s, d) -> DataFrame:
     """The native reader's rows of all events, a capture a local day; ICMP has dotted pseudo-ports."""
     f = src.from_events(s, d, "k")

@@ -7,9 +7,11 @@ reason. Both kinds of file, headers or declared field names, go through the same
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
@@ -29,7 +31,14 @@ NUMBERS = {
     "dst_port": (0, 65_535, None), "min_ttl": (0, 255, None), "max_ttl": (0, 255, None), "flow_count": (1, BIG, 1),
 }
 #: What a strptime directive is in a datetime pattern (fixed values).
-DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "j": "DDD"}
+DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "j": "DDD", "z": "XXX"}
+MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: What a run of pattern letters takes, as strptime does: numbers without leading zeros, one to six digits of a fraction.
+ACCEPTED = {
+    "yyyy": r"\d{4}", "yy": r"\d\d", "M": "1[0-2]|0[1-9]|[1-9]", "d": r"3[01]|[12]\d|0[1-9]|[1-9]| [1-9]", "H": r"2[0-3]|[01]\d|\d", "h": "1[0-2]|0[1-9]|[1-9]",
+    "m": r"[0-5]\d|\d", "s": r"[0-5]\d|\d", "S": r"\d{1,6}", "a": "am|pm", "D": r"36[0-6]|3[0-5]\d|[12]\d\d|0[1-9]\d|00[1-9]|[1-9]\d|0[1-9]|[1-9]",
+    "X": r"z|[+-]\d\d:?[0-5]\d(?::?[0-5]\d(?:\.\d{1,6})?)?", "MMMM": "|".join(MONTH_NAMES), "MMM": "|".join(m[:3] for m in MONTH_NAMES),
+}
 
 
 def datetime_pattern(text: str) -> str:
@@ -67,6 +76,7 @@ class CsvMapping:
     include_contains: tuple[str, ...] = ("csv",)
     include_suffixes: tuple[str, ...] = (".tar.gz", ".tgz")
     exclude_suffixes: tuple[str, ...] = (".aria2", ".txt")
+    quoted_breaks: bool = True  # quoted fields may have line breaks; False saves the look for files with such fields
 
     def __post_init__(self):
         if not any(t in self.columns for t in TIMES):
@@ -99,7 +109,7 @@ class CsvMapping:
         if source.get("column"):
             columns["source_id"] = source["column"]
         header, names = payload.get("has_header", True), payload.get("fieldnames")
-        for key in ("has_header", "skip_bad_column_count"):
+        for key in ("has_header", "skip_bad_column_count", "quoted_breaks"):
             if not isinstance(payload.get(key, False), bool):
                 raise ValueError(f"{key} must be true or false")
         if not header and not names:
@@ -113,7 +123,7 @@ class CsvMapping:
             columns, source.get("value") or None, None if header else list(names), payload.get("delimiter", ","),
             datetime_pattern(payload.get("datetime_format", "%Y-%m-%d %H:%M:%S")) if form == "datetime" else form, payload.get("timestamp_timezone", "UTC"),
             payload.get("protocol_map") or {}, payload.get("skip_bad_column_count", False), (payload.get("archive") or {}).get("member_contains") or "",
-            payload.get("input_order", "timestamp_ascending"), payload.get("out_of_order_lag_buckets", 12), **more,
+            payload.get("input_order", "timestamp_ascending"), payload.get("out_of_order_lag_buckets", 12), quoted_breaks=payload.get("quoted_breaks", True), **more,
         )
 
 
@@ -122,10 +132,47 @@ def milliseconds(text: Column, mapping: CsvMapping) -> Column:
     if mapping.timestamp_format in ("unix", "unix_ms"):
         value = text.try_cast("decimal(38,9)") * (1000 if mapping.timestamp_format == "unix" else 1)
         return F.when(value == F.floor(value), value.try_cast("long"))
-    wall = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(mapping.timestamp_format + " XXX"))  # as if UTC
-    fine = F.pmod(F.unix_micros(wall), F.lit(1_000_000))
-    seconds = C.epoch_of(F.convert_timezone(F.lit(mapping.timezone), F.lit("UTC"), C.clock(F.unix_seconds(wall))))
-    return F.when(F.pmod(fine, F.lit(1000)) == 0, seconds * 1000 + F.expr("1") * F.floor(fine / 1000)).cast("long")
+    wall, micros = _wall_clock(text, mapping.timestamp_format)
+    seconds = C.epoch_of(F.convert_timezone(F.lit(mapping.timezone), F.lit("UTC"), wall))
+    return F.when(F.pmod(micros, F.lit(1000)) == 0, seconds * 1000 + F.floor(micros / 1000)).cast("long")
+
+
+def _wall_clock(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The local time that text has by a datetime pattern, null where it has none, and its microseconds. An offset is read and, as
+    the mapping has a time zone, has no effect."""
+    regex, fields = "", []
+    for quoted, letters, space, other in _runs(pattern):
+        if letters:
+            key = letters if letters in ACCEPTED else letters[0]
+            if key not in ACCEPTED:
+                raise ValueError(f"unknown letters {letters} in the pattern {pattern}")
+            regex += f"({ACCEPTED[key]})"
+            fields.append(key)
+        else:
+            regex += r"\s+" if space else re.escape(quoted or other)
+    lowered = F.lower(text)
+    of = lambda key: F.regexp_extract(lowered, f"(?i)^{regex}$", fields.index(key) + 1) if key in fields else None
+    number = lambda key, default: F.trim(of(key)).try_cast("int") if key in fields else F.lit(default)
+    year = number("yyyy", 1900)
+    if "yy" in fields:
+        year = number("yy", 0) + F.when(number("yy", 0) < 69, 2000).otherwise(1900)
+    month = number("M", 1)
+    for key, width in (("MMMM", 12), ("MMM", 3)):
+        if key in fields:
+            month = F.array_position(F.array(*[F.lit(m[:width]) for m in MONTH_NAMES]), of(key)).cast("int")
+    hour = number("H", 0)
+    if "h" in fields:
+        hour = number("h", 12) % 12 + F.when(of("a") == "pm", 12).otherwise(0) if "a" in fields else number("h", 0)
+    wall = F.try_make_timestamp_ntz(year, month, number("d", 1), hour, number("m", 0), number("s", 0).cast("decimal(16,6)"))
+    if "D" in fields and "M" not in fields:
+        wall = F.try_add(wall, F.make_dt_interval(days=number("D", 1) - 1))
+    micros = F.rpad(of("S"), 6, "0").try_cast("int") if "S" in fields else F.lit(0)
+    return F.when(text.rlike(f"(?i)^{regex}$"), wall), micros
+
+
+def _runs(pattern: str) -> list[tuple[str, str, str, str]]:
+    """(quoted text, run of a letter, white space, other character): one of them in each place."""
+    return [(q, run, space, other) for q, run, _, space, other in re.findall(r"'([^']*)'|(([A-Za-z])\3*)|(\s+)|(.)", pattern)]
 
 
 def _named(raw: DataFrame, names: list[str], mapping: CsvMapping, where: str) -> DataFrame:
@@ -159,11 +206,29 @@ def file_rows(spark: SparkSession, paths: str | list[str], mapping: CsvMapping)
     reader = spark.read.options(**_options(mapping, corrupt)).schema(schema)
     if not mapping.fieldnames:
         reader = reader.options(header=True, enforceSchema=False)
-    raw = reader.csv(paths).select("*", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    placed = lambda df: df.select("*", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    broken, whole = _with_breaks(spark, paths) if mapping.quoted_breaks else ([], [])
+    if not broken:
+        raw = placed(reader.csv(paths))
+    else:  # by one task for each such file, as a line isn't a record there; the others are split
+        raw = placed(reader.option("multiLine", True).csv(broken))
+        if whole:
+            raw = placed(reader.option("multiLine", False).csv(whole)).union(raw)
     raw = raw.toDF(*[f"f{k}" for k in range(len(names))], "corrupt", "file", "block", "row_no")
     return _named(_shaped(raw, [F.col(f"f{k}") for k in range(len(names))], F.col("corrupt"), F.col("file")), names, mapping, "the file")
 
 
+def _with_breaks(spark: SparkSession, paths: str | list[str]) -> tuple[list[str], list[str]]:
+    """Names of the files with a line that leaves a quote open, and of the others if there are any such."""
+    file = F.col("_metadata.file_path").alias("file")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    broken = {r.file for r in spark.read.text(paths).where(quotes % 2 == 1).select(file).distinct().collect()}
+    if not broken:
+        return [], []
+    all_files = [r.file for r in spark.read.format("binaryFile").load(paths).select(file).collect()]
+    return sorted(map(unquote, broken)), [unquote(f) for f in all_files if f not in broken]
+
+
 class _Forward(io.RawIOBase):
     """A member of an archive that is read as a stream, for readers that ask whether they may go back."""
 

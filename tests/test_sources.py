@@ -243,3 +243,45 @@ def test_discovery(spark, tmp_path):
     assert {tuple(r) for r in gaps.collect()} == want
     members = spark.createDataFrame([("both", "m1"), ("both", "m2"), ("m2", "m2")], "source_id string, member_id string")
     assert {tuple(r) for r in discovery.logical_inputs(gaps, members).collect()} == {("both", 1762071300, 1, 0), ("both", 1762071600, 0, 2), ("both", 1762071900, 1, 1), ("m2", 1762071600, 0, 1), ("m2", 1762071900, 0, 1)}
+
+
+def test_datetimes_are_as_lax_as_strptime(spark):
+    import datetime as dt
+    import random
+    from zoneinfo import ZoneInfo
+
+    r = random.Random(4)
+    texts = ["2024-1-5 0:00:01", "2024-01-05 00:00:60", "2024-02-30 1:1:1", "2024-2-29  7:08:09", "24-01-05 00:00:01", " 2024-01-05 00:00:01", "2024-01-05 00:00:1x", "2024-1-5 24:00:00", ""]
+    forms = {
+        "%Y-%m-%d %H:%M:%S": texts, "%d/%b/%y %I:%M %p": ["5/jan/24 12:30 AM", "05/DEC/69 1:05 pm", "5/january/24 1:00 am", "31/Feb/24 1:00 am", "5/May/68 12:00 PM"],
+        "%Y%m%d%H%M%S": ["20240105000001", "202415000001"], "%Y-%m-%dT%H:%M:%S.%f%z": ["2024-01-05T00:00:01.5+02:00", "2024-01-05T00:00:01.25Z", "2024-01-05T00:00:01.000001-0730", "2024-01-05T00:00:01.123000+1"],
+        "%j %Y": ["60 2024", "366 2024", "0 2024"], "%B %d %Y": ["January 5 2024", "MAY 05 2024"],
+    }
+    forms["%Y-%m-%d %H:%M:%S"] += [f"{r.randrange(1970, 2040)}-{r.randrange(1, 14)}-{r.randrange(1, 32):02d} {r.randrange(25)}:{r.randrange(60)}:{r.randrange(61):02d}" for _ in range(200)]
+    for form, values in forms.items():
+        want = []
+        for t in values:
+            try:
+                at = dt.datetime.strptime(t.strip(), form)
+                ms = at.replace(tzinfo=ZoneInfo("America/Los_Angeles")) - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+                want.append(None if at.microsecond % 1000 else ms // dt.timedelta(milliseconds=1))
+            except ValueError:
+                want.append(None)
+        m = csv_files.CsvMapping(MAP1, "r1", F1, timestamp_format=csv_files.datetime_pattern(form), timezone="America/Los_Angeles")
+        got = [x.ms for x in spark.createDataFrame(list(enumerate(values)), "n int, t string").select("n", csv_files.milliseconds(F.trim("t"), m).alias("ms")).orderBy("n").collect()]
+        assert list(zip(values, got, strict=True)) == list(zip(values, want, strict=True))
+
+
+def test_quoted_fields_may_have_line_breaks(spark, tmp_path):
+    head = "te,src,dst,proto,packets,bytes,stos,note"
+    a, b = (x + ',"one\ntwo ""2"", 3"' for x in TWO)
+    (tmp_path / "in").mkdir()
+    csv(tmp_path / "in", [head, a, b], "broken a.csv")
+    csv(tmp_path / "in", [head, TWO[0] + ",plain"], "plain.csv")
+    m = csv_files.CsvMapping(MAP1, "r1", timestamp_format="yyyy-MM-dd HH:mm:ss")
+    assert csv_files.scan_csv(spark, f"file://{tmp_path}/in", m).flows().count() == 3
+    with pytest.raises(Exception, match="wrong number of fields"):
+        csv_files.scan_csv(spark, f"file://{tmp_path}/in", csv_files.CsvMapping(MAP1, "r1", timestamp_format="yyyy-MM-dd HH:mm:ss", quoted_breaks=False)).flows().collect()
+    (tmp_path / "open").mkdir()
+    csv(tmp_path / "open", [head, TWO[0] + ',"never closed', TWO[1] + ",x"], "a.csv")  # as Python's reader has it, the field goes on to the end
+    assert csv_files.scan_csv(spark, f"file://{tmp_path}/open", m).report().first().rows == 1
