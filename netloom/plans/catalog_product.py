@@ -9,8 +9,9 @@ from netloom.functions import flow_columns as C
 from netloom.operators import mergeable
 from netloom.operators import statistics as S
 from netloom.plans import commits, incremental, scratch
-from netloom.plans.catalog import BASE, ORACLES, _floor, _traffic, _with, register
+from netloom.plans.catalog import BASE, ORACLES, _floor, _traffic, _with, register, rounded
 from netloom.sources import flows as src
+from netloom.streaming import ingest
 
 
 def stored_sets(s, d) -> DataFrame:
@@ -108,3 +109,19 @@ register("changed_days", _with(more=f""", b AS (SELECT DISTINCT source_id, {_flo
         late AS (SELECT * FROM b WHERE t >= {CUT} AND t % 3600 = 0),
         spans AS (SELECT source_id, unnest(generate_series(coalesce(min(l), min(t)), max(t), 300)) AS t FROM late LEFT JOIN old USING (source_id) GROUP BY source_id)
         SELECT DISTINCT source_id, {_floor('1d', 't')} AS start FROM (SELECT * FROM late UNION ALL SELECT * FROM spans)"""))(grown_bounds)
+
+
+def streamed(s, d, granularity: str) -> commits.Log:
+    """All events as a stream of two micro-batches, in which one source is five days behind the others."""
+    path, flows = scratch.folder(s), src.from_events(s, d)
+    at = F.col("end_s") - F.when(F.col("source_id") == "r3", 0).otherwise(432_000)
+    for n, (low, high) in enumerate(((0, CUT), (CUT, 1 << 40))):
+        ingest.step(flows.where((at >= low) & (at < high)), n, path, granularities=(granularity,))
+    ingest.finish(s, path, granularities=(granularity,))
+    return commits.Log(s, path)
+
+
+register("stream_traffic_1h", ORACLES["dense_fill_1h"])(
+    lambda s, d: rounded(streamed(s, d, "1h").read("traffic_stats").where("granularity = '1h'").select(*S.KEY, *S.COUNTERS, *[f"avg_{m}" for m in S.MEASURES])))
+register("stream_ports_1d", ORACLES["port_counts_1d"])(
+    lambda s, d: streamed(s, d, "1d").read("port_count_stats").where("granularity = '1d' and unique_port_count > 0").drop("bucket_end", "day"))

@@ -69,16 +69,18 @@ def closing(before: DataFrame, after: DataFrame, tz: str = C.TIMEZONE) -> DataFr
     return days.join(a, "source_id").select("source_id", "day", F.greatest("first", "day").alias("first"), F.least("closed", end).alias("last"), (F.col("closed") + C.FIVE_MINUTES).alias("done"))
 
 
-def _published(log: commits.Log, facts: DataFrame, sets: DataFrame, spans: DataFrame, whole: bool, with_structure: bool, tz: str) -> dict[str, DataFrame]:
+def _published(log: commits.Log, facts: DataFrame, sets: DataFrame, spans: DataFrame, whole: bool, with_structure: bool, granularities: tuple[str, ...], tz: str) -> dict[str, DataFrame]:
     """The product's tables of the days of spans, of whole buckets alone if asked. facts, sets: those of these days, open buckets too."""
     upto = spans.select("source_id", "done").distinct()
     closed = lambda df: df.join(upto, "source_id").where("bucket_start < done").drop("done")
     bounds = spans.groupBy("source_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    made = product.tables_of(closed(facts), closed(sets), bounds, with_structure=with_structure, tz=tz, spans=spans.select("source_id", "first", "last"))
+    made = product.tables_of(closed(facts), closed(sets), bounds, granularities, with_structure=with_structure, tz=tz, spans=spans.select("source_id", "first", "last"))
     return {n: df.join(upto, "source_id").where("bucket_end <= done").drop("done") for n, df in made.items()} if whole else made
 
 
-def step(flows: DataFrame, epoch: int, path: str, lag_buckets: int = 12, with_structure: bool = False, tz: str = C.TIMEZONE) -> None:
+def step(
+    flows: DataFrame, epoch: int, path: str, lag_buckets: int = 12, with_structure: bool = False, granularities: tuple[str, ...] = C.GRANULARITIES, tz: str = C.TIMEZONE
+) -> None:
     """Take one micro-batch."""
     spark = flows.sparkSession
     log = commits.Log(spark, path)
@@ -93,10 +95,10 @@ def step(flows: DataFrame, epoch: int, path: str, lag_buckets: int = 12, with_st
     if late:
         raise Late(f"a flow of {late.source_id} came for {late.bucket_start}, which is closed")
     after = scratch.kept(moved(before, facts.groupBy("source_id").agg(F.min("bucket_start").alias("lo"), F.max("bucket_start").alias("hi")), lag_buckets))
-    _commit(log, head, facts, sets, before, after, True, with_structure, tz, {"epoch": epoch})
+    _commit(log, head, facts, sets, before, after, True, with_structure, granularities, tz, {"epoch": epoch})
 
 
-def finish(spark: SparkSession, path: str, with_structure: bool = False, tz: str = C.TIMEZONE) -> None:
+def finish(spark: SparkSession, path: str, with_structure: bool = False, granularities: tuple[str, ...] = C.GRANULARITIES, tz: str = C.TIMEZONE) -> None:
     """Close all buckets up to each source's greatest one, and publish coarse buckets as far as they have come."""
     log = commits.Log(spark, path)
     head = log.latest()
@@ -104,12 +106,13 @@ def finish(spark: SparkSession, path: str, with_structure: bool = False, tz: str
     texts = {"source_id": "string", "src_ip": "string", "dst_ip": "string", "ip_version": "int"}
     none = product.stored_partials(spark.createDataFrame([], ", ".join(f"{c} {texts.get(c, 'long')}" for c in CONTRACT)), tz)
     about = {"epoch": log.about(head).get("epoch", NONE), "finished": True}
-    _commit(log, head, *none, before, scratch.kept(before.withColumn("closed", F.col("high"))), False, with_structure, tz, about)
+    _commit(log, head, *none, before, scratch.kept(before.withColumn("closed", F.col("high"))), False, with_structure, granularities, tz, about)
 
 
 def _commit(
-    log: commits.Log, head: int, facts: DataFrame, sets: DataFrame, before: DataFrame, after: DataFrame, whole: bool, with_structure: bool, tz: str, about: dict
-) -> None:
+    log: commits.Log, head: int, facts: DataFrame, sets: DataFrame, before: DataFrame, after: DataFrame, whole: bool, with_structure: bool, granularities: tuple[str, ...],
+    tz: str, about: dict,
+) -> None:
     """Merge new partial results into the stored ones of their days, and publish what closes from `before` to `after`."""
     spans = scratch.kept(closing(before, after, tz))
     day = lambda c: commits.local_day(F.col(c), tz).alias("day")
@@ -120,13 +123,13 @@ def _commit(
     changed = lambda df: df.withColumn("day", day("bucket_start")).join(new_days, ["source_id", "day"], "left_semi").select(*df.columns)
     made = {"facts": changed(all_facts), "sets": changed(all_sets), "horizons": after.withColumn("day", F.lit("-"))}
     if spans.limit(1).count():
-        made |= _published(log, all_facts, all_sets, spans, whole, with_structure, tz)
+        made |= _published(log, all_facts, all_sets, spans, whole, with_structure, granularities, tz)
     log.commit(made, head, about=about, tz=tz)
 
 
-def ingest(flows: DataFrame, path: str, checkpoint: str, lag_buckets: int = 12, with_structure: bool = False, tz: str = C.TIMEZONE, available_now: bool = False) -> StreamingQuery:
-    """Run the stream of flows (by the contract) into the product at path."""
-    writer = flows.writeStream.foreachBatch(lambda df, epoch: step(df, epoch, path, lag_buckets, with_structure, tz)).option("checkpointLocation", checkpoint)
+def ingest(flows: DataFrame, path: str, checkpoint: str, available_now: bool = False, **options) -> StreamingQuery:
+    """Run the stream of flows (by the contract) into the product at path. options: as for step."""
+    writer = flows.writeStream.foreachBatch(lambda df, epoch: step(df, epoch, path, **options)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
