@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
-from netloom.operators import mergeable
+from netloom.operators import constraints, mergeable
 from netloom.operators import statistics as S
 from netloom.plans import commits, incremental, scratch
-from netloom.plans.catalog import BASE, ORACLES, _floor, _traffic, _with, register, rounded
+from netloom.plans.catalog import BASE, ORACLES, _floor, _traffic, _with, dense_1h, register, rounded
 from netloom.sources import flows as src
 from netloom.streaming import ingest
 
@@ -125,3 +125,90 @@ register("stream_traffic_1h", ORACLES["dense_fill_1h"])(
     lambda s, d: rounded(streamed(s, d, "1h").read("traffic_stats").where("granularity = '1h'").select(*S.KEY, *S.COUNTERS, *[f"avg_{m}" for m in S.MEASURES])))
 register("stream_ports_1d", ORACLES["port_counts_1d"])(
     lambda s, d: streamed(s, d, "1d").read("port_count_stats").where("granularity = '1d' and unique_port_count > 0").drop("bucket_end", "day"))
+
+
+def faulty_product(s, d) -> dict[str, DataFrame]:
+    """Tables by the hour with planted faults: wrong sums, lost scopes, moved buckets, lists and counts that can't be, an address in a text."""
+    at = lambda source, n: (F.col("source_id") == source) & (F.col("bucket_start") % (3600 * n) == 0)
+    ended = lambda df: df.withColumn("bucket_end", F.col("bucket_start") + 3600)
+    if_ = lambda condition, value, c: F.when(condition, value).otherwise(F.col(c))
+    flows = src.from_events(s, d)
+    traffic = ended(dense_1h(s, d)).where(~(at("r2", 5) & (F.col("ip_version") == 6) & (F.col("src_visibility") == "literal")))
+    traffic = traffic.withColumns({
+        "flows_tcp": if_(at("r1", 7), F.col("flows_tcp") + 1, "flows_tcp"), "duration_count": if_(at("r1", 11), F.col("flows") + 1, "duration_count"),
+        "min_ttl_sum": if_(at("r3", 9), F.col("min_ttl_count") * 256, "min_ttl_sum"), "bucket_start": if_(at("r2", 13), F.col("bucket_start") + 60, "bucket_start"),
+    })
+    protocols = S.protocols(flows, "1h").withColumn("protocols_list", if_(at("r1", 3), F.concat("protocols_list", F.lit(",300")), "protocols_list"))
+    many = at("r2", 4) & (F.col("src_visibility") == "literal") & (F.col("dst_visibility") == "literal")
+    addresses = S.address_counts(flows, "1h").withColumn("unique_address_count", if_(many, F.lit(1 << 40), "unique_address_count"))
+    ports = S.port_counts(flows, "1h").withColumn("source_id", if_(F.col("source_id") == "r3", "r3@10.1.2.3", "source_id"))
+    return {
+        "traffic_stats": traffic, "protocol_stats": ended(protocols), "address_count_stats": ended(addresses).withColumn("src_ip", F.lit("-")),
+        "port_count_stats": ended(ports).drop("bucket_end"), "ip_stats_v2": flows.select("end_s").limit(0),
+    }
+
+
+def constraint_report(s, d) -> DataFrame:
+    dense, sparse = constraints.product_rules(), constraints.product_rules(dense=False)
+    return constraints.report(faulty_product(s, d), {n: dense[n] if n in ("traffic_stats", "address_structure_stats") else sparse[n] for n in dense})
+
+
+def _constraint_sql() -> str:
+    """Each constraint as a condition of its own, counted over the tables by the hour as the faults leave them."""
+    at = lambda source, n: f"(source_id = '{source}' AND bucket_start % {3600 * n} = 0)"
+    whole = "src_visibility = 'all' AND dst_visibility = 'all'"
+    changed = {
+        "flows_tcp": f"flows_tcp + CASE WHEN {at('r1', 7)} THEN 1 ELSE 0 END", "duration_count": f"CASE WHEN {at('r1', 11)} THEN flows + 1 ELSE duration_count END",
+        "min_ttl_sum": f"CASE WHEN {at('r3', 9)} THEN min_ttl_count * 256 ELSE min_ttl_sum END", "bucket_start": f"bucket_start + CASE WHEN {at('r2', 13)} THEN 60 ELSE 0 END",
+    }
+    tables = {
+        "traffic_stats": f"SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in changed.items())}) FROM ({ORACLES['dense_fill_1h']}) WHERE NOT ({at('r2', 5)} AND ip_version = 6 AND src_visibility = 'literal')",
+        "protocol_stats": f"SELECT * REPLACE (protocols_list || CASE WHEN {at('r1', 3)} THEN ',300' ELSE '' END AS protocols_list) FROM ({ORACLES['merged_protocols_1h']})",
+        "address_count_stats": f"""SELECT * REPLACE (CASE WHEN {at('r2', 4)} AND src_visibility = 'literal' AND dst_visibility = 'literal' THEN 1099511627776 ELSE unique_address_count END AS unique_address_count)
+            FROM ({ORACLES['address_counts_1h']})""",
+        "port_count_stats": f"SELECT * REPLACE (CASE WHEN source_id = 'r3' THEN 'r3@10.1.2.3' ELSE source_id END AS source_id) FROM ({ORACLES['port_counts_1h']})",
+    }
+    never = "false"
+    moved = "bucket_start % 3600 <> 0"
+    texts = {"traffic_stats": (), "protocol_stats": ("protocols_list",), "address_count_stats": ("address_side", "src_ip"), "port_count_stats": ("port_side", "port_range")}
+    rows: dict[str, dict[str, str]] = {n: {"scope": never, "bucket_start": never, "bucket_end": "true" if n == "port_count_stats" else never} for n in tables}
+    for n, more in texts.items():
+        rows[n] |= {f"no address in {c}": never for c in ("source_id", "granularity", "src_visibility", "dst_visibility", *more)}
+    t = rows["traffic_stats"]
+    t |= {"bucket_start": moved, "bucket_end": never, "not_negative": never}
+    t |= {f"{m}_classes": f"{m} <> " + " + ".join(f"{m}_{c}" for c in S.CLASSES) for m in ("flows", "packets", "bytes")}
+    for m in S.MEASURES:
+        t |= {f"{m}_count": f"{m}_count > flows", f"{m}_sum": f"{m}_count = 0 AND {m}_sum <> 0" if m == "duration" else f"{m}_sum > {m}_count * 255"}
+        t[f"avg_{m}"] = f"CASE WHEN {m}_count = 0 THEN avg_{m} IS NOT NULL ELSE coalesce(abs(avg_{m} - {m}_sum / {m}_count) > 0.0001, true) END"
+    rows["protocol_stats"] |= {"protocols_count": "unique_protocols_count <> len(string_split(protocols_list, ','))", "protocols_list": "list_contains(string_split(protocols_list, ','), '300')"}
+    rows["address_count_stats"] |= {"address_side": never, "not_negative": never}
+    rows["port_count_stats"] |= {"port_side": never, "port_count": never, "no address in source_id": "source_id LIKE '%10.1.2.3%'"}
+    additive = " OR ".join(f"sum(CASE WHEN ip_version = {v} AND {whole} THEN {c} ELSE 0 END) <> sum(CASE WHEN ip_version = {v} AND src_visibility <> 'all' THEN {c} ELSE 0 END)" for v in (4, 6) for c in S.COUNTERS)
+    split = {"protocol_stats": ("unique_protocols_count", ""), "address_count_stats": ("unique_address_count", ", address_side"), "port_count_stats": ("unique_port_count", ", port_side, port_range")}
+    text = lambda at: f"source_id || ' ' || granularity || ' ' || {at}"
+    made = []
+    for n, of in rows.items():
+        # the moved buckets' ends are an hour after their old starts, so that each of their rows breaks this too
+        of = of | ({"bucket_end": moved} if n == "traffic_stats" else {})
+        made += [f"SELECT '{n}' AS table_name, '{rule}' AS rule, count(*) AS checked, count(*) FILTER (WHERE {broken}) AS broken, min(CASE WHEN {broken} THEN {text('bucket_start')} END) AS first_broken FROM {n}" for rule, broken in of.items()]
+    for rule, broken in (("scopes", "count(*) <> 10"), ("additive", additive)):
+        inner = f"SELECT source_id, granularity, bucket_start, {broken} AS bad FROM traffic_stats GROUP BY ALL"
+        made.append(f"SELECT 'traffic_stats', '{rule}', count(*), count(*) FILTER (WHERE bad), min(CASE WHEN bad THEN {text('bucket_start')} END) FROM ({inner.replace('GROUP BY ALL', 'GROUP BY 1, 2, 3')})")
+    for n, (c, more) in split.items():
+        a, b, z = (f"coalesce({f}(CASE WHEN {w} THEN {c} END), 0)" for f, w in (("max", whole), ("max", "src_visibility <> 'all'"), ("sum", "src_visibility <> 'all'")))
+        inner = f"SELECT source_id, granularity, bucket_start, {a} < {b} OR {a} > {z} AS bad FROM {n} GROUP BY source_id, granularity, bucket_start, ip_version{more}"
+        inner = f"SELECT source_id, granularity, bucket_start, bool_or(bad) AS bad FROM ({inner}) GROUP BY 1, 2, 3"
+        made.append(f"SELECT '{n}', 'distinct', count(*), count(*) FILTER (WHERE bad), min(CASE WHEN bad THEN {text('bucket_start')} END) FROM ({inner})")
+    key = ["source_id", "granularity", "bucket_start", "bucket_end", "ip_version", "src_visibility", "dst_visibility"]
+    own = {
+        "traffic_stats": [*S.COUNTERS, *[f"avg_{m}" for m in S.MEASURES]], "protocol_stats": ["unique_protocols_count", "protocols_list"],
+        "address_count_stats": ["address_side", "unique_address_count"], "port_count_stats": ["port_side", "port_range", "unique_port_count"],
+    }
+    fixed = [(n, f"column {c}", int(n == "port_count_stats" and c == "bucket_end")) for n, cols in own.items() for c in (*key, *cols)]
+    fixed += [(n, "table", int(n == "address_structure_stats")) for n in (*own, "address_structure_stats")]
+    fixed += [("ip_stats_v2", "old table", 1), ("address_count_stats", "raw address column src_ip", 1), ("traffic_stats", "rows", 0), ("traffic_stats", "coarse_rows", 0)]
+    made += [f"SELECT '{n}', '{rule}', 1, {broken}, NULL" for n, rule, broken in fixed]
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({sql})" for n, sql in tables.items()) + " " + " UNION ALL ".join(made)
+
+
+register("product_constraints", _constraint_sql())(constraint_report)

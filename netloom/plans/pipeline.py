@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import calendar
 from netloom.functions import flow_columns as C
-from netloom.operators import guards
+from netloom.operators import constraints, guards
 from netloom.operators import statistics as S
 from netloom.plans import product, scratch, state, store
 from netloom.sources import captures, config, csv_files, discovery
@@ -72,7 +72,7 @@ def run(spark: SparkSession, settings: Mapping, path: str, tz: str = C.TIMEZONE)
 
     settings: inputs (see sources.config), selection, run_structure. The folder is bound to the schema, selection and
     configuration of its first run. A bucket that two inputs claim, or a file that goes back behind an earlier one of its
-    source, fails the run, and nothing is published.
+    source, fails the run, and nothing is published; nor if the written tables break a constraint.
     """
     inputs = config.pipeline_inputs(settings)
     selection, with_structure = Selection.from_payload(settings.get("selection")), bool(settings.get("run_structure", True))
@@ -89,4 +89,5 @@ def run(spark: SparkSession, settings: Mapping, path: str, tz: str = C.TIMEZONE)
     made = product.tables(selection.select(flows), bounds, with_structure=with_structure, whole_only=whole, tz=tz)
     made["processed_inputs"] = owned.withColumn("status", F.lit("processed"))
     made["source_members"] = spark.createDataFrame([(s, m) for s, ms in layout.items() for m in ms], "source_id string, member_id string")
-    return store.publish(made, path)
+    rules = constraints.product_rules(need_rows=False, every_duration=whole, with_structure=with_structure, tz=tz)  # a selection may leave nothing
+    return store.publish(made, path, check=lambda written: constraints.check(written, rules))

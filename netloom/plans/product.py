@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
-from netloom.operators import mergeable, structure
+from netloom.operators import constraints, mergeable, structure
 from netloom.operators import statistics as S
 from netloom.plans import scratch, store
 
@@ -109,3 +109,14 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             if name != "address_structure_stats" or "PATH_NOT_FOUND" not in str(e):
                 raise
     return found
+
+
+def verify(tables: dict[str, DataFrame], processed: DataFrame | None = None, **rules) -> DataFrame:
+    """The constraints that a product's tables break: as constraints.report(). processed: its inputs (status), all of which must be
+    processed. rules: as for constraints.product_rules()."""
+    declared = constraints.product_rules(**{"with_structure": "address_structure_stats" in tables} | rules)
+    found = constraints.report(tables, declared).where("broken > 0")
+    if processed is not None:
+        left = processed.agg(F.count("*").alias("checked"), F.count_if(F.coalesce(F.col("status") != "processed", F.lit(True))).alias("broken")).where("broken > 0")
+        found = found.unionByName(left.select(F.lit("processed_inputs").alias("table_name"), F.lit("processed").alias("rule"), "checked", "broken", F.lit(None).cast("string").alias("first_broken")))
+    return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +62,12 @@ def separate(paths: list[str]) -> None:
                 raise Conflict(f"outputs overlap: {'/'.join(a)} and {'/'.join(b)}")
 
 
-def publish(tables: dict[str, DataFrame], path: str, keep: int = 2) -> str:
+def publish(tables: dict[str, DataFrame], path: str, keep: int = 2, check: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
     """Write a new version of all tables, then point to it; the version's name.
 
     Readers follow the pointer, one small file replaced by a rename, so they see all tables of the old version or all of the
-    new one. If a write fails, its version is deleted and the pointer stays. The `keep` newest versions stay for rollback().
+    new one. If a write fails, or check, which gets the written tables, its version is deleted and the pointer stays. The `keep`
+    newest versions stay for rollback().
     """
     spark = next(iter(tables.values())).sparkSession
     separate([f"{path}/{name}" for name in tables])
@@ -75,6 +77,8 @@ def publish(tables: dict[str, DataFrame], path: str, keep: int = 2) -> str:
     try:
         for name, df in tables.items():
             df.write.parquet(f"{path}/{version}/{name}")
+        if check:
+            check({name: spark.read.schema(df.schema).parquet(f"{path}/{version}/{name}") for name, df in tables.items()})
     except Exception:
         fs.delete(folder, True)
         raise
