@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import flow_columns as C
 from netloom.operators import constraints, mergeable
 from netloom.operators import statistics as S
-from netloom.plans import commits, incremental, scratch
+from netloom.plans import commits, incremental, scratch, window_cache
 from netloom.plans.catalog import BASE, ORACLES, _floor, _traffic, _with, dense_1h, register, rounded
 from netloom.sources import flows as src
 from netloom.streaming import ingest
@@ -212,3 +212,24 @@ def _constraint_sql() -> str:
 
 
 register("product_constraints", _constraint_sql())(constraint_report)
+
+
+def cached_windows(s, d) -> DataFrame:
+    """Hourly traffic of the second of two requests for a source's window, with the reading that each row is of: the second reads what the
+    first hasn't. Another source is asked for only then."""
+    hours = scratch.kept(S.traffic(src.from_events(s, d), "1h").select(*S.KEY, "flows").drop("granularity"))
+    of, nth = window_cache.of_table(hours), []
+
+    def read(ranges: DataFrame) -> DataFrame:
+        nth.append(len(nth) + 1)
+        return of(ranges).withColumn("reading", F.lit(nth[-1]))
+
+    cache = window_cache.WindowCache(s, scratch.folder(s), read, S.KEY[3:])
+    asked = lambda *rows: s.createDataFrame(list(rows), window_cache.RANGES)
+    cache.ensure(asked(("r1", CUT - 86_400, CUT), ("r1", CUT - 43_200, CUT + 172_800)))
+    return cache.read(asked(("r1", CUT - 259_200, CUT + 259_200), ("r2", CUT - 7200, CUT)))
+
+
+register("window_cache", _traffic("1h") + f""" SELECT source_id, bucket_start, ip_version, src_visibility, dst_visibility, flows,
+        CASE WHEN source_id = 'r1' AND bucket_start BETWEEN {CUT - 86_400} AND {CUT + 172_799} THEN 1 ELSE 2 END AS reading FROM t
+        WHERE (source_id = 'r1' AND bucket_start BETWEEN {CUT - 259_200} AND {CUT + 259_199}) OR (source_id = 'r2' AND bucket_start BETWEEN {CUT - 7200} AND {CUT - 1})""")(cached_windows)
