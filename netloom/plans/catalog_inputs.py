@@ -59,6 +59,17 @@ register("csv_observed_bounds", _with(more=f"""SELECT source_id, min({_floor('5m
         8) GROUP BY ALL"""))(lambda s, d: csv_scan(s, d).observed_bounds())
 
 
+def scan_metrics(s, d) -> DataFrame:
+    """What the pass that stores a scan has seen."""
+    schema = "rows long, accepted_rows long, rejected_rows long, skipped_bad_column_count long, first long, last long"
+    return s.createDataFrame([csv_scan(s, d).stored(scratch.folder(s)).metrics], schema)
+
+
+register("csv_scan_metrics", _with(more=f""", r AS (SELECT {_REASON} AS reason, k, {_floor('5m')} AS t FROM flows) SELECT count(*) AS rows, count(*) FILTER (WHERE reason IS NULL) AS accepted_rows,
+        count(*) FILTER (WHERE reason <> 'shape') AS rejected_rows, count(*) FILTER (WHERE reason = 'shape') AS skipped_bad_column_count,
+        min(t) FILTER (WHERE k % 50 NOT IN (5, 6, 7, 8)) AS first, max(t) FILTER (WHERE k % 50 NOT IN (5, 6, 7, 8)) AS last FROM r"""))(scan_metrics)
+
+
 def csv_with_header(s, d, form: str) -> csv_files.Scan:
     """A scan of CSV files with header, made of all events: quoted notes with line breaks, commas and quotes, and times as local
     wall clock without leading zeros or as milliseconds."""

@@ -28,13 +28,14 @@ def csv_input(spark: SparkSession, spec: Mapping) -> tuple[DataFrame, DataFrame,
 
 
 def csv_paths(spark: SparkSession, paths: list[str], mapping: csv_files.CsvMapping) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """csv_input of files by name, in their order."""
+    """csv_input of files by name, in their order. Their rows are stored by one pass over them, from which all else comes."""
     archives = [p for p in paths if p.lower().endswith((".tar.gz", ".tgz"))]
     plain = [p for p in paths if p not in archives]
     scans = [csv_files.scan_csv(spark, plain, mapping)] if plain else []
     scans += [csv_files.scan_archives(spark, archives, mapping, f"{scratch.folder(spark)}/lines")] if archives else []
     if not scans:
         raise ValueError("there are no CSV files")
+    scans = [s.stored(scratch.folder(spark)) for s in scans]
     for s in scans:
         s.check_order()
     rows = [s.rows.where("covers is not null").select("source_id", F.col("covers").alias("bucket_start"), "locator").distinct() for s in scans]

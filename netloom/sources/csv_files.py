@@ -15,7 +15,7 @@ from urllib.parse import unquote
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -293,10 +293,30 @@ def _parsed(lines: DataFrame, names: list[str], mapping: CsvMapping) -> DataFram
 
 
 class Scan:
-    """The rows of a scan, each accepted, rejected for its content, or of the wrong shape."""
+    """The rows of a scan, each accepted, rejected for its content, or of the wrong shape. What is asked of a scan reads its files
+    again, what is asked of a stored one doesn't."""
+
+    def __init__(self, rows: DataFrame, mapping: CsvMapping, observed: Observation | None = None):
+        self.rows, self.mapping, self._observed = rows, mapping, observed
+
+    def stored(self, path: str) -> Scan:
+        """The scan with its typed rows as a table at path, where none may be. The files are read once, for the table and the metrics."""
+        observed = Observation()
+        on = lambda c: F.count_if(F.coalesce(F.expr(c), F.lit(False)))
+        seen = self.rows.observe(
+            observed, F.count(F.lit(1)).alias("rows"), on("reason is null").alias("accepted_rows"), on("reason <> 'shape'").alias("rejected_rows"),
+            on("reason = 'shape'").alias("skipped_bad_column_count"), F.min("covers").alias("first"), F.max("covers").alias("last"),
+        )
+        seen.write.parquet(path)
+        return Scan(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path), self.mapping, observed)
 
-    def __init__(self, rows: DataFrame, mapping: CsvMapping):
-        self.rows, self.mapping = rows, mapping
+    @property
+    def metrics(self) -> dict:
+        """Of a stored scan, from the pass that stored it: rows, accepted_rows, rejected_rows, skipped_bad_column_count, and the first and
+        last 5 minutes that rows cover (None without any)."""
+        if self._observed is None:
+            raise ValueError("the scan isn't stored")
+        return self._observed.get
 
     def flows(self) -> DataFrame:
         """The accepted rows, by the contract."""
@@ -314,7 +334,6 @@ class Scan:
         on = lambda c: F.count_if(F.expr(c))
         return self.rows.groupBy("locator").agg(F.count("*").alias("rows"), on("reason <> 'shape'").alias("rejected_rows"), on("reason = 'shape'").alias("skipped_bad_column_count"))
 
-
     def late_rows(self) -> DataFrame:
         """(locator, source_id, row_no, bucket_start) of rows that come after their bucket was emitted, file by file; none for
         a mapping that says that rows are not in order."""

@@ -285,3 +285,23 @@ def test_quoted_fields_may_have_line_breaks(spark, tmp_path):
     (tmp_path / "open").mkdir()
     csv(tmp_path / "open", [head, TWO[0] + ',"never closed', TWO[1] + ",x"], "a.csv")  # as Python's reader has it, the field goes on to the end
     assert csv_files.scan_csv(spark, f"file://{tmp_path}/open", m).report().first().rows == 1
+
+
+def test_a_stored_scan_reads_its_files_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, rows in (("a", ["1,192.0.2.1,192.0.2.2", "x,192.0.2.1,192.0.2.2", "1"]), ("b", ["700,192.0.2.1,192.0.2.2"])):
+        (tmp_path / "in" / f"{name}.csv").write_text("\n".join(["when,src,dst", *rows]) + "\n")
+    m = csv_files.CsvMapping({"time_end": "when", "src_ip": "src", "dst_ip": "dst"}, "r1", skip_bad_column_count=True)
+    scan = csv_files.scan_csv(spark, f"file://{tmp_path}/in", m)
+    with pytest.raises(ValueError, match="isn't stored"):
+        scan.metrics
+    stored = scan.stored(f"file://{tmp_path}/rows")
+    assert stored.metrics == {"rows": 4, "accepted_rows": 2, "rejected_rows": 1, "skipped_bad_column_count": 1, "first": 0, "last": 600}
+    same = lambda f: sorted(map(tuple, f(scan).collect())) == sorted(map(tuple, f(stored).collect()))
+    assert same(lambda s: s.flows()) and same(lambda s: s.report()) and same(lambda s: s.observed_bounds()) and same(lambda s: s.rejected())
+    for f in tmp_path.glob("in/*.csv"):
+        f.unlink()  # nothing reads the files again
+    stored.check_order()
+    assert stored.flows().count() == 2 and stored.report().count() == 2
+    none = csv_files.scan(csv_files._parsed(spark.createDataFrame([], "locator string, line_no long, line string"), ["when", "src", "dst"], m), m)
+    assert none.stored(f"file://{tmp_path}/none").metrics == {"rows": 0, "accepted_rows": 0, "rejected_rows": 0, "skipped_bad_column_count": 0, "first": None, "last": None}
