@@ -14,7 +14,9 @@ documents' distinct words, each weighted by its count, give the expected number
 once for each training document, and the sum of both is normalised.
 
 All words of the corpus are counted and scored in a table, which grows with the corpus; documents look up the HEAD most
-frequent ones in a broadcast dictionary (bounded) and join the table for the rest, so that no frequent word is a hot key.
+frequent ones in a broadcast dictionary (bounded) and join the table for the rest. Words with more than 1 / HOT of all occurrences
+are in the dictionary too, whatever their length (long ones by their SHA-256) and also if no training document has them, so
+that no frequent word is a hot key.
 
 Edge cases: a null or empty text is its end alone; a null id counts as the empty string in the split; rows with equal id
 and text get equal results, once for each row; a corpus without training documents scores by the prior alone and the base
@@ -23,6 +25,7 @@ by 1 / (V + 1) with V = 0; other columns are left out, whatever their names; an
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import defaultdict
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, columns, discard, stored, tuned, words_of
+from .common import HOT, as_bytes, batches, columns, discard, stored, tuned, words_of
 
 #: Words in the broadcast dictionary at most and their bytes at most; flush size; characters in the lattice at once.
 HEAD, HEAD_BYTES, FLUSH, AT_ONCE = 150_000, 64, 400_000, 200_000
@@ -145,33 +148,37 @@ def in_chunks(words: list[bytes], counts: list[int]):
 
 
 def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(word, c): every word of the corpus with its count in training documents; the empty word is the end."""
-    schema = columns("word binary, c long")
+    """(word, c, k): every word of the corpus with its count in training documents and in all; the empty word is the end."""
+    schema = columns("word binary, c long, k long")
 
     def run(it):
         train: dict[bytes, int] = defaultdict(int)
+        other: dict[bytes, int] = defaultdict(int)  # of held-out documents
 
         def flushed():
-            rows = batches(schema, [list(train), list(train.values())])
+            for w in other:
+                train[w] += 0
+            rows = batches(schema, [list(train), list(train.values()), [c + other.get(w, 0) for w, c in train.items()]])
             train.clear()
+            other.clear()
             return rows
 
         for b in it:
             for i, text in zip(b.column(id_col).to_pylist(), as_bytes(b, text_col), strict=True):
-                words = text.lower().split()
-                if held_out(i):
-                    for w in words:
-                        train[w] += 0
-                    train[b""] += 0
-                else:
-                    for w in words:
-                        train[w] += 1
-                    train[b""] += 1
-            if len(train) >= FLUSH:
+                counts = other if held_out(i) else train
+                for w in text.lower().split():
+                    counts[w] += 1
+                counts[b""] += 1
+            if len(train) + len(other) >= FLUSH:
                 yield flushed()
         yield flushed()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(id_col, text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("k").alias("k"))
+
+
+def short(word: bytes) -> bytes:
+    """The word, or a longer one's digest with a byte before it that no text has."""
+    return word if len(word) <= HEAD_BYTES else b"\xfe" + hashlib.sha256(word).digest()
 
 
 def train_pieces(words: DataFrame, pieces_path: str, passes: int = PASSES) -> tuple[list[str], np.ndarray]:
@@ -216,32 +223,35 @@ def lm_score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     tuned(spark)
     words = stored(count_words(docs, id_col, text_col), "words")
-    s = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = s.n, s.v
+    s = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
+    n, v, occurrences = s.n, s.v, s.k
     model = spark.sparkContext.broadcast(train_pieces(words, pieces_path))
-    scored_schema = columns("word binary, c long, lp double")
+    scored_schema = columns("word binary, c long, k long, lp double")
 
     def score(it):
         lattice = Lattice(*model.value)
         for b in it:
-            ws, cs = b.column("word").to_pylist(), b.column("c").to_pylist()
+            ws, cs, ks = (b.column(c).to_pylist() for c in ("word", "c", "k"))
             lp = np.concatenate([lattice.log_marginals(own) for own, _ in in_chunks(ws, cs)])
             lp = np.where([w == b"" for w in ws], lattice.end, lp) / math.log(10)
-            yield batches(scored_schema, [ws, cs, lp.tolist()])
+            yield batches(scored_schema, [ws, cs, ks, lp.tolist()])
 
     table = stored(words.mapInArrow(score, scored_schema), "scores")
     discard(words)
-    # The head: all words over a count that at most HEAD words reach.
-    steps = sorted(((r.k, r.n) for r in table.where("c > 0").groupBy(F.least("c", F.lit(65_536)).alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    # The head: all words over a count that at most HEAD words reach, and less than HOT words that are hot.
+    steps = sorted(((r.least, r.n) for r in table.where("c > 0").groupBy(F.least("c", F.lit(65_536)).alias("least")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, size = 65_537, 0
     for k, m in steps:
         if (size := size + m) > HEAD:
             break
         least = k
-    head = table.where((F.least("c", F.lit(65_536)) >= least) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
+    few_bytes = F.octet_length("word") <= HEAD_BYTES
+    key = F.when(few_bytes, F.col("word")).otherwise(F.concat(F.lit(b"\xfe"), F.unhex(F.sha2("word", 256))))
+    in_head = (F.least("c", F.lit(65_536)) >= least) & few_bytes
+    head = table.where(in_head | (F.col("k") > occurrences / HOT)).select(key.alias("word"), "c", "lp").toArrow()
     base_of = lambda c: math.log10((c + 1) / (n + v + 1))
     end = table.where("word = X''").first()
-    known = spark.sparkContext.broadcast({w: (base_of(c), lp) for w, c, lp in zip(head["word"].to_pylist(), head["c"].to_pylist(), head["lp"].to_pylist(), strict=True)})
+    known = spark.sparkContext.broadcast({w: (base_of(c), lp, c > 0) for w, c, lp in zip(head["word"].to_pylist(), head["c"].to_pylist(), head["lp"].to_pylist(), strict=True)})
     end_c, end_lp = (end.c, end.lp) if end else (0, 0.0)
     row_schema = columns("doc_id long, tid long, word binary, tf long, n_tokens long, n_known long, base double, score double")
 
@@ -253,13 +263,13 @@ def lm_score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col
             vocabulary, codes, ends = tokens_of(x.column(text_col))
             lengths = np.diff(ends)
             doc = np.repeat(np.arange(len(ids)), lengths)
-            base_w, lp_w = np.array([of.get(w, (0.0, np.nan)) for w in vocabulary], float).reshape(-1, 2).T
+            base_w, lp_w, c_w = np.array([of.get(short(w), (0.0, np.nan, 0)) for w in vocabulary], float).reshape(-1, 3).T
             common = ~np.isnan(lp_w[codes])
 
             def by_doc(weights, doc=doc, n=len(ids)):
                 return np.bincount(doc, weights=weights, minlength=n)
 
-            own = by_doc(common).astype(np.int64) + (end_c > 0)
+            own = by_doc(c_w[codes]).astype(np.int64) + (end_c > 0)
             spread = [b"\xff" + t.to_bytes(8, "big", signed=True) for t in tids]  # over the join, where no word equals them
             scores = by_doc(np.where(common, lp_w[codes], 0.0)) + end_lp
             yield batches(row_schema, [ids, tids, spread, [0] * len(ids), lengths + 1, own, by_doc(base_w[codes]) + base_of(end_c), scores])

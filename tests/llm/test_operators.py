@@ -599,10 +599,32 @@ def test_lm_scores_equal_brute_force(spark, texts, monkeypatch):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(words), sum(w in count for w in words), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score(cut[i]), rel=1e-9)
     monkeypatch.setattr(lm_score, "HEAD", 0)  # every word goes through the join
+    monkeypatch.setattr(lm_score, "HOT", 1e-9)
     for r in queries.op3_lm_score(spark, SF).collect():
         assert (r.n_known, r.base_score, r.score) == pytest.approx((got[r.doc_id].n_known, got[r.doc_id].base_score, got[r.doc_id].score))
 
 
+def test_lm_words_that_are_hot_for_the_join(spark, monkeypatch):
+    """A rule of dashes and a long footer in all documents, a word in all held-out ones: by the dictionary or by the join, the same."""
+    ids = range(60)
+    out = [i for i in ids if lm_score.held_out(i)]
+    text = lambda i: f"word{i} {'-' * 100} {'x' * 70}\u00e9 {'UNSEEN' * (i in out)} {'b' * 65 if i == out[0] else ''}"
+    docs = spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string")
+    made = lambda: {r.doc_id: tuple(r) for r in lm_score.lm_score(docs, queries.PIECES).collect()}
+    by_head = made()
+    monkeypatch.setattr(lm_score, "HEAD", 0)
+    monkeypatch.setattr(lm_score, "HOT", 20)  # the two long words, the end and the one of held-out documents only, or not even that
+    some = made()
+    monkeypatch.setattr(lm_score, "HOT", 1e-9)
+    by_join = made()
+    assert set(by_head) == set(some) == set(by_join) == set(ids)
+    for i in ids:
+        assert by_head[i] == pytest.approx(by_join[i]) and some[i] == pytest.approx(by_join[i])
+        known = 1 + 2 + (i not in out)  # the end, both long words, its own
+        assert by_head[i][3] == known
+    assert lm_score.short(b"a" * 64) == b"a" * 64 and len(lm_score.short(b"a" * 65)) == 33
+
+
 def test_lm_lattice_and_awkward_tables(spark, awkward, nothing):
     lattice = lm_score.Lattice(["▁", "a", "b", "ab", "▁ab", "infra", "structure", "infrastructure"], np.arange(1.0, 11.0))
     weight = np.exp(lattice.logp)
