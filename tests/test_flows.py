@@ -1,12 +1,14 @@
 import datetime as dt
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import flow_columns as C
-from netloom.operators import guards, sources_cover, structure
+from netloom.operators import guards, sources_cover, structure, trie
 from netloom.operators import statistics as S
+from netloom.plans import queries
 from netloom.sources import flows as src
 from netloom.streaming import tumbling
 
@@ -148,3 +150,42 @@ def test_sums_over_64_bits_fail(spark):
     for bad in (many, many.limit(1).selectExpr("* except (duration_ms, flow_count)", "4611686018427387904L as duration_ms", "2L as flow_count")):
         with pytest.raises(Exception, match="OVERFLOW"):
             S.traffic(bad).collect()
+
+
+def test_measured_equals_the_relational_plans_in_any_batches(spark):
+    dense = [("d", (10 << 24) + a) for a in range(4000) if a % 7 or a < 300]
+    spread = [("s", (a * 2654435 * 16411) % (1 << 32)) for a in range(3000)]
+    few = [("two", 0), ("two", 1 << 31), ("one", 5), ("low", 8), ("low", 9), (None, 3), (None, 77)]
+    addresses = spark.createDataFrame(list({*dense, *spread, *few}), "k string, a long")
+    counts = addresses.select("k", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("len"), F.expr("shiftright(a, 32 - len)").alias("prefix")).groupBy("k", "len", "prefix").agg(F.count("*").alias("n"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    near = lambda df: {tuple(r)[:2]: pytest.approx(tuple(r)[2:], abs=1e-9) for r in df.where("k is not null").collect()}
+    assert rows(structure.prefix_counts(addresses, ["k"])) == rows(counts)
+    bounds = structure.prefix_bounds(counts, ["k"])
+    want = structure.structure(counts, bounds, ["k"])
+    for size in (10_000, 50):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        sets = structure.measured(addresses, ["k"])
+        assert rows(structure.bounds_of(sets, ["k"])) == rows(bounds)
+        got = structure.structure_of(sets, ["k"], zeros=False)
+        assert {tuple(r)[:2]: tuple(r)[2:] for r in got.where("k is not null").collect()} == near(want)
+        assert {tuple(r)[:2]: tuple(r)[2:] for r in structure.spectrum_of(sets, ["k"]).where("k is not null").collect()} == near(structure.spectrum(want, ["k"]))
+        dims = structure.dimensions_of(sets, ["k"], zeros=False).where("k is not null")
+        assert {tuple(r)[:2]: tuple(r)[2:] for r in dims.collect()} == near(structure.dimensions(counts, bounds, want, ["k"]))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_trie_batches_cut_only_between_groups(monkeypatch):
+    monkeypatch.setattr(trie, "ROWS", 3)
+    keys, a = ["x"] * 7 + [None] * 2 + ["y"], [0, 1, 2, 3, 4, 5, 6, 1, 2, 9]
+    table = pa.table({"k": pa.array(keys), "a": pa.array(a), "block": pa.array([0] * 10)})
+    parts = list(trie._whole(iter(table.to_batches(max_chunksize=2)), ["k", "block"]))
+    assert [p["k"].to_pylist() for p in parts] == [["x"] * 7, [None] * 2, ["y"]] and pa.concat_tables(parts)["a"].to_pylist() == a
+
+
+@pytest.mark.parametrize("name", ["address_structure_1h", "address_heat_points_1d", "address_prefix_bounds_1d", "address_verification_window_1d"])
+def test_address_queries_shuffle_no_row_for_each_length(spark, name):
+    """Only blocks and counts are shuffled: no plan explodes addresses by length or reads the events for each kind of point."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 31" not in plan and "sequence(0, 32" not in plan
+    assert plan.count("event_type#") <= 8 and plan.count("RepartitionByExpression") <= 2
