@@ -189,3 +189,11 @@ def test_address_queries_shuffle_no_row_for_each_length(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0, 31" not in plan and "sequence(0, 32" not in plan
     assert plan.count("event_type#") <= 8 and plan.count("RepartitionByExpression") <= 2
+
+
+@pytest.mark.parametrize("granularity", C.GRANULARITIES)
+def test_prefix_counts_have_a_row_for_each_prefix(spark, granularity):
+    got = queries.QUERIES[f"address_prefix_counts_{granularity}"](spark, "/root/testdata/sf0.001")
+    assert got.columns == [*S.SET_KEY, "len", "prefix", "n"]
+    assert "FROM pc JOIN grid USING (k)" in queries.ORACLES[f"address_prefix_counts_{granularity}"]
+    assert "GROUP BY ALL" not in queries.ORACLES[f"address_prefix_counts_{granularity}"].split("FROM pc JOIN grid")[1]
