@@ -197,3 +197,12 @@ def test_prefix_counts_have_a_row_for_each_prefix(spark, granularity):
     assert got.columns == [*S.SET_KEY, "len", "prefix", "n"]
     assert "FROM pc JOIN grid USING (k)" in queries.ORACLES[f"address_prefix_counts_{granularity}"]
     assert "GROUP BY ALL" not in queries.ORACLES[f"address_prefix_counts_{granularity}"].split("FROM pc JOIN grid")[1]
+
+
+def test_stored_sets_have_the_same_addresses_in_short(spark):
+    from netloom.operators import mergeable
+    flows = src.from_events(spark, "/root/testdata/sf0.001")
+    scoped = mergeable.with_all(mergeable.merged(mergeable.sets(flows), "1d"))
+    rows = lambda df: {tuple(r[c] for c in (*S.SET_KEY, "a")) for r in df.collect()}
+    short = S.named(mergeable.coded_address_sets(scoped), "1d")
+    assert rows(short) == rows(mergeable.address_sets(scoped)) == rows(S.address_sets(flows, "1d")) and short.count() == len(rows(short))
