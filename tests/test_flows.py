@@ -206,3 +206,8 @@ def test_stored_sets_have_the_same_addresses_in_short(spark):
     rows = lambda df: {tuple(r[c] for c in (*S.SET_KEY, "a")) for r in df.collect()}
     short = S.named(mergeable.coded_address_sets(scoped), "1d")
     assert rows(short) == rows(mergeable.address_sets(scoped)) == rows(S.address_sets(flows, "1d")) and short.count() == len(rows(short))
+
+
+def test_file_details_by_side_read_the_structure_once(spark):
+    plan = queries.QUERIES["file_details_sides_1d"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 31" not in plan and plan.count("MapInArrow") == 2
