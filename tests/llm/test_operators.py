@@ -59,6 +59,14 @@ def nothing(spark):
     return spark.createDataFrame([], AWKWARD)
 
 
+def test_words_asked_for_again_are_not_merged_again():
+    made = []
+    table = bpe.Renewed(lambda w: made.append(w) or w.upper(), 3)
+    for k in range(20):
+        assert (table["often"], table[f"once{k}"]) == ("OFTEN", f"ONCE{k}")
+    assert made.count("often") == 1 and len(table) <= 3 and len(table.old) <= 3
+
+
 def test_tokens_equal_the_library(spark, texts, awkward, nothing):
     from tokenizers import Tokenizer
 
