@@ -211,3 +211,10 @@ def test_stored_sets_have_the_same_addresses_in_short(spark):
 def test_file_details_by_side_read_the_structure_once(spark):
     plan = queries.QUERIES["file_details_sides_1d"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0, 31" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_texts_of_structure_do_not_go_through_the_driver(spark):
+    out = queries.QUERIES["address_structure_1d"](spark, "/root/testdata/sf0.001")
+    assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()
+    out.collect()
+    assert "BroadcastHashJoin LeftOuter" not in out._jdf.queryExecution().executedPlan().toString() and "LeftOuter" in out._jdf.queryExecution().executedPlan().toString()
